@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -23,3 +27,16 @@ def local_session(cores: int | str = "*", memory: str = "6g", shuffle_partitions
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context; needed where it isn't installed on them."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    here = Path(__file__).parent
+    with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="spark-")) / "tessera.zip", "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    context.addPyFile(out.filename)
+    context._tessera_shipped = True
