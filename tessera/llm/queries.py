@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op8_byte_bpe
+from tessera.llm.fingerprint import OP3_SQL, op3_fingerprints
 from tessera.llm.mixing import OP6_SQL, op6_mix_sources
 from tessera.llm.url_filter import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE_SQL = {
+    "op3_fingerprints": OP3_SQL,
     "op6_mix_sources": OP6_SQL,
     "op10_url_filters": OP10_SQL,
 }
