@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark import Broadcast
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
+#: Pairs of neighbouring tokens that a task remembers.
+PAIRS = 1 << 19
 #: Characters that a task splits at a time.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -60,7 +63,7 @@ class PrefixBPE:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' bytes gives the two tokens."""
-        if len(self.pairs) >= 8 * REMEMBERED:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         found = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
@@ -202,7 +205,8 @@ def _chunks(texts: pd.Series) -> Iterator[list[str]]:
         if chars >= CHUNK_CHARS:
             yield run
             run, chars = [], 0
-    yield run
+    if run:
+        yield run
 
 
 #: A worker process keeps what it has learnt of one vocabulary for its next tasks.
@@ -216,28 +220,22 @@ def _pieces(key: str, bpe: Broadcast) -> _Pieces:
     return _KEPT[key]
 
 
-def encode_column(bpe: Broadcast, pattern: str, text: Column) -> Column:
-    """array<int> of each text's ids; null is encoded as the empty text, whose array is empty."""
+def coded_column(bpe: Broadcast, pattern: str, text: Column) -> Column:
+    """struct<token_ids array<int>, decoded binary>: each whole text's ids, and those ids decoded; null as the empty text."""
     key = uuid.uuid4().hex
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, split = _pieces(key, bpe), regex.compile(pattern).findall
         for texts in batches:
-            yield pd.Series([ids for run in _chunks(texts) for ids in pieces.encode(list(map(split, run)))], dtype=object)
+            ids, decoded = [], []
+            for run in _chunks(texts):
+                for found in pieces.encode(list(map(split, run))):
+                    ids.append(np.array(found, np.int32))
+                    decoded.append(pieces.bpe.decode(found))
+            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
-    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(encode, "array<int>")(text)
-
-
-def decode_column(bpe: Broadcast, ids: Column) -> Column:
-    """binary of each id array; null stays null."""
-
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for arrays in batches:
-            yield pd.Series([None if a is None else bpe.value.decode(a.tolist()) for a in arrays], dtype=object)
-
-    decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(decode, "binary")(ids)
+    code.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(code, "token_ids array<int>, decoded binary")(text)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -247,8 +245,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     the executors as a broadcast, a few MB for a vocabulary of fixed size. Tasks are independent, without a shuffle.
     """
     table = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks))
-    encoded = docs.withColumn("token_ids", encode_column(table, pattern, F.col("text")))
-    return encoded.withColumn("decoded", decode_column(table, F.col("token_ids")))
+    coded = docs.withColumn("_coded", coded_column(table, pattern, F.col("text")))
+    return coded.withColumns({c: F.col("_coded")[c] for c in ("token_ids", "decoded")}).drop("_coded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op8_byte_bpe
 from tessera.llm.fingerprint import OP3_SQL, op3_fingerprints
+from tessera.llm.langid import op1_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mix_sources
+from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.url_filter import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_url_filters": op10_url_filters,
