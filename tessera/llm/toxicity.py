@@ -26,9 +26,11 @@ from tessera.llm.langid import remainder, sample
 #: Bound of the training sample: about so many documents of each class, a third of which only calibrates.
 PER_CLASS = 2400
 #: Words in a window; characters in a run; bytes of the ordinary and the toxic dictionary; compression level.
-WORDS, RUN, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 5, 32768, 2048, 6
-#: A run tells toxic text if it is in this share of toxic documents, and so many times as frequent there.
-LEAST_SHARE, TIMES = 0.004, 20.0
+WORDS, RUN, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 5, 32768, 4096, 6
+#: A run tells toxic text if it is in so many and in this share of toxic documents, and so many times as frequent there.
+LEAST_TEXTS, LEAST_SHARE, TIMES = 4, 0.004, 40.0
+#: What a share of ordinary texts counted as toxic weighs against the same share of toxic texts found.
+CAUTION = 3.0
 #: Scores of this or more count as toxic; the calibration puts its best threshold here.
 CUT = 0.7
 CHUNK_CHARS = 1 << 20
@@ -100,10 +102,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int, match: int) -> bytes:
     """A dictionary of the samples; of too few for the trainer, the samples themselves."""
     try:
-        return zstd.train_dictionary(size, samples, k=64, d=8).as_bytes() if len(samples) > 20 else b"".join(samples)[-size:]
+        return zstd.train_dictionary(size, samples, k=segment, d=match).as_bytes() if len(samples) > 20 else b"".join(samples)[-size:]
     except zstd.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -123,7 +125,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     in_toxic, in_ordinary = Counter(), Counter()
     for text in toxic:
         in_toxic.update(_runs(text))
-    telling = {r for r, n in in_toxic.items() if n >= max(2, LEAST_SHARE * len(toxic))}
+    telling = {r for r, n in in_toxic.items() if n >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic))}
     for text in ordinary:
         in_ordinary.update(_runs(text) & telling)
     telling = {r for r in telling if in_toxic[r] / len(toxic) > TIMES * (in_ordinary[r] + 0.5) / (len(ordinary) + 1)}
@@ -136,12 +138,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
                 samples.append(spaced[hits[0] : hits[-1] + RUN].encode("utf-8", "replace"))
     usual = [w for t in ordinary for w in windows(t)]
     usual = [usual[k] for k in rng.permutation(len(usual))[:40000]]
-    samples = [samples[k] for k in rng.permutation(len(samples))]
-    try:
-        special = zstd.train_dictionary(TOXIC_BYTES, samples, k=16, d=6).as_bytes()
-    except zstd.ZstdError:  # too few samples for the trainer
-        special = b"".join(sorted(set(samples)))[:TOXIC_BYTES]
-    model = Model(_trained(usual, ORDINARY_BYTES), special, np.zeros(6))
+    once = sorted(Counter(samples).items(), key=lambda kv: (kv[1], kv[0]))
+    if sum(len(x) for x, _ in once) <= TOXIC_BYTES:  # they fit as they are, the most frequent nearest
+        special = b"".join(x for x, _ in once)
+    else:
+        special = _trained([samples[k] for k in rng.permutation(len(samples))], TOXIC_BYTES, 16, 6)
+    model = Model(_trained(usual, ORDINARY_BYTES, 64, 8), special, np.zeros(6))
     held = [(t, y) for t, y, use in zip(texts, labels, learn, strict=True) if not use]
     y = np.array([v for _, v in held], float)
     if not 0 < y.sum() < len(y):
@@ -149,11 +151,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     x = features(model.compressors(), [t for t, _ in held])
     weights = _logistic(x, y)
     z = np.column_stack([x, np.ones(len(x))]) @ weights
-    # the threshold with the best balanced accuracy is moved to CUT; of equals, the middle
+    # the threshold with the best balance is moved to CUT; of equals, the middle
     order = np.unique(z)
     between = np.concatenate(([order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]))
     at_least = lambda v: len(v) - np.searchsorted(np.sort(v), between)
-    balance = at_least(z[y == 1]) / y.sum() - at_least(z[y == 0]) / (1 - y).sum()
+    balance = at_least(z[y == 1]) / y.sum() - CAUTION * at_least(z[y == 0]) / (1 - y).sum()
     best = between[np.flatnonzero(balance >= balance.max() - 1e-9)]
     weights[-1] += np.log(CUT / (1 - CUT)) - best[len(best) // 2]
     return Model(model.ordinary, model.toxic, weights)
