@@ -27,6 +27,8 @@ ORDER, BITS = 4, 16
 SHARD_ROWS = 2_000_000
 #: Trusted documents of a language stay below its threshold in this share; a language with fewer held-back ones takes that of all.
 QUANTILE, LEAST_HELD = 0.99, 50
+#: A threshold is widened by this over the root of a text's characters: short texts have uncertain perplexities.
+SHORT = 3.0
 #: One in so many trusted documents is held back from the model and sets the thresholds.
 HELD_ONE_IN = 10
 CHUNK_CHARS = 1 << 19
@@ -275,7 +277,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     )
     out = model.score(docs)
     same = (F.coalesce(out["lang"], F.lit("")) == table["_lang"]) & (out["lang"].isNull() == table["_none"])
-    threshold = F.coalesce(F.col("_at"), F.lit(overall).cast("double"))
+    threshold = F.coalesce(F.col("_at"), F.lit(overall).cast("double")) * (1 + F.lit(SHORT) / F.sqrt(F.greatest(F.lit(1), F.length("text"))))
     return (
         out.join(small(table, len(found), 64), same, "left")
         .withColumn("threshold", threshold)
