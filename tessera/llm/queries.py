@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.ann import op2_nearest_vectors
 from tessera.llm.bpe import op8_byte_bpe
 from tessera.llm.fingerprint import OP3_SQL, op3_fingerprints
 from tessera.llm.langid import op1_language_id
@@ -12,6 +13,7 @@ from tessera.llm.url_filter import OP10_SQL, op10_url_filters
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
