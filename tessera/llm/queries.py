@@ -7,6 +7,7 @@ from tessera.llm.bpe import op8_byte_bpe
 from tessera.llm.fingerprint import OP3_SQL, op3_fingerprints
 from tessera.llm.langid import op1_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mix_sources
+from tessera.llm.near_dedup import op7_near_duplicates
 from tessera.llm.quality import op9_quality
 from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.url_filter import OP10_SQL, op10_url_filters
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
