@@ -6,6 +6,7 @@ from tessera.llm.ann import op2_nearest_vectors
 from tessera.llm.bpe import op8_byte_bpe
 from tessera.llm.fingerprint import OP3_SQL, op3_fingerprints
 from tessera.llm.langid import op1_language_id
+from tessera.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessera.llm.mixing import OP6_SQL, op6_mix_sources
 from tessera.llm.near_dedup import op7_near_duplicates
 from tessera.llm.quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_nearest_vectors": op2_nearest_vectors,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_fingerprints": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op10_url_filters": OP10_SQL,
 }
