@@ -158,7 +158,7 @@ def sample(labelled: DataFrame, by: str, per_class: int) -> list:
         return []
     rate = F.create_map(*(F.lit(x) for value, n in rows.items() for x in (value, min(1.0, per_class / n))))
     share = (F.xxhash64(F.lit("sample"), F.col("doc_id")).bitwiseAND(F.lit((1 << 30) - 1))).cast("double") / float(1 << 30)
-    return labelled.filter(share < rate[F.col(by)]).orderBy("doc_id", "text").collect()
+    return labelled.filter(share < rate[F.col(by)]).orderBy(*labelled.columns).collect()
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

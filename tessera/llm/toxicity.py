@@ -21,6 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small
 from tessera.llm.langid import remainder, sample
 
 #: Bound of the training sample: about so many documents of each class, a third of which only calibrates.
@@ -164,7 +165,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of the documents that `labels` (doc_id, toxic) marks; of repeated labels the highest counts."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = sample(docs.filter("text is not null").select("doc_id", "text").join(marks, "doc_id"), "toxic", per_class)
+    # the sample is drawn without the texts; only its own are fetched
+    some = sample(docs.filter("text is not null").select("doc_id").join(marks, "doc_id"), "toxic", per_class)
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in some], "doc_id long, toxic int").distinct()
+    rows = docs.filter("text is not null").select("doc_id", "text").join(small(ids, len(some), 16), "doc_id").orderBy("doc_id", "text").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
