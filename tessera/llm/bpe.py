@@ -15,18 +15,21 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Pieces whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 1 << 17
+#: Pieces whose ids a task remembers; when there are more, only those that have just been used again stay.
+REMEMBERED = 3 << 16
 #: Pairs of neighbouring tokens that a task remembers.
-PAIRS = 1 << 19
+PAIRS = 1 << 20
 #: Characters that a task splits at a time.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
+#: Documents that a task hands on at a time.
+ROWS = 256
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -43,9 +46,11 @@ class PrefixBPE:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
-        # every ending of a token -> its rank, or -1 where no encoding has it: tells how far a backward search must go
-        self.endings: dict[bytes, int] = {token[i:]: -1 for token in ranks for i in range(1, len(token))}
-        self.endings |= {token: rank if self.merged(token) == [rank] else -1 for token, rank in ranks.items()}
+        # a state is the longest ending of what was read that starts a token; it knows the tokens that end here, longest first
+        self.starts = {token[:i] for token in ranks for i in range(1, len(token) + 1)} | {b""}
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.endings: list[tuple[bytes, list[tuple[int, int]]]] = [(b"", [])]
+        self.steps: dict[int, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Reference merges, lowest rank first; only used on one or two tokens at a time."""
@@ -68,25 +73,36 @@ class PrefixBPE:
         found = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
 
-    def extend(self, data: bytes, last: list[int], stop: int) -> None:
-        """Append to `last` (the last tokens of data's prefixes so far) up to prefix length `stop`."""
-        ending, pair = self.endings.get, self.pairs.get
-        for end in range(len(last) + 1, stop + 1):
-            found, start = [], end - 1
-            while start >= 0 and (token := ending(data[start:end])) is not None:
-                if token >= 0:
-                    found.append((start, token))
-                start -= 1
-            for start, token in reversed(found):
-                if not start:
-                    last.append(token)
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; remembered by `extend`."""
+        read = self.endings[state][0] + bytes((byte,))
+        while read not in self.starts:
+            read = read[1:]
+        if read not in self.numbers:
+            self.numbers[read] = len(self.endings)
+            ends = (read[i:] for i in range(len(read)))
+            self.endings.append((read, [(len(e), self.ranks[e]) for e in ends if e in self.ranks and self.merged(e) == [self.ranks[e]]]))
+        found = self.steps[state << 8 | byte] = self.numbers[read]
+        return found
+
+    def extend(self, data: bytes, last: list[int], states: list[int], stop: int) -> None:
+        """Append to `last` and `states` (of data's prefixes so far: last token, state) up to prefix length `stop`."""
+        known, pair, endings = self.steps.get, self.pairs.get, self.endings
+        state = states[-1] if states else 0
+        for at in range(len(last), stop):
+            after = known(state << 8 | data[at])
+            state = self.step(state, data[at]) if after is None else after
+            for size, token in endings[state][1]:
+                before = at - size
+                if before < 0:
                     break
-                fit = pair(last[start - 1] << 32 | token)
-                if fit or fit is None and self.fits(last[start - 1], token):
-                    last.append(token)
+                fit = pair(last[before] << 32 | token)
+                if fit or fit is None and self.fits(last[before], token):
                     break
             else:
                 raise ValueError("no token fits: a byte without a rank?")
+            last.append(token)
+            states.append(state)
 
     def ids_of(self, last: list[int]) -> list[int]:
         """The encoding of the longest prefix in `last`."""
@@ -101,12 +117,13 @@ class PrefixBPE:
         if piece in self.ranks:
             return [self.ranks[piece]]
         last: list[int] = []
-        self.extend(piece, last, len(piece))
+        self.extend(piece, last, [], len(piece))
         return self.ids_of(last)
 
     def encode_all(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each piece with its ids, in byte order, so that a piece keeps the table of the prefix it shares with the one before."""
         last: list[int] = []
+        states: list[int] = []
         before = b""
         for piece in sorted(pieces):
             shared = 0
@@ -114,8 +131,8 @@ class PrefixBPE:
                 if a != b:
                     break
                 shared += 1
-            del last[shared:]
-            self.extend(piece, last, len(piece))
+            del last[shared:], states[shared:]
+            self.extend(piece, last, states, len(piece))
             before = piece
             yield piece, [self.ranks[piece]] if piece in self.ranks else self.ids_of(last)
 
@@ -127,7 +144,7 @@ class PrefixState:
     """One piece of bytes with the last token of each prefix: exact appends, re-encoding near edits."""
 
     def __init__(self, bpe: PrefixBPE, data: bytes = b""):
-        self.bpe, self.data, self.last, self.redone = bpe, b"", [], 0
+        self.bpe, self.data, self.last, self.states, self.redone = bpe, b"", [], [], 0
         self.edit(0, 0, data)
 
     def append(self, more: bytes) -> None:
@@ -137,14 +154,14 @@ class PrefixState:
         """Replace data[start:stop]; prefixes beyond the edit are redone only until they agree with the old ones."""
         old, shift = self.last, len(new) - (stop - start)
         data = self.data[:start] + new + self.data[stop:]
-        last, agree, at = old[:start], 0, start
+        last, states, agree, at = old[:start], self.states[:start], 0, start
         while at < len(data) and agree < self.bpe.longest:
             at += 1
-            self.bpe.extend(data, last, at)
+            self.bpe.extend(data, last, states, at)
             known = at - shift
             agree = agree + 1 if at > start + len(new) and known > stop and old[known - 1] == last[-1] else 0
         self.redone = at - start
-        self.data, self.last = data, last + old[at - shift :]
+        self.data, self.last, self.states = data, last + old[at - shift :], states + self.states[at - shift :]
 
     def ids(self) -> list[int]:
         return [self.bpe.ranks[self.data]] if self.data in self.bpe.ranks else self.bpe.ids_of(self.last)
@@ -188,15 +205,17 @@ class _Pieces(dict):
 
     def encode(self, texts: list[list[str]]) -> list[list[int]]:
         """The ids of texts that are split into pieces."""
-        new = set().union(*texts).difference(self)
+        used = set().union(*texts)
+        new = used.difference(self)
         if len(self) + len(new) > REMEMBERED:
+            again = {piece: self[piece] for piece in used if piece in self}
             self.clear()
-            new = set().union(*texts)
+            self.update(again)
         self.update((piece.decode("utf-8"), tuple(ids)) for piece, ids in self.bpe.encode_all(p.encode("utf-8") for p in new))
         return [list(chain.from_iterable(map(self.__getitem__, pieces))) for pieces in texts]
 
 
-def _chunks(texts: pd.Series) -> Iterator[list[str]]:
+def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
     """The texts in runs of about CHUNK_CHARS characters; a longer text is a run of its own."""
     run, chars = [], 0
     for text in texts:
@@ -220,33 +239,32 @@ def _pieces(key: str, bpe: Broadcast) -> _Pieces:
     return _KEPT[key]
 
 
-def coded_column(bpe: Broadcast, pattern: str, text: Column) -> Column:
-    """struct<token_ids array<int>, decoded binary>: each whole text's ids, and those ids decoded; null as the empty text."""
-    key = uuid.uuid4().hex
-
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, split = _pieces(key, bpe), regex.compile(pattern).findall
-        for texts in batches:
-            ids, decoded = [], []
-            for run in _chunks(texts):
-                for found in pieces.encode(list(map(split, run))):
-                    ids.append(np.array(found, np.int32))
-                    decoded.append(pieces.bpe.decode(found))
-            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
-
-    code.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(code, "token_ids array<int>, decoded binary")(text)
-
-
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """`docs` (needs text; other columns pass) plus token_ids array<int> and decoded binary, the ids decoded again.
 
     Whole texts, null as empty; existing columns of these names are replaced. The rank table goes to
-    the executors as a broadcast, a few MB for a vocabulary of fixed size. Tasks are independent, without a shuffle.
+    the executors as a broadcast, a few MB for a vocabulary of fixed size. Tasks are independent, without a shuffle,
+    and hand on a few hundred rows at a time.
     """
-    table = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks))
-    coded = docs.withColumn("_coded", coded_column(table, pattern, F.col("text")))
-    return coded.withColumns({c: F.col("_coded")[c] for c in ("token_ids", "decoded")}).drop("_coded")
+    bpe, key, plain = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks)), uuid.uuid4().hex, docs.drop("token_ids", "decoded")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, split = _pieces(key, bpe), regex.compile(pattern).findall
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                ids, sizes, decoded = [], [0], []
+                for run in _chunks(part.column("text").to_pylist()):
+                    for found in pieces.encode(list(map(split, run))):
+                        ids.append(np.array(found, np.int32))
+                        sizes.append(len(found))
+                        decoded.append(pieces.bpe.decode(found))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                columns = {name: part.column(name) for name in part.schema.names} | {"token_ids": lists, "decoded": pa.array(decoded, pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return plain.mapInArrow(code, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
