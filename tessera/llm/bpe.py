@@ -267,10 +267,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     return plain.mapInArrow(code, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents returns."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents returns, and `more` of its columns."""
     return encoded.select(
         "doc_id",
+        *more,
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
