@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import relations, rows
+from tessera.plans import evaluation, groups, relations, rows
 
-MODULES = (rows, relations)
+MODULES = (rows, relations, groups, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -91,7 +91,7 @@ def line_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", rubric.monotone(p).alias("p"))
 
 
-_MONO = f"(SELECT rid, l_orderkey, l_linenumber, list_transform(range(1, 6), lambda i: list_min(list_slice(raw, 1, i))) AS p FROM (SELECT *, {_P} AS raw, row_number() OVER () AS rid FROM lineitem))"
+_MONO = f"(SELECT rid, l_orderkey, l_linenumber, l_returnflag, l_quantity, list_transform(range(1, 6), lambda i: list_min(list_slice(raw, 1, i))) AS p FROM (SELECT *, {_P} AS raw, row_number() OVER () AS rid FROM lineitem))"
 _CLASS = f"(SELECT *, list_transform(range(1, 7), lambda i: list_concat([1::DOUBLE], p)[i] - list_concat(p, [0::DOUBLE])[i]) AS q FROM {_MONO})"
 
 
@@ -108,8 +108,8 @@ def line_sets(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("members", rubric.prediction_set(F.col("q"), 0.8))
 
 
-_RANKED = f"""(SELECT rid, l_orderkey, l_linenumber, i, v, sum(v) OVER (PARTITION BY rid ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM (SELECT rid, l_orderkey, l_linenumber, unnest(range(0, 6))::INTEGER AS i, unnest(list_transform(q, lambda x: round(x, 9))) AS v FROM {_CLASS}))"""
+_RANKED = f"""(SELECT rid, l_orderkey, l_linenumber, l_returnflag, l_quantity, i, v, sum(v) OVER (PARTITION BY rid ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT rid, l_orderkey, l_linenumber, l_returnflag, l_quantity, unnest(range(0, 6))::INTEGER AS i, unnest(list_transform(q, lambda x: round(x, 9))) AS v FROM {_CLASS}))"""
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, string_agg(i::VARCHAR, '|' ORDER BY i) AS members, count(*)::INTEGER AS size FROM {_RANKED}
