@@ -6,8 +6,8 @@ they are exact up to a share of the corpus that doesn't depend on its size. Cons
 agree with the weighted Jaccard similarity as probability; they are banded, and texts that share a
 band are candidates. Candidates are verified by the weighted Jaccard similarity of the whole texts.
 
-Within a band's bucket every text is first compared with one centre. Only texts that this leaves outside the centre's component
-are then compared with the other members, in blocks and by their samples, so a large group of copies costs one
+Within a band's bucket every text is first compared with one centre, the member that shares most buckets. Only texts that this leaves outside the centre's component
+are then compared with the other members, in blocks, so a large group of copies costs one
 comparison a member, and no link between texts that share a bucket is lost.
 """
 
@@ -27,11 +27,10 @@ from tessera.llm.langid import chunks, codes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Counters of document frequencies; share of the corpus below which frequencies weigh alike.
-COUNTERS, RARE = 1 << 18, 1 / 512
-#: Pairs whose samples agree in a smaller share aren't verified: at SIMILARITY this has a probability below 1e-6.
-LEAST_AGREEING = 0.45
-BLOCK = 1000
+#: Counters of document frequencies; share of the corpus below which frequencies weigh alike; weight of the idf beside the plain count.
+COUNTERS, RARE, DAMPING = 1 << 18, 1 / 64, 0.25
+#: Members of a bucket that meet as one block.
+BLOCK = 400
 CHUNK_CHARS = 1 << 20
 #: Shingles are told apart by this many bits.
 _HASH_BITS = np.uint64(44)
@@ -112,11 +111,14 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def damped_idf(docs: DataFrame) -> np.ndarray:
-    """For each counter a weight from 1 (in all documents) to 2 (in few): 1 + log of the share of documents, over that of RARE."""
+    """For each counter a weight from 1 (in all documents) to 1 + DAMPING (in few), linear in the log of the share of documents.
+
+    The damping keeps a large group of near copies together: its shared shingles are frequent, its edits are rare.
+    """
     rows = document_counts(docs).toPandas()
     share = np.zeros(COUNTERS)
     share[rows["counter"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64) / max(1, docs.count())
-    return (1 + np.log(1 / (np.minimum(1, share) + RARE)) / np.log(1 / RARE)).astype(np.float32)
+    return (1 + DAMPING * np.maximum(0, np.log(1 / (np.minimum(1, share) + RARE)) / np.log(1 / RARE))).astype(np.float32)
 
 
 def weighted(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +158,11 @@ def consistent_samples(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarra
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """(doc_id, node, weight, samples, keys): node is the MD5 of the text, weight its total, samples 16 bits of each sample, keys a hash of each band (none without words)."""
+    """(doc_id, node, weight, keys): node is the MD5 of the text, weight its total, keys a hash of each band (none without words)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            weights, samples, keys = [], [], []
+            weights, keys = [], []
             for part in chunks(batch["text"], CHUNK_CHARS):
                 if not part:
                     continue
@@ -172,14 +174,13 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
                     band = _mix(band * np.uint64(0x9FB21C651E98DF25) + found[:, k::ROWS])
                 band = _mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 weights.append(total)
-                samples += [row.tobytes() for row in (found >> np.uint64(48)).astype(np.uint16)]
                 keys += [row if has else row[:0] for row, has in zip(band.view(np.int64), total > 0, strict=True)]
             if len(batch):
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "weight": np.concatenate(weights), "samples": samples, "keys": keys})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "weight": np.concatenate(weights), "keys": keys})
 
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).mapInPandas(
-        sign, "doc_id long, node binary, weight double, samples binary, keys array<long>"
+        sign, "doc_id long, node binary, weight double, keys array<long>"
     )
 
 
@@ -205,11 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: Broadcast
     wanted = Saved(pairs.select("a", "b").distinct(), "pairs")
     ends = wanted.df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     picked = Saved(ends.join(nodes, "node").select("first_id", "no_id", "node"), "wanted")
-    n = picked.df.count()
-    # one document stands for each node, so copies don't multiply
-    node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    given = docs.select(F.coalesce(docs["doc_id"], F.lit(0)).alias("first_id"), docs["doc_id"].isNull().alias("no_id"), node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    near = given.join(small(picked.df, n, 64), ["first_id", "no_id", "node"], "left_semi").select("node", "text")
+    near = _texts(docs, picked)
     both = wanted.df.join(near.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(near.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,16 +221,77 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: Broadcast
 
 
 def _members(nodes: DataFrame) -> Saved:
-    """(band, key, node, centre) of the nodes in buckets of two or more; the centre is the bucket's smallest node."""
+    """(band, key, node, centre) of the nodes in buckets of two or more.
+
+    The centre is the member that shares buckets with the most others over all bands (of equals the largest node): of a group of
+    copies with different edits that is the original or one near it.
+    """
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).filter("centre <> most").drop("most")
-    return Saved(keyed.join(shared, ["band", "key"]), "members")
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = Saved(keyed.join(shared, ["band", "key"]), "buckets")
+    degree = sized.df.groupBy("node").agg(F.sum("n").alias("degree"))
+    centres = sized.df.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre"))
+    out = Saved(sized.df.drop("n").join(centres, ["band", "key"]), "members")
+    sized.drop()
+    return out
+
 
+def _texts(docs: DataFrame, picked: Saved) -> DataFrame:
+    """(node, text) of one document for each row (first_id, no_id, node) of `picked`, so copies don't multiply."""
+    node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    given = docs.select(F.coalesce(docs["doc_id"], F.lit(0)).alias("first_id"), docs["doc_id"].isNull().alias("no_id"), node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    return given.join(small(picked.df, picked.df.count(), 64), ["first_id", "no_id", "node"], "left_semi").select("node", "text")
 
-def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a member outside its centre's component and another member of the bucket, in different components, whose samples and weights allow the similarity.
 
-    Members meet in blocks of about BLOCK: rows of packed arrays, never single pairs.
+def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """([row, set] weight shared by the sets numbered `rows` and each set, total of each set) of sets (hashes, counts).
+
+    A shingle that occurs n times is n items of one weight, so shared weights are sums over common items: those in
+    many sets as a matrix product, the others by listing their few pairs.
+    """
+    hashes = np.concatenate([h for h, _ in sets])
+    times = np.concatenate([n for _, n in sets]).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    weight = idf[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.float64)
+    total = np.bincount(owner, weight * times, len(sets))
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    hashes, owner, weight = np.repeat(hashes, times), np.repeat(owner, times), np.repeat(weight, times)
+    items = _mix(hashes + level.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    order = np.argsort(items, kind="stable")
+    items, owner, weight = items[order], owner[order], weight[order]
+    starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(items)])))
+    size = np.repeat(sizes, sizes)
+    place = np.full(len(sets), -1)
+    place[rows] = np.arange(len(rows))
+    shared = np.zeros((len(rows), len(sets)))
+    often = np.flatnonzero(size >= 16)
+    column = np.repeat(np.arange(len(sizes)), sizes)
+    for first in range(0, len(often), 1 << 18):
+        at = often[first : first + (1 << 18)]
+        names, col = np.unique(column[at], return_inverse=True)
+        for low in range(0, len(names), 1024):
+            some = at[(col >= low) & (col < low + 1024)]
+            local = col[(col >= low) & (col < low + 1024)] - low
+            x = np.zeros((len(sets), min(1024, len(names) - low)))
+            x[owner[some], local] = np.sqrt(weight[some])
+            shared += x[rows] @ x.T
+    seldom = np.flatnonzero((size > 1) & (size < 16))
+    flat = shared.ravel()
+    for apart in range(1, 16):
+        one = seldom[seldom + apart < len(items)]
+        one = one[column[one] == column[one + apart]]
+        for left, right in ((one, one + apart), (one + apart, one)):
+            asked = place[owner[left]] >= 0
+            flat += np.bincount(place[owner[left[asked]]] * len(sets) + owner[right[asked]], weight[left[asked]], len(flat))
+    return flat.reshape(shared.shape), total
+
+
+def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, idf: Broadcast, similarity: float) -> Saved:
+    """Links (a, b) between components that the centres missed: of each member outside its centre's component with the bucket's other members.
+
+    Members meet in pairs of blocks of about BLOCK, with their whole weighted sets: pairs are never rows, and of
+    the links found between two components one is returned.
     """
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     known = (
@@ -242,40 +300,53 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, similari
         .withColumn("out", F.col("of") != F.col("at"))
     )
     buckets = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("outside")).filter("outside > 0 and n > 2")
-    rows = (
-        known.join(buckets, ["band", "key"]).filter("node <> centre").join(nodes.select("node", "weight", "samples"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))).cast("int"))
-    )
-    packed = [F.collect_list(F.struct("node", "of", "weight", "samples", "out")).alias("rows")]
-    left = rows.filter("out").groupBy("band", "key", "block").agg(*packed).withColumnRenamed("rows", "asked").drop("block")
-    right = rows.groupBy("band", "key", "block").agg(*packed).drop("block")
+    rows = Saved(known.join(buckets, ["band", "key"]).filter("node <> centre").select("band", "key", "node", "of", "out", "n"), "left-over")
+    picked = Saved(rows.df.select("node").distinct().join(nodes, "node").select("first_id", "no_id", "node"), "left-over-nodes")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for asked, given in zip(batch["asked"], batch["rows"], strict=True):
-                samples = np.array([np.frombuffer(r["samples"], np.uint16) for r in given])
-                weight = np.array([r["weight"] for r in given])
-                of = np.array([bytes(r["of"]) for r in given], dtype=object)
-                name = np.array([bytes(r["node"]) for r in given], dtype=object)
-                outside = np.array([r["out"] for r in given])
-                found_a, found_b = [], []
-                for r in asked:
-                    ok = (np.minimum(weight, r["weight"]) >= similarity * np.maximum(weight, r["weight"]) * (1 - 1e-6)) & (of != bytes(r["of"]))
-                    ok &= ~outside | (name > bytes(r["node"]))  # two members outside meet once
-                    at = np.flatnonzero(ok)
-                    at = at[(samples[at] == np.frombuffer(r["samples"], np.uint16)).mean(axis=1) >= LEAST_AGREEING]
-                    found_a += [bytes(r["node"])] * len(at)
-                    found_b += name[at].tolist()
-                yield pd.DataFrame({"a": found_a, "b": found_b})
-
-    return left.join(right, ["band", "key"]).select("asked", "rows").mapInPandas(compare, "a binary, b binary")
+            done = 0
+            for part in chunks(batch["text"], CHUNK_CHARS):
+                if part:
+                    owner, hashes, times = shingles(part)
+                    cuts = np.searchsorted(owner, np.arange(1, len(part)))
+                    yield pd.DataFrame({
+                        "node": batch["node"].iloc[done : done + len(part)].to_numpy(), "hashes": [x.tobytes() for x in np.split(hashes, cuts)], "times": [x.astype(np.int32).tobytes() for x in np.split(times, cuts)],
+                    })
+                    done += len(part)
+
+    whole = Saved(_texts(docs, picked).mapInPandas(sets, "node binary, hashes binary, times binary").dropDuplicates(["node"]), "sets")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = rows.df.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n").join(whole.df, "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        node, of = [bytes(x) for x in group["node"]], np.unique([bytes(x) for x in group["of"]], return_inverse=True)[1]
+        out, block = group["out"].to_numpy(bool), group["mine"].to_numpy()
+        if not out.any() or len(np.unique(of)) < 2:
+            return pd.DataFrame({"a": [], "b": []})
+        ask = np.flatnonzero(out)
+        shared, total = shared_weights([(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int32)) for h, t in zip(group["hashes"], group["times"], strict=True)], ask, idf.value)
+        union = total[ask][:, None] + total[None, :] - shared
+        hit = (shared >= (similarity - 1e-7) * union) & (union > 0) & (of[ask][:, None] != of[None, :])
+        if block.min() != block.max():
+            hit &= block[ask][:, None] != block[None, :]
+        r, c = np.nonzero(hit)
+        pairs = np.sort(np.column_stack((of[ask[r]], of[c])), axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        return pd.DataFrame({"a": [node[k] for k in ask[r[first]]], "b": [node[k] for k in c[first]]})
+
+    out = Saved(dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct(), "more-links")
+    for t in (rows, picked, whole):
+        t.drop()
+    return out
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id, class_size, links): a row for each row of `docs` (doc_id, text; other columns don't count).
+    """(doc_id, node, class_id, class_size): a row for each row of `docs` (doc_id, text; other columns don't count).
 
     Texts are linked if they are equal or their weighted Jaccard similarity reaches `similarity`; a class is what links
-    connect, class_id its smallest doc_id (null only if all are), class_size its rows, links the similar but different texts.
+    connect, class_id its smallest doc_id (null only if all are), class_size its rows.
     Null counts as the empty text; texts without words are only linked to equal ones. Rows that repeat count as rows.
     """
     spark = docs.sparkSession
@@ -283,7 +354,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = Saved(signatures(docs, idf), "signatures")
     nodes = Saved(
         signed.df.groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.max("weight").alias("weight"), F.max("samples").alias("samples"), F.max("keys").alias("keys")
+            F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.max("weight").alias("weight"), F.max("keys").alias("keys")
         ).withColumns({"first_id": F.coalesce("least", F.lit(0)), "no_id": F.col("least").isNull()}),
         "nodes",
     )
@@ -293,16 +364,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("weight_a", "weight_b") >= similarity * F.greatest("weight_a", "weight_b") * (1 - 1e-6))
     linked = verified(stars, docs, nodes.df, idf, similarity)
     first = components(linked.df)
-    more = verified(_left_over(members.df, first.df, nodes.df, similarity), docs, nodes.df, idf, similarity)
+    more = _left_over(members.df, first.df, nodes.df, docs, idf, similarity)
     links = linked.df.unionByName(more.df)
     labels = components(links) if more.df.limit(1).count() else first
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = nodes.df.select("node", "least", "rows").join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(degree, "node", "left")
     whole = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    by_node = Saved(named.join(whole, "label").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0).cast("long")).alias("links")), "classes")
+    by_node = Saved(named.join(whole, "label").select("node", "class_id", "class_size"), "classes")
     members.drop()
-    return signed.df.select("doc_id", "node").join(by_node.df, "node").select("doc_id", "node", "class_id", "class_size", "links")
+    return signed.df.select("doc_id", "node").join(by_node.df, "node").select("doc_id", "node", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -316,4 +385,4 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document."""
     found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "class_size", "links")
+    return found.select("doc_id", "class_id", "class_size")
