@@ -39,6 +39,11 @@ class Saved:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def private(df: DataFrame) -> list[str]:
+    """Columns that begin with an underscore: the operators keep such names for themselves."""
+    return [c for c in df.columns if c.startswith("_")]
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """`df` marked for broadcast if `rows` counted rows fit the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

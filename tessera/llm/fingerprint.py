@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small
+from tessera.llm.common import private, small
 
 MASK = (1 << 60) - 1
 FIELDS = 1 | 1 << 20 | 1 << 40
@@ -130,7 +130,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text; more columns pass) plus n_chars, edited, and the fingerprints own, edited_own, next_own.
 
     Null texts count as empty; rows that repeat are ordered by text and fingerprinted alike. Empty input gives an empty result.
+    Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
+    docs = docs.drop("n_chars", "own", "edited", "edited_own", "next_own", "next_text", *private(docs))
     own = with_fingerprint(docs.withColumn("text", F.coalesce("text", F.lit(""))), "text", "own")
     moved = with_next(own, ["text", "own"]).withColumn("n_chars", F.length("text").cast("long"))
     return with_fingerprint(moved.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).drop("next_text"), "edited", "edited_own")

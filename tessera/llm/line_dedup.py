@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, small
+from tessera.llm.common import Saved, private, small
 
 #: Shorter lines stay: in them one edit is not small.
 LEAST_CHARS = 20
@@ -138,8 +138,10 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
 
     Lines end at line feeds; they are compared trimmed of spaces, tabs and carriage returns; the others stay as
     they are. Rows that share a doc_id aren't earlier than one another, and rows equal in doc_id and text are one document. A null doc_id
-    comes last. Null texts stay null with 0 lines; an empty text has one empty line.
+    comes last. Null texts stay null with 0 lines; an empty text has one empty line. Existing columns n_lines, n_dropped and those that begin
+    with an underscore are dropped.
     """
+    docs = docs.drop("n_lines", "n_dropped", *private(docs))
     gone = dropped_lines(docs)
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
     lost = gone.df.withColumnsRenamed({"doc": "_doc", "row": "_row", "gone": "_gone"})

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import private
+
 #: What counts as a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -65,7 +67,9 @@ def mix(docs: DataFrame, slices: int = 1024, max_epochs: int = MAX_EPOCHS) -> Da
     The last document of the fractional epoch is taken if at least half of it fits the budget.
     Weights must lie in [BAD, GOOD] for the slices to be even; any others stay right. Equal keys are ordered
     by doc_id, nulls last, then size; repeated rows share a fate only by their place in that order. Documents of size 0 take 0.
+    Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
+    docs = docs.drop("source_size", "target", "copies", "taken", *private(docs))
     key = -F.log(_uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) / F.col("weight")
     keyed = docs.withColumn("_key", key).withColumn(
         # a monotone image of the key in [0, 1) that no weight can crowd by more than GOOD / BAD
@@ -106,7 +110,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` plus weight, UNKNOWN where not labelled."""
-    return docs.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN)))
+    return docs.drop("weight").join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN)))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, small
+from tessera.llm.common import Saved, private, small
 from tessera.llm.langid import chunks, codes, remainder
 
 ORDER, BITS = 4, 16
@@ -262,7 +262,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     The model learns from all trusted documents but those held back, which set a threshold for each language
     (null is a language of its own). Empty and null texts have no perplexity and aren't kept; neither a row's label nor its doc_id
     is used for its own score. Without trusted text everything else is kept. Repeated rows are judged alike.
+    Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
+    docs = docs.drop("perplexity", "threshold", "keep", *private(docs))
     ids = trusted_ids(labels)
     trusted = docs.select("doc_id", "text", "lang").filter("text is not null and text <> ''").join(small(ids, ids.count(), 16), "doc_id", "left_semi")
     held = remainder(F.col("doc_id"), HELD_ONE_IN) == 0
