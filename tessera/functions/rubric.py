@@ -96,3 +96,35 @@ def run_length_area(rle: Column) -> Column:
     """Sum of the counts whose value isn't zero, from value, count, value, count, ..."""
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(rle) / 2).cast("int") - 1)), lambda i: F.when(rle[2 * i] != 0, rle[2 * i + 1]).otherwise(0))
     return F.when(F.size(rle) >= 2, F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+
+
+def interval_set(low: Column, high: Column) -> Column:
+    """Rubric scores whose stage lies in [low, high]; if none does, the score of the stage nearest to the middle."""
+    pairs = F.array(*(F.struct(F.lit(g).alias("stage"), F.lit(s).alias("score")) for s, g in zip(RUBRIC, STAGES, strict=True)))
+    inside = F.transform(F.filter(pairs, lambda r: (r["stage"] >= low) & (r["stage"] <= high)), lambda r: r["score"])
+    middle = (low + high) / 2
+    near = F.element_at(F.array_sort(F.transform(pairs, lambda r: F.struct(F.abs(r["stage"] - middle).alias("d"), r["score"].alias("s")))), 1)["s"]
+    return F.when(F.size(inside) > 0, inside).otherwise(F.array(near))
+
+
+def conformity(q: Column, truth: Column) -> Column:
+    """Sum of the class probabilities from the largest down to that of class number `truth`, at most 1."""
+    own = F.element_at(q, truth + 1)
+    above = F.aggregate(F.transform(q, lambda x, i: F.when((x > own) | ((x == own) & (i <= truth)), x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.lit(1.0), above)
+
+
+def openness_grade(x: Column) -> Column:
+    """0 for 0.6 or more, 1 for 0.4, 2 for 0.2, else 3."""
+    return F.when(x >= 0.6, 0).when(x >= 0.4, 1).when(x >= 0.2, 2).otherwise(3)
+
+
+def tile_starts(length: Column, tile: int, stride: int) -> Column:
+    """Starts of tiles at each stride, and of one flush with the end."""
+    end = F.greatest(F.lit(0), length - tile).cast("int")
+    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), end, F.lit(stride)), F.array(end))))
+
+
+def angle_from_top(dx: Column, dy: Column) -> Column:
+    """Degrees in [0, 360), counter-clockwise from straight up; dy grows downwards."""
+    return F.pmod(F.degrees(F.atan2(-dx, -dy)), F.lit(360.0))

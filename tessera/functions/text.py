@@ -76,3 +76,24 @@ def keyword_class(c: Column, classes: Sequence[tuple[str, Sequence[str]]], defau
             hit = hit | text.contains(w)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(F.lit(default))
+
+
+def proposed_score(c: Column) -> Column:
+    """`a-b` as the mean of both, else the number, else null."""
+    low, high = F.regexp_extract(c, r"^\s*([0-9.]+)\s*-\s*([0-9.]+)\s*$", 1), F.regexp_extract(c, r"^\s*([0-9.]+)\s*-\s*([0-9.]+)\s*$", 2)
+    return F.when(low != "", (low.try_cast("double") + high.try_cast("double")) / 2).otherwise(number(c))
+
+
+def without_suffix(c: Column, suffix: str) -> Column:
+    """The text without a trailing suffix."""
+    return F.when(c.endswith(suffix), F.left(c, F.length(c) - len(suffix))).otherwise(c)
+
+
+def naming_format(stem: Column) -> Column:
+    """canonical (`S1-2_Image3`), legacy (letters, digits, anything) or invalid."""
+    return F.when(stem.rlike(r"^[A-Za-z]+\d+-\d+_Image\d+$"), "canonical").when(stem.rlike(r"^[A-Za-z]+[-#_ ]?\d+"), "legacy").otherwise("invalid")
+
+
+def nearest_in(x: Column, values) -> Column:
+    """Of sorted values the nearest to x; the smaller of equals."""
+    return F.element_at(F.array_sort(F.transform(F.array(*(F.lit(float(v)) for v in values)), lambda s: F.struct(F.abs(x - s).alias("d"), s.alias("s")))), 1)["s"]

@@ -58,3 +58,21 @@ def promotion(a_ok: Column, b_ok: Column, a_score: Column, b_score: Column, marg
         .when(a_score > b_score, "first")
         .otherwise("second")
     )
+
+
+def overcoverage_causes(background_low: Column, background_high: Column, separability: Column) -> Column:
+    """Ordered causes from the background positive rates at a low and a higher threshold and the medians' distance."""
+    return F.array_compact(F.array(
+        F.when((background_low > 0.5) & (background_high <= 0.5), "threshold_too_low"), F.when(background_high > 0.5, "background_positive"), F.when(separability < 0.05, "not_separable")
+    ))
+
+
+def adoption_tier(auto: Column, oracle: Column, current: Column, recall: Column) -> Column:
+    """Tier of an automatic product from its mean, the oracle's, the present one's and its recall."""
+    return F.when(recall < 0.5, "prompt_failure").when(auto <= current, "keep_current").when(oracle - auto <= 0.05, "adopt").otherwise("review")
+
+
+def product_choice(recall: Column, precision: Column, balanced: Column) -> Column:
+    """severe, ordinal or none by the two gates."""
+    severe = ((recall >= 0.8) & (precision >= 0.25)) | ((recall >= 0.9) & (precision >= 0.15))
+    return F.when(severe, "severe").when((balanced >= 0.5) & (recall >= 0.8), "ordinal").otherwise("none")

@@ -41,3 +41,28 @@ def symmetric_audit(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     b = right.select(F.col(on).alias("_k")).distinct().withColumn("_r", F.lit(1))
     side = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("both")
     return a.join(b, "_k", "full").groupBy(side.alias("side")).agg(F.count("*").alias("keys"))
+
+
+def optional_merge(base: DataFrame, other: DataFrame | None, on: Sequence[str], prefix: str, protected: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """(`base` left-joined with `other`, status). Absent table, missing keys, nothing to add or repeated keys leave `base` as it is; clashing columns get the prefix, protected ones are skipped."""
+    if other is None:
+        return base, "absent"
+    if any(k not in base.columns or k not in other.columns for k in on):
+        return base, "missing_keys"
+    new = [c for c in other.columns if c not in on and c not in protected]
+    if not new:
+        return base, "nothing_to_add"
+    if duplicate_keys(other, on).limit(1).count():
+        return base, "duplicate_keys"
+    named = other.select(*on, *(F.col(c).alias(f"{prefix}{c}" if c in base.columns else c) for c in new))
+    return base.join(named, list(on), "left"), "joined"
+
+
+def covered_share(components: DataFrame, boxes: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """(key, components, matched, recall) of component boxes of which a proposed box of the key covers `least`; recall 1 without components."""
+    zero = F.lit(0.0)
+    c, b = components.alias("c"), boxes.alias("b")
+    area = lambda r: F.greatest(zero, F.col(f"{r}.x1") - F.col(f"{r}.x0")) * F.greatest(zero, F.col(f"{r}.y1") - F.col(f"{r}.y0"))
+    cut = F.greatest(zero, F.least("c.x1", "b.x1") - F.greatest("c.x0", "b.x0")) * F.greatest(zero, F.least("c.y1", "b.y1") - F.greatest("c.y0", "b.y0"))
+    hit = c.join(b, F.col(f"c.{key}") == F.col(f"b.{key}"), "left").groupBy(F.col(f"c.{key}").alias(key), F.col("c.id").alias("id")).agg(F.max(F.coalesce(cut >= least * area("c"), F.lit(False))).alias("hit"))
+    return hit.groupBy(key).agg(F.count("*").alias("components"), F.count_if("hit").alias("matched")).withColumn("recall", F.col("matched") / F.col("components"))

@@ -81,3 +81,32 @@ def principal_components(df: DataFrame, k: int) -> DataFrame:
     loadings = model.pc.toArray()
     signs = [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in loadings.T]
     return model.transform(scaled).withColumn("pca", F.zip_with(vector_to_array("_pca"), F.array(*map(F.lit, signs)), lambda a, s: a * s)).drop("scaled", "_pca")
+
+
+def ridge_with_source_offset(train: DataFrame, test: DataFrame, target: str, source: str, strength: float = 1.0) -> DataFrame:
+    """`test` plus prediction: ridge, corrected by the mean training residual of its source (0 for unseen ones)."""
+    a, b = _scaled(train, test)
+    model = LinearRegression(featuresCol="scaled", labelCol=target, regParam=strength / max(1, train.count()), elasticNetParam=0.0, standardization=False).fit(a)
+    offset = model.transform(a).groupBy(source).agg(F.avg(F.col(target) - F.col("prediction")).alias("_o"))
+    return model.transform(b).join(offset, source, "left").withColumn("prediction", F.col("prediction") + F.coalesce("_o", F.lit(0.0))).drop("_o", "scaled")
+
+
+def cumulative_thresholds(df: DataFrame, fold: str, score: str, cuts: list[float], folds: int) -> DataFrame:
+    """`df` plus p array<double>: out-of-fold probabilities that the score exceeds each cut."""
+    out = df.withColumn("p", F.array().cast("array<double>"))
+    for cut in cuts:
+        out = logistic_out_of_fold(out.withColumn("_y", (F.col(score) > cut).cast("int")), fold, "_y", folds).withColumn("p", F.concat("p", F.array("probability"))).drop("_y", "probability")
+    return out
+
+
+def contributions(df: DataFrame, target: str, names: list[str], top: int = 3) -> DataFrame:
+    """`df` (features) plus the names of the `top` features with the largest positive and negative share z * coefficient of a logistic model."""
+    scaled, _ = _scaled(df, df)
+    model = LogisticRegression(featuresCol="scaled", labelCol=target, regParam=0.01, standardization=False, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred").fit(scaled)
+    parts = F.zip_with(vector_to_array("scaled"), F.array(*(F.lit(float(c)) for c in model.coefficients)), lambda z, c: z * c)
+    named = F.zip_with(parts, F.array(*map(F.lit, names)), lambda v, n: F.struct(F.round(v, 6).alias("v"), n.alias("n")))
+    out = scaled.withColumn("_s", F.array_sort(named)).drop("scaled")
+    say = lambda rows: F.array_join(F.transform(rows, lambda r: r["n"]), "|")
+    return out.withColumns({
+        "negative": say(F.slice(F.filter("_s", lambda r: r["v"] < 0), 1, top)), "positive": say(F.slice(F.reverse(F.filter("_s", lambda r: r["v"] > 0)), 1, top)),
+    }).drop("_s")

@@ -82,3 +82,36 @@ def zscores(df: DataFrame, id_: str, vector: str, least: float = 1e-8) -> DataFr
     cells = df.select(id_, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     stats = cells.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     return cells.join(stats, "dim").select(id_, "dim", F.when(F.col("s") > least, (F.col("x") - F.col("m")) / F.col("s")).otherwise(F.lit(0.0)).alias("z"))
+
+
+def hausdorff(df: DataFrame, key: str, side: str, x: str, y: str) -> DataFrame:
+    """(key, distance): the larger of the two directed distances between the point sets of sides true and false; infinite if one is empty.
+
+    Points of a key meet only each other.
+    """
+    points = df.select(key, side, x, y).distinct()
+    a, b = points.filter(side).alias("a"), points.filter(~F.col(side)).alias("b")
+    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).select(
+        F.col(f"a.{key}").alias(key), F.struct(F.col(f"a.{x}"), F.col(f"a.{y}")).alias("p"), F.struct(F.col(f"b.{x}"), F.col(f"b.{y}")).alias("q"),
+        F.sqrt((F.col(f"a.{x}") - F.col(f"b.{x}")) ** 2 + (F.col(f"a.{y}") - F.col(f"b.{y}")) ** 2).alias("d"),
+    )
+    one = lambda side_: pairs.groupBy(key, side_).agg(F.min("d").alias("m")).groupBy(key).agg(F.max("m").alias("m"))
+    far = one("p").unionByName(one("q")).groupBy(key).agg(F.max("m").alias("distance"))
+    return points.select(key).distinct().join(far, key, "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
+
+
+def farthest_first(df: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
+    """(id, centre, distance): k centres chosen farthest first from the smallest id on, and each row's nearest of them. Only the centres reach the driver."""
+    first = df.orderBy(id_).limit(1).select(id_, vector).collect()
+    centres = [(r[0], list(map(float, r[1]))) for r in first]
+
+    def nearest() -> DataFrame:
+        options = F.array(*(F.struct(F.sqrt(squared_distance(F.col(vector), F.array(*map(F.lit, v)))).alias("d"), F.lit(i).alias("centre")) for i, v in centres))
+        return df.withColumn("_n", F.array_min(options))
+
+    while centres and len(centres) < k:
+        far = nearest().orderBy(F.round(F.col("_n.d"), 6).desc(), id_).limit(1).select(id_, vector, "_n.d").collect()[0]
+        if far["d"] <= 0:
+            break
+        centres.append((far[0], list(map(float, far[1]))))
+    return (nearest() if centres else df.withColumn("_n", F.struct(F.lit(0.0).alias("d"), F.col(id_).alias("centre")))).select(id_, "_n.centre", F.col("_n.d").alias("distance"))

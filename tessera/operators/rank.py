@@ -86,3 +86,39 @@ def limited_threshold(rows: DataFrame, family: str, threshold: str, background:
     worst = per.groupBy(threshold).agg(F.max("bg").alias("worst_background"), F.avg("rec").alias("mean_recall")).filter(F.col("worst_background") <= limit)
     key = F.struct(F.round("mean_recall", 9), F.round(-F.col("worst_background"), 9), -F.col(threshold))
     return worst.agg(F.max_by(F.struct(threshold, "worst_background", "mean_recall"), key).alias("b")).select("b.*")
+
+
+def buckets_without_replacement(df: DataFrame, id_: str, buckets: Sequence[tuple[str, Column, Sequence[Column], int]]) -> DataFrame:
+    """Rows picked by ordered buckets (name, condition, order, k): each bucket takes its first k rows that no earlier bucket took.
+
+    A bucket may lose at most as many of its best rows as the earlier ones took, so it is enough to look at
+    its first (k + all earlier k) rows; the choice among these few rows is one small aggregation.
+    """
+    taken, parts = 0, []
+    for place, (name, cond, order, k) in enumerate(buckets):
+        best = df.filter(cond).orderBy(*order, id_).limit(k + taken)
+        numbered = best.withColumn("_at", F.row_number().over(W.orderBy(*order, id_)))
+        parts.append(numbered.select(F.col(id_).alias("id"), F.lit(place).alias("place"), "_at", F.lit(name).alias("bucket"), F.lit(k).alias("k")))
+        taken += k
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.col("_at").alias("at"), "id", "bucket", "k")))
+    start = F.array().cast("array<struct<place:int,at:int,id:bigint,bucket:string,k:int>>")
+
+    def take(done: Column, x: Column) -> Column:
+        used = F.exists(done, lambda r: r["id"] == x["id"])
+        full = F.size(F.filter(done, lambda r: r["place"] == x["place"])) >= x["k"]
+        one = F.struct(x["place"].alias("place"), x["at"].alias("at"), x["id"].cast("bigint").alias("id"), x["bucket"].alias("bucket"), x["k"].alias("k"))
+        return F.when(used | full, done).otherwise(F.concat(done, F.array(one)))
+
+    picked = out.agg(F.aggregate(ordered, start, take).alias("p")).select(F.posexplode("p").alias("order", "r"))
+    return picked.select((F.col("order") + 1).alias("order"), F.col("r.id").alias(id_), "r.bucket")
+
+
+def weighted_repeats(df: DataFrame, order: str, weight: float) -> DataFrame:
+    """Each row floor(weight) times, and once more the first ceil(n * rest) by `order`; copy numbers them."""
+    whole = int(weight)
+    ranked = df.withColumns({"_at": F.row_number().over(W.orderBy(order)), "_n": F.count("*").over(W.partitionBy(F.lit(1)))})
+    times = F.lit(whole) + (F.col("_at") <= F.ceil(F.col("_n") * (weight - whole) - 1e-9)).cast("int")
+    return ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop("_at", "_n")

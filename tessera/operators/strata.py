@@ -61,3 +61,37 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def set_coverage(df: DataFrame, keys: Sequence[str], truth: str, members: str) -> DataFrame:
     """Per key: rows, share whose prediction set holds the truth, mean set size."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.expr(f"CAST(array_contains({members}, {truth}) AS DOUBLE)")).alias("coverage"), F.avg(F.size(members)).alias("mean_size"))
+
+
+def cohort_stability(first: DataFrame, second: DataFrame, key: str, value: str, limit: float) -> DataFrame:
+    """(key, first_mean, second_mean, gap, stable) of the keys in both."""
+    mean = lambda df, name: df.groupBy(key).agg(F.avg(value).alias(name))
+    both = mean(first, "first_mean").join(mean(second, "second_mean"), key)
+    return both.withColumn("gap", F.abs(F.col("first_mean") - F.col("second_mean"))).withColumn("stable", F.col("gap") <= limit)
+
+
+def contrast(df: DataFrame, flag: Column, columns: Sequence[str]) -> DataFrame:
+    """(feature, mean_true, mean_false, difference) of each column by a flag, in one aggregation."""
+    made = df.agg(*(F.avg(F.when(flag, F.col(c))).alias(f"t_{c}") for c in columns), *(F.avg(F.when(~flag, F.col(c))).alias(f"f_{c}") for c in columns))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"t_{c}").alias("mean_true"), F.col(f"f_{c}").alias("mean_false")) for c in columns)))
+    return made.select(rows.alias("r")).select("r.*").withColumn("difference", F.abs(F.col("mean_true") - F.col("mean_false")))
+
+
+def feature_diagnostics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, rows, missing, non_finite, zero_variance, spread) of numeric columns, in one aggregation."""
+    cells = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        bad = F.isnan(x) | (F.abs(x) == float("inf"))
+        ok = F.when(~bad, x)
+        cells.append(F.struct(
+            F.lit(c).alias("feature"), F.count("*").alias("rows"), F.count_if(x.isNull()).alias("missing"), F.count_if(F.coalesce(bad, F.lit(False))).alias("non_finite"),
+            (F.coalesce(F.var_samp(ok), F.lit(0.0)) <= 1e-12).alias("zero_variance"), (F.max(ok) - F.min(ok)).alias("spread"),
+        ))
+    return df.agg(*(cell.alias(f"c{k}") for k, cell in enumerate(cells))).select(F.explode(F.array(*(F.col(f"c{k}") for k in range(len(cells))))).alias("r")).select("r.*")
+
+
+def exploded_counts(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
+    """(label, rows) of the parts of a joined text; blanks don't count."""
+    parts = df.select(F.explode(F.split(F.coalesce(F.col(column), F.lit("")), separator)).alias("p")).select(F.trim("p").alias("label"))
+    return parts.filter("label <> ''").groupBy("label").agg(F.count("*").alias("rows"))

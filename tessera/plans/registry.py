@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evaluation, groups, relations, rows
+from tessera.plans import evaluation, groups, more, relations, rows
 
-MODULES = (rows, relations, groups, evaluation)
+MODULES = (rows, relations, groups, evaluation, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
