@@ -98,22 +98,29 @@ def _discounts(grams: DataFrame) -> tuple[float, float, float]:
     return tuple(min(k + 0.95, max(0.05, d)) for k, d in enumerate(raw))
 
 
-def model_table(counts: DataFrame) -> DataFrame:
+def model_table(counts: DataFrame) -> Saved:
     """(kind, k, key, value): kind p: log probability of the run `key` of k characters; kind g: log back-off weight of the context `key` before a k-th.
 
     Lower orders count distinct left neighbours. Row (p, 0, 0) is the log probability of any character never seen.
+    Each order is written before the next uses it, so no aggregation runs twice.
     """
+    made: list[Saved] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(Saved(df, name))
+        return made[-1].df
+
     grams = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        grams[k] = grams[k + 1].groupBy(F.col("run").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("run")).agg(F.count("*").alias("n"))
+        shorter = F.col("run").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        grams[k] = kept(grams[k + 1].groupBy(shorter.alias("run")).agg(F.count("*").alias("n")), f"runs{k}")
     symbols = grams[1].count() + 1
-    lower = None
-    tables = []
+    lower, tables = None, []
     for k in range(1, ORDER + 1):
         d = _discounts(grams[k])
         context = F.shiftrightunsigned("run", BITS)
         contexts = grams[k].groupBy(context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"), d)).alias("spared"))
-        contexts = contexts.withColumn("gamma", F.col("spared") / F.col("total"))
+        contexts = kept(contexts.select("ctx", "total", (F.col("spared") / F.col("total")).alias("gamma")), f"contexts{k}")
         rows = grams[k].withColumn("ctx", context).join(contexts, "ctx")
         own = F.greatest(F.lit(0.0), (F.col("n") - _discount(F.col("n"), d)) / F.col("total"))
         if lower is None:
@@ -122,13 +129,16 @@ def model_table(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("low", F.col("run").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, "low").withColumn("p", own + F.col("gamma") * F.col("p_low"))
             tables.append(contexts.select(F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value")))
-        rows = rows.select("run", "p")
+        rows = kept(rows.select("run", "p"), f"probabilities{k}")
         tables.append(rows.select(F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value")))
         lower = rows.select(F.col("run").alias("low"), F.col("p").alias("p_low"))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out
+    whole = Saved(out, "run-model")
+    for t in made:
+        t.drop()
+    return whole
 
 
 class Lookup:
@@ -212,8 +222,8 @@ def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
     own = F.col("k") < 2 if of > 1 else F.lit(True)
     if of > 1:
         own = own | (F.shiftrightunsigned(before * F.lit(0x9E3779B1), 7) % F.lit(of) == number)
-    rows = model.filter(own).toPandas()
-    pick = lambda kind, k: rows[(rows["kind"] == kind) & (rows["k"] == k)]
+    rows = model.filter(own).withColumn("kind", (F.col("kind") == "p").cast("int")).toPandas()
+    pick = lambda kind, k: rows[(rows["kind"] == (kind == "p")) & (rows["k"] == k)]
     table = lambda r: Lookup(r["key"].to_numpy(np.int64).view(np.uint64), r["value"].to_numpy(np.float32))
     unseen = pick("p", 0)["value"]
     return Shard({k: table(pick("p", k)) for k in range(1, ORDER + 1)}, {k: table(pick("g", k)) for k in range(2, ORDER + 1)}, float(unseen.iloc[0]) if len(unseen) else -np.log(_CHAR), number, of)
@@ -236,7 +246,7 @@ class Perplexity:
 
     def __init__(self, trusted: DataFrame, shard_rows: int = SHARD_ROWS):
         counts = Saved(count_runs(trusted), "run-counts")
-        self.table = Saved(model_table(counts.df), "run-model")
+        self.table = model_table(counts.df)
         counts.drop()
         context = trusted.sparkSession.sparkContext
         of = max(1, -(-self.table.df.count() // shard_rows))
