@@ -230,9 +230,10 @@ def _members(nodes: DataFrame) -> Saved:
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sized = Saved(keyed.join(shared, ["band", "key"]), "buckets")
     degree = sized.df.groupBy("node").agg(F.sum("n").alias("degree"))
-    centres = sized.df.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre"))
-    out = Saved(sized.df.drop("n").join(centres, ["band", "key"]), "members")
+    centres = Saved(sized.df.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre")), "centres")
+    out = Saved(sized.df.drop("n").join(centres.df, ["band", "key"]), "members")  # two plain tables: a hot bucket's rows can be split
     sized.drop()
+    centres.drop()
     return out
 
 
