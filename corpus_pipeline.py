@@ -24,27 +24,40 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """COLUMNS, and any further columns as one struct: their names can't clash with an operator's."""
+    more = [c for c in docs.columns if c not in COLUMNS]
+    return docs.select(*COLUMNS, *([F.struct(*(F.col(f"`{c}`") for c in more)).alias("extras")] if more else []))
+
+
+def _unpacked(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, in its order."""
+    return kept.select(*(F.col(c) if c in COLUMNS else F.col("extras")[c].alias(c) for c in docs.columns))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return judge(docs, _labels(spark, sf_dir)).filter("keep").select(*COLUMNS)
+    """Documents that the classifier rejects go, null and empty texts among them."""
+    return _unpacked(judge(_packed(docs), _labels(spark, sf_dir)).filter("keep"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that loses all it has goes with them. n_chars is counted anew."""
-    cut = deduplicate_lines(docs)
+    """Repeated lines go; a document that loses all it has goes with them. n_chars is counted anew, null for a null text."""
+    cut = deduplicate_lines(_packed(docs))
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long"))
+    return _unpacked(kept, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return deduplicated(docs).select(*COLUMNS)
+    """One document of each class of near duplicates stays; rows equal in doc_id and text count as one."""
+    return _unpacked(deduplicated(_packed(docs)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    sized = docs.withColumn("size", size_of(F.col("text")))
-    return mix(weighed(sized, _labels(spark, sf_dir))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as often as the mix takes it; those without words, and those beyond the budget, not at all."""
+    sized = _packed(docs).withColumn("size", size_of(F.col("text")))
+    mixed = mix(weighed(sized, _labels(spark, sf_dir)))
+    return _unpacked(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
