@@ -205,3 +205,17 @@ def test_pipeline_against_plain_versions(spark, sf_dir):
     coded = pipeline.byte_bpe(spark, mixed, sf_dir)
     assert coded.count() == mixed.count() and coded.filter("size(token_ids) <> n_tokens").count() == 0
     assert [name for name, _ in pipeline.STAGES] and pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    pipeline = importlib.import_module("corpus_pipeline")
+    text = "the cat sat on the mat and looked at the other cat near the tall tree"
+    rows = [(1, text, "en", "a", 9, "p", 1), (1, text, "en", "a", 9, "p", 1), (None, text, None, None, None, None, None), (2, None, "en", "b", 0, "q", 2), (3, "", None, "b", 0, "q", 2), (4, "word " * 30000, "en", "b", 1, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, _key int")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        assert out.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+    kept = pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in kept) == [(1, "p"), (1, "p"), (2, "q"), (4, "")]
