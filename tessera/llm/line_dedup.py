@@ -145,7 +145,8 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     gone = dropped_lines(docs)
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
     lost = gone.df.withColumnsRenamed({"doc": "_doc", "row": "_row", "gone": "_gone"})
-    rows = docs.join(small(lost, gone.df.count(), 96), (doc == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left")
+    size = gone.df.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    rows = docs.join(small(lost, size[0] + size[1], 64), (doc == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left")
     rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
     kept = F.array_join(F.transform("_left", lambda i: F.col("_lines")[i]), "\n")
     return rows.withColumns({
