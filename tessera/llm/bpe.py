@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces whose ids a task remembers; when there are more, only those that have just been used again stay.
-REMEMBERED = 3 << 16
+REMEMBERED = 1 << 17
 #: Pairs of neighbouring tokens that a task remembers.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Characters that a task splits at a time.
 CHUNK_CHARS = 1 << 20
 #: Documents that a task hands on at a time.
@@ -68,8 +68,9 @@ class PrefixBPE:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' bytes gives the two tokens."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
+        if len(self.pairs) >= PAIRS:  # the older half goes
+            for key in list(islice(self.pairs, PAIRS // 2)):
+                del self.pairs[key]
         found = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
 

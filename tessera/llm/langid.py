@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def chunks(texts, chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
     yield run
 
 
+def arrow_chunks(column: pa.Array, chars: int, rows: int = 256) -> Iterator[list[str]]:
+    """Whole texts of an Arrow column in runs of about `chars` characters; only a few hundred rows are Python strings at a time."""
+    for start in range(0, len(column), rows):
+        yield from (run for run in chunks(column.slice(start, rows).to_pylist(), chars) if run)
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by one line feed, and the start of each text."""
     joined = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Saved, small
 from tessera.llm.components import components
-from tessera.llm.langid import chunks, codes
+from tessera.llm.langid import arrow_chunks, chunks, codes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -31,7 +32,7 @@ BANDS, ROWS = 12, 4
 COUNTERS, RARE, DAMPING = 1 << 18, 1 / 64, 0.25
 #: Members of a bucket that meet as one block.
 BLOCK = 400
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Shingles are told apart by this many bits.
 _HASH_BITS = np.uint64(44)
 
@@ -98,16 +99,16 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def document_counts(docs: DataFrame) -> DataFrame:
     """(counter, n): documents in which a shingle of each counter occurs; at most COUNTERS rows. A task adds up its own first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in chunks(batch["text"], CHUNK_CHARS):
+            for part in arrow_chunks(batch.column(0), CHUNK_CHARS):
                 _, hashes, _ = shingles(part)
                 total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": used, "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "n"])
 
-    return docs.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
 
 
 def damped_idf(docs: DataFrame) -> np.ndarray:
@@ -160,12 +161,10 @@ def consistent_samples(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarra
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
     """(doc_id, node, weight, keys): node is the MD5 of the text, weight its total, keys a hash of each band (none without words)."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights, keys = [], []
-            for part in chunks(batch["text"], CHUNK_CHARS):
-                if not part:
-                    continue
+            done = 0
+            for part in arrow_chunks(batch.column("text"), CHUNK_CHARS):
                 owner, hashes, w = weighted(part, idf.value)
                 found = consistent_samples(owner, hashes, w, len(part))
                 total = np.bincount(owner, w, len(part))
@@ -173,13 +172,14 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
                 for k in range(ROWS):
                     band = _mix(band * np.uint64(0x9FB21C651E98DF25) + found[:, k::ROWS])
                 band = _mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                weights.append(total)
-                keys += [row if has else row[:0] for row, has in zip(band.view(np.int64), total > 0, strict=True)]
-            if len(batch):
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "weight": np.concatenate(weights), "keys": keys})
+                has = total > 0
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * BANDS))), pa.int32()), pa.array(band[has].view(np.int64).ravel()))
+                mine = batch.slice(done, len(part))
+                yield pa.RecordBatch.from_arrays([mine.column("doc_id"), mine.column("node"), pa.array(total), keys], names=["doc_id", "node", "weight", "keys"])
+                done += len(part)
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).mapInArrow(
         sign, "doc_id long, node binary, weight double, keys array<long>"
     )
 

@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Saved, private, small
-from tessera.llm.langid import chunks, codes, remainder
+from tessera.llm.langid import arrow_chunks, codes, remainder
 
 ORDER, BITS = 4, 16
 #: Rows of the model that are broadcast at a time.
@@ -31,7 +31,7 @@ QUANTILE, LEAST_HELD = 0.99, 50
 SHORT = 3.0
 #: One in so many trusted documents is held back from the model and sets the thresholds.
 HELD_ONE_IN = 10
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _CHAR = (1 << BITS) - 1
 
 
@@ -56,31 +56,32 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_runs(texts: DataFrame) -> DataFrame:
     """(run, n) over column text of all rows: each task adds up its own, then the tasks' counts are summed by run."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
+        def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["run", "n"])
+
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
         for batch in batches:
-            for part in chunks(batch["text"], CHUNK_CHARS):
-                if part:
-                    packed, counts, _ = runs(part)
-                    parts.append(np.unique(packed[counts], return_counts=True))
-                    held += len(parts[-1][0])
-                if held > 1 << 21:
+            for part in arrow_chunks(batch.column(0), CHUNK_CHARS):
+                packed, counts, _ = runs(part)
+                parts.append(np.unique(packed[counts], return_counts=True))
+                held += len(parts[-1][0])
+                if held > 1 << 20:
                     keys, n = merged()
-                    if len(keys) > 1 << 20:
-                        yield pd.DataFrame({"run": keys.view(np.int64), "n": n})
+                    if len(keys) > 1 << 19:
+                        yield table(keys, n)
                         parts, held = [], 0
                     else:
                         parts, held = [(keys, n)], len(keys)
         if parts:
-            keys, n = merged()
-            yield pd.DataFrame({"run": keys.view(np.int64), "n": n})
+            yield table(*merged())
 
-    return texts.select("text").mapInPandas(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def _discount(count: Column, d: tuple[float, float, float]) -> Column:
@@ -232,13 +233,13 @@ def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
 def likelihood_column(shard: Broadcast, text: Column) -> Column:
     """struct<total double, chars long> of whole texts, null as empty."""
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [shard.value.log_likelihoods(run) for run in chunks(texts, CHUNK_CHARS)]
-            yield pd.DataFrame({"total": np.concatenate([t for t, _ in found]), "chars": np.concatenate([n for _, n in found])})
+            found = [shard.value.log_likelihoods(run) for run in arrow_chunks(texts, CHUNK_CHARS)] or [(np.zeros(0), np.zeros(0, np.int64))]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([t for t, _ in found])), pa.array(np.concatenate([n for _, n in found]))], names=["total", "chars"])
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(score, "total double, chars long")(text)
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, "total double, chars long")(text)
 
 
 class Perplexity:
