@@ -10,7 +10,6 @@ with the old one over the longest token's length.
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -51,6 +50,8 @@ class PrefixBPE:
         self.numbers: dict[bytes, int] = {b"": 0}
         self.endings: list[tuple[bytes, list[tuple[int, int]]]] = [(b"", [])]
         self.steps: dict[int, int] = {}
+        # a worker's later tasks find the pieces here; they go with the broadcast
+        self.pieces = _Pieces()
 
     def merged(self, data: bytes) -> list[int]:
         """Reference merges, lowest rank first; only used on one or two tokens at a time."""
@@ -201,10 +202,7 @@ class EncodedText:
 class _Pieces(dict):
     """Piece -> ids, learnt for many texts at a time."""
 
-    def __init__(self, bpe: PrefixBPE):
-        self.bpe = bpe
-
-    def encode(self, texts: list[list[str]]) -> list[list[int]]:
+    def encode(self, bpe: PrefixBPE, texts: list[list[str]]) -> list[list[int]]:
         """The ids of texts that are split into pieces."""
         used = set().union(*texts)
         new = used.difference(self)
@@ -212,7 +210,7 @@ class _Pieces(dict):
             again = {piece: self[piece] for piece in used if piece in self}
             self.clear()
             self.update(again)
-        self.update((piece.decode("utf-8"), tuple(ids)) for piece, ids in self.bpe.encode_all(p.encode("utf-8") for p in new))
+        self.update((piece.decode("utf-8"), tuple(ids)) for piece, ids in bpe.encode_all(p.encode("utf-8") for p in new))
         return [list(chain.from_iterable(map(self.__getitem__, pieces))) for pieces in texts]
 
 
@@ -229,17 +227,6 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
-#: A worker process keeps what it has learnt of one vocabulary for its next tasks.
-_KEPT: dict[str, _Pieces] = {}
-
-
-def _pieces(key: str, bpe: Broadcast) -> _Pieces:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Pieces(bpe.value)
-    return _KEPT[key]
-
-
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """`docs` (needs text; other columns pass) plus token_ids array<int> and decoded binary, the ids decoded again.
 
@@ -247,19 +234,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     the executors as a broadcast, a few MB for a vocabulary of fixed size. Tasks are independent, without a shuffle,
     and hand on a few hundred rows at a time.
     """
-    bpe, key, plain = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks)), uuid.uuid4().hex, docs.drop("token_ids", "decoded")
+    shared, plain = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks)), docs.drop("token_ids", "decoded")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = _pieces(key, bpe), regex.compile(pattern).findall
+        bpe, split = shared.value, regex.compile(pattern).findall
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 ids, sizes, decoded = [], [0], []
                 for run in _chunks(part.column("text").to_pylist()):
-                    for found in pieces.encode(list(map(split, run))):
+                    for found in bpe.pieces.encode(bpe, list(map(split, run))):
                         ids.append(np.array(found, np.int32))
                         sizes.append(len(found))
-                        decoded.append(pieces.bpe.decode(found))
+                        decoded.append(bpe.decode(found))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 columns = {name: part.column(name) for name in part.schema.names} | {"token_ids": lists, "decoded": pa.array(decoded, pa.binary())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
