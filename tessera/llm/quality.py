@@ -5,7 +5,7 @@ the sums, continuation counts, discounts and interpolated probabilities are aggr
 joins sharded by run. For scoring, the table of log probabilities and back-off weights is cut into
 shards of bounded size by the character before the predicted one; each shard is broadcast and joined to the
 documents' runs, and a document's log likelihood is the sum over the shards. A document is rejected if its
-perplexity is above the quantile that held-back trusted documents of its language reach.
+perplexity is above the quantile that trusted documents of its language reach, each under a model of the other folds.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Saved, private, small
-from tessera.llm.langid import arrow_chunks, codes, remainder
+from tessera.llm.langid import arrow_chunks, codes
 
 ORDER, BITS = 4, 16
 #: Rows of the model that are broadcast at a time.
 SHARD_ROWS = 2_000_000
-#: Trusted documents of a language stay below its threshold in this share; a language with fewer held-back ones takes that of all.
-QUANTILE, LEAST_HELD = 0.99, 50
+#: Trusted documents of a language stay below its threshold in this share; that of all counts for it like so many documents.
+QUANTILE, PRIOR = 0.99, 50
 #: A threshold is widened by this over the root of a text's characters: short texts have uncertain perplexities.
 SHORT = 3.0
-#: One in so many trusted documents is held back from the model and sets the thresholds.
-HELD_ONE_IN = 10
+#: For the thresholds each of so many parts of the trusted documents is scored by a model of the others.
+FOLDS = 5
 CHUNK_CHARS = 1 << 18
 _CHAR = (1 << BITS) - 1
 
@@ -84,24 +84,41 @@ def count_runs(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def _discount(count: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
+def left_out(counts: DataFrame, folds: int) -> DataFrame:
+    """(fold, run, n) of each fold's text as counts of all text but that fold's; those of all text are fold number `folds`."""
+    whole = counts.groupBy("run").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own"))
+    each = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds))))
+    return each.select("fold", "run", (F.col("total") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n")).filter("n > 0")
 
 
-def _discounts(grams: DataFrame) -> tuple[float, float, float]:
-    """D1, D2, D3+ from the counts of counts; the usual guesses where some are missing."""
-    n = dict(grams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect())
-    n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    raw = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return tuple(min(k + 0.95, max(0.05, d)) for k, d in enumerate(raw))
+def _by_fold(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))[F.col("fold")]
 
 
-def model_table(counts: DataFrame) -> Saved:
-    """(kind, k, key, value): kind p: log probability of the run `key` of k characters; kind g: log back-off weight of the context `key` before a k-th.
+def _discount(count: Column, d: list[tuple[float, float, float]]) -> Column:
+    d1, d2, d3 = (_by_fold(list(v)) for v in zip(*d, strict=True))
+    return F.when(count == 1, d1).when(count == 2, d2).otherwise(d3)
 
+
+def _discounts(grams: DataFrame, models: int) -> list[tuple[float, float, float]]:
+    """D1, D2, D3+ of each model from the counts of counts; the usual guesses where some are missing."""
+    found = {(r["fold"], r["n"]): r["c"] for r in grams.filter("n <= 4").groupBy("fold", "n").agg(F.count("*").alias("c")).collect()}
+    out = []
+    for fold in range(models):
+        n1, n2, n3, n4 = (found.get((fold, k), 0) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            out.append((0.5, 1.0, 1.5))
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+        out.append(tuple(min(k + 0.95, max(0.05, d)) for k, d in enumerate(raw)))
+    return out
+
+
+def model_table(counts: DataFrame, models: int = 1) -> Saved:
+    """(fold, kind, k, key, value) from (fold, run, n), a model for each fold below `models`.
+
+    Kind p: log probability of the run `key` of k characters; kind g: log back-off weight of the context `key` before a k-th.
     Lower orders count distinct left neighbours. Row (p, 0, 0) is the log probability of any character never seen.
     Each order is written before the next uses it, so no aggregation runs twice.
     """
@@ -114,25 +131,26 @@ def model_table(counts: DataFrame) -> Saved:
     grams = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("run").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        grams[k] = kept(grams[k + 1].groupBy(shorter.alias("run")).agg(F.count("*").alias("n")), f"runs{k}")
-    symbols = grams[1].count() + 1
+        grams[k] = kept(grams[k + 1].groupBy("fold", shorter.alias("run")).agg(F.count("*").alias("n")), f"runs{k}")
+    seen = dict(grams[1].groupBy("fold").agg(F.count("*").alias("c")).collect())
+    symbols = _by_fold([seen.get(fold, 0) + 1 for fold in range(models)])
     lower, tables = None, []
     for k in range(1, ORDER + 1):
-        d = _discounts(grams[k])
+        d = _discounts(grams[k], models)
         context = F.shiftrightunsigned("run", BITS)
-        contexts = grams[k].groupBy(context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"), d)).alias("spared"))
-        contexts = kept(contexts.select("ctx", "total", (F.col("spared") / F.col("total")).alias("gamma")), f"contexts{k}")
-        rows = grams[k].withColumn("ctx", context).join(contexts, "ctx")
+        contexts = grams[k].groupBy("fold", context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"), d)).alias("spared"))
+        contexts = kept(contexts.select("fold", "ctx", "total", (F.col("spared") / F.col("total")).alias("gamma")), f"contexts{k}")
+        rows = grams[k].withColumn("ctx", context).join(contexts, ["fold", "ctx"])
         own = F.greatest(F.lit(0.0), (F.col("n") - _discount(F.col("n"), d)) / F.col("total"))
         if lower is None:
             rows = rows.withColumn("p", own + F.col("gamma") / symbols)
-            tables.append(contexts.select(F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), F.log(F.col("gamma") / symbols).alias("value")))
+            tables.append(contexts.select("fold", F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), F.log(F.col("gamma") / symbols).alias("value")))
         else:
-            rows = rows.withColumn("low", F.col("run").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, "low").withColumn("p", own + F.col("gamma") * F.col("p_low"))
-            tables.append(contexts.select(F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value")))
-        rows = kept(rows.select("run", "p"), f"probabilities{k}")
-        tables.append(rows.select(F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value")))
-        lower = rows.select(F.col("run").alias("low"), F.col("p").alias("p_low"))
+            rows = rows.withColumn("low", F.col("run").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, ["fold", "low"]).withColumn("p", own + F.col("gamma") * F.col("p_low"))
+            tables.append(contexts.select("fold", F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value")))
+        rows = kept(rows.select("fold", "run", "p"), f"probabilities{k}")
+        tables.append(rows.select("fold", F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value")))
+        lower = rows.select("fold", F.col("run").alias("low"), F.col("p").alias("p_low"))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
@@ -223,11 +241,12 @@ def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
     own = F.col("k") < 2 if of > 1 else F.lit(True)
     if of > 1:
         own = own | (F.shiftrightunsigned(before * F.lit(0x9E3779B1), 7) % F.lit(of) == number)
-    rows = model.filter(own).withColumn("kind", (F.col("kind") == "p").cast("int")).toPandas()
-    pick = lambda kind, k: rows[(rows["kind"] == (kind == "p")) & (rows["k"] == k)]
-    table = lambda r: Lookup(r["key"].to_numpy(np.int64).view(np.uint64), r["value"].to_numpy(np.float32))
-    unseen = pick("p", 0)["value"]
-    return Shard({k: table(pick("p", k)) for k in range(1, ORDER + 1)}, {k: table(pick("g", k)) for k in range(2, ORDER + 1)}, float(unseen.iloc[0]) if len(unseen) else -np.log(_CHAR), number, of)
+    rows = model.filter(own).select((F.col("kind") == "p").alias("is_p"), F.col("k").cast("byte"), "key", F.col("value").cast("float")).toArrow()
+    is_p, length, key, value = (rows[c].to_numpy() for c in ("is_p", "k", "key", "value"))
+    picked = lambda kind, k: (is_p == (kind == "p")) & (length == k)
+    table = lambda at: Lookup(key[at].view(np.uint64), value[at])
+    unseen = value[picked("p", 0)]
+    return Shard({k: table(picked("p", k)) for k in range(1, ORDER + 1)}, {k: table(picked("g", k)) for k in range(2, ORDER + 1)}, float(unseen[0]) if len(unseen) else -np.log(_CHAR), number, of)
 
 
 def likelihood_column(shard: Broadcast, text: Column) -> Column:
@@ -246,12 +265,29 @@ class Perplexity:
     """A model in the shared folder, ready to score: its shards are loaded once."""
 
     def __init__(self, trusted: DataFrame, shard_rows: int = SHARD_ROWS):
-        counts = Saved(count_runs(trusted), "run-counts")
-        self.table = model_table(counts.df)
+        counts = Saved(count_runs(trusted).withColumn("fold", F.lit(0)), "run-counts")
+        table = model_table(counts.df)
         counts.drop()
-        context = trusted.sparkSession.sparkContext
-        of = max(1, -(-self.table.df.count() // shard_rows))
-        self.shards = [context.broadcast(load_shard(self.table.df, k, of)) for k in range(of)]
+        self._load(table.df, shard_rows)
+        table.drop()
+
+    @classmethod
+    def of_table(cls, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Perplexity:
+        """The model whose rows of model_table are given."""
+        out = cls.__new__(cls)
+        out._load(model, shard_rows)
+        return out
+
+    def _load(self, model: DataFrame, shard_rows: int) -> None:
+        context = model.sparkSession.sparkContext
+        self.rows = model.count()
+        of = max(1, -(-self.rows // shard_rows))
+        self.shards = [context.broadcast(load_shard(model, k, of)) for k in range(of)]
+
+    def free(self) -> None:
+        """Give up the shards once nothing is scored any more."""
+        for s in self.shards:
+            s.destroy()
 
     def score(self, docs: DataFrame) -> DataFrame:
         """`docs` (needs text) plus perplexity; null for an empty or null text. One pass without a shuffle: the shards' sums stand side by side in a row."""
@@ -267,27 +303,61 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marked.filter("q >= 0.5").select("doc_id")
 
 
+def cross_fit(trusted: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[Perplexity, Saved]:
+    """A model of all of `trusted` (doc_id, text, lang), and (lang, perplexity) of each of its documents under the model of the folds it isn't in.
+
+    Folds go by a hash of doc_id. A fold that holds all the text has no model of the others and gives no rows.
+    """
+    own = Saved(trusted.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
+    parts = [own.df.filter(F.col("fold") == k) for k in range(FOLDS)]
+    counts = count_runs(parts[0]).withColumn("fold", F.lit(0))
+    for k in range(1, FOLDS):
+        counts = counts.unionByName(count_runs(parts[k]).withColumn("fold", F.lit(k)))
+    counts = Saved(counts, "run-counts")
+    models_counts = Saved(left_out(counts.df, FOLDS), "left-out-counts")
+    table = model_table(models_counts.df, FOLDS + 1)
+    scored: list[Saved] = []
+    for k in range(FOLDS):
+        model = Perplexity.of_table(table.df.filter(F.col("fold") == k), shard_rows)
+        if model.rows:
+            scored.append(Saved(model.score(parts[k]).select("lang", "perplexity"), "left-out-scores"))
+        model.free()
+    out = own.df.limit(0).select("lang", F.lit(None).cast("double").alias("perplexity"))
+    for part in scored:
+        out = out.unionByName(part.df)
+    whole, found = Perplexity.of_table(table.df.filter(F.col("fold") == FOLDS), shard_rows), Saved(out, "trusted-scores")
+    for t in (own, counts, models_counts, table, *scored):
+        t.drop()
+    return whole, found
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[list[tuple[str | None, float]], float | None]:
+    """(lang, threshold) of each language of (lang, perplexity), and that of all.
+
+    A language's logarithm is the mean of its own quantile's, weighted by its documents, and that of all languages, weighted by PRIOR.
+    """
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("at")
+    found = scored.rollup("lang").agg(F.grouping("lang").alias("all"), F.count("perplexity").alias("n"), at).collect()
+    overall = next((r["at"] for r in found if r["all"]), None)
+    own = [r for r in found if not r["all"] and r["n"]]
+    return [(r["lang"], float(np.exp((r["n"] * np.log(r["at"]) + PRIOR * np.log(overall)) / (r["n"] + PRIOR)))) for r in own], overall
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """`docs` (doc_id, text, lang; more columns pass) plus perplexity, threshold, keep.
 
-    The model learns from all trusted documents but those held back, which set a threshold for each language
-    (null is a language of its own). Empty and null texts have no perplexity and aren't kept; neither a row's label nor its doc_id
+    The model learns from all trusted documents; they also set a threshold for each language, scored by models that
+    haven't seen them (null is a language of its own). Empty and null texts have no perplexity and aren't kept; neither a row's label nor its doc_id
     is used for its own score. Without trusted text everything else is kept. Repeated rows are judged alike.
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("perplexity", "threshold", "keep", *private(docs))
     ids = trusted_ids(labels)
     trusted = docs.select("doc_id", "text", "lang").filter("text is not null and text <> ''").join(small(ids, ids.count(), 16), "doc_id", "left_semi")
-    held = remainder(F.col("doc_id"), HELD_ONE_IN) == 0
-    model = Perplexity(trusted.filter(~held), shard_rows)
-    scored = model.score(trusted.filter(held)).select("lang", "perplexity")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("at")
-
-    found = scored.rollup("lang").agg(F.grouping("lang").alias("all"), F.count("*").alias("n"), at).collect()
-    overall = next((r["at"] for r in found if r["all"]), None)
-    table = docs.sparkSession.createDataFrame(
-        [(r["lang"] or "", r["lang"] is None, r["at"]) for r in found if not r["all"] and r["n"] >= LEAST_HELD], "_lang string, _none boolean, _at double"
-    )
+    model, scored = cross_fit(trusted, shard_rows)
+    found, overall = thresholds(scored.df, quantile)
+    scored.drop()
+    table = docs.sparkSession.createDataFrame([(lang or "", lang is None, at) for lang, at in found], "_lang string, _none boolean, _at double")
     out = model.score(docs)
     same = (F.coalesce(out["lang"], F.lit("")) == table["_lang"]) & (out["lang"].isNull() == table["_none"])
     threshold = F.coalesce(F.col("_at"), F.lit(overall).cast("double")) * (1 + F.lit(SHORT) / F.sqrt(F.greatest(F.lit(1), F.length("text"))))

@@ -130,6 +130,28 @@ def test_quality_on_odd_rows(spark, odd):
     assert all(r["keep"] for r in quality.judge(odd, marks.limit(0)).collect() if r["text"])
 
 
+def test_every_trusted_document_sets_thresholds(spark):
+    rows = [(k, f"the small cat number {k} sat near the {w} tree and slept", "en" if k % 3 else None) for k, w in enumerate(["old", "tall", "green"] * 20)]
+    trusted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, scored = quality.cross_fit(trusted)
+    assert scored.df.count() == len(rows) and scored.df.filter("perplexity is null").count() == 0
+    own = quality.Perplexity(trusted)
+    a, b = (sorted(r["perplexity"] for r in m.score(trusted).collect()) for m in (model, own))
+    assert a == pytest.approx(b, rel=1e-5)
+    # out of sample: the score under counts without the document's fold, as learnt from the other folds alone
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS))
+    want = [r["perplexity"] for k in range(quality.FOLDS) for r in quality.Perplexity(trusted.filter(fold != k)).score(trusted.filter(fold == k)).collect()]
+    assert sorted(r["perplexity"] for r in scored.df.collect()) == pytest.approx(sorted(want), rel=1e-5)
+
+
+def test_small_languages_lean_on_all(spark):
+    rows = [("a", 4.0)] * 1000 + [("b", 9.0)] * 49 + [("c", 9.0)] * 50 + [(None, 9.0)]
+    found, overall = quality.thresholds(spark.createDataFrame(rows, "lang string, perplexity double"), 0.5)
+    at = dict(found)
+    assert overall == 4 and at["a"] == pytest.approx(4)
+    assert 4 < at[None] < 4.1 and 0 < at["c"] - at["b"] < 0.05 and at["c"] == pytest.approx(6)
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([("a", "one. two.\nthree four."), ("b", "three four.\none. two."), ("c", "one. two."), ("d", "three four.")], "k string, text string")
     rows = {r["k"]: r for r in fingerprint.with_fingerprint(df, "text", "f").collect()}
