@@ -2,15 +2,16 @@
 
 The model counts runs of ORDER characters in all trusted text. Tasks count their own share, and
 the sums, continuation counts, discounts and interpolated probabilities are aggregations and
-joins sharded by run. For scoring, the table of log probabilities and back-off weights is cut into
-shards of bounded size by the character before the predicted one; each shard is broadcast and joined to the
-documents' runs, and a document's log likelihood is the sum over the shards. A document is rejected if its
+joins sharded by run. Scoring looks runs up in hash tables rather than joining them, which would shuffle about
+a row a character: the table of log probabilities and back-off weights is cut into shards of bounded size by a hash
+of the whole context, one shard at a time is broadcast, and a document's log likelihood is the sum over the shards.
+A document is rejected if its
 perplexity is above the quantile that trusted documents of its language reach, each under a model of the other folds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ SHORT = 3.0
 FOLDS = 5
 CHUNK_CHARS = 1 << 18
 _CHAR = (1 << BITS) - 1
+#: Their products stay within 63 bits.
+_PRIME, _FACTOR = (1 << 31) - 1, 0x9E3779B1
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +119,9 @@ def _discounts(grams: DataFrame, models: int) -> list[tuple[float, float, float]
 
 
 def model_table(counts: DataFrame, models: int = 1) -> Saved:
-    """(fold, kind, k, key, value) from (fold, run, n), a model for each fold below `models`.
+    """(fold, kind, k, key, value, step) from (fold, run, n), a model for each fold below `models`.
 
-    Kind p: log probability of the run `key` of k characters; kind g: log back-off weight of the context `key` before a k-th.
+    Kind p: log probability of the run `key` of k characters, step: less that of the run without its first; kind g: log back-off weight of the context `key` before a k-th.
     Lower orders count distinct left neighbours. Row (p, 0, 0) is the log probability of any character never seen.
     Each order is written before the next uses it, so no aggregation runs twice.
     """
@@ -143,13 +146,13 @@ def model_table(counts: DataFrame, models: int = 1) -> Saved:
         rows = grams[k].withColumn("ctx", context).join(contexts, ["fold", "ctx"])
         own = F.greatest(F.lit(0.0), (F.col("n") - _discount(F.col("n"), d)) / F.col("total"))
         if lower is None:
-            rows = rows.withColumn("p", own + F.col("gamma") / symbols)
-            tables.append(contexts.select("fold", F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), F.log(F.col("gamma") / symbols).alias("value")))
+            rows = rows.withColumn("p", own + F.col("gamma") / symbols).withColumn("p_low", F.lit(1.0))
+            tables.append(contexts.select("fold", F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), F.log(F.col("gamma") / symbols).alias("value"), F.lit(0.0).alias("step")))
         else:
             rows = rows.withColumn("low", F.col("run").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, ["fold", "low"]).withColumn("p", own + F.col("gamma") * F.col("p_low"))
-            tables.append(contexts.select("fold", F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value")))
-        rows = kept(rows.select("fold", "run", "p"), f"probabilities{k}")
-        tables.append(rows.select("fold", F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value")))
+            tables.append(contexts.select("fold", F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value"), F.lit(0.0).alias("step")))
+        rows = kept(rows.select("fold", "run", "p", "p_low"), f"probabilities{k}")
+        tables.append(rows.select("fold", F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value"), F.log(F.col("p") / F.col("p_low")).alias("step")))
         lower = rows.select("fold", F.col("run").alias("low"), F.col("p").alias("p_low"))
     out = tables[0]
     for t in tables[1:]:
@@ -201,7 +204,11 @@ class Lookup:
 
 @dataclass(frozen=True)
 class Shard:
-    """Log probabilities by length, log back-off weights by length, of an unseen character; and which shard of how many this is."""
+    """Log probabilities by length, log back-off weights by length, of an unseen character; and which shard of how many this is.
+
+    One among several holds steps in place of log probabilities: with a seen run all its ends are seen, so the log probability of the
+    longest seen one is the sum of the steps, and each order can be looked up where its own context is. Single characters are in shard 0.
+    """
 
     p: dict[int, Lookup]
     g: dict[int, Lookup]
@@ -214,8 +221,13 @@ class Shard:
         if not texts:
             return np.zeros(0), np.zeros(0, np.int64)
         packed, counts, starts = runs(texts)
-        mine = counts if self.of == 1 else counts & (_shard_of((packed >> np.uint64(BITS)) & np.uint64(_CHAR), self.of) == self.number)
-        run = packed[mine]
+        run = packed[counts]
+        each = np.zeros(len(packed))
+        each[counts] = self._whole(run) if self.of == 1 else self._part(run)
+        return np.add.reduceat(each, starts), np.add.reduceat(counts, starts, dtype=np.int64)
+
+    def _whole(self, run: np.ndarray) -> np.ndarray:
+        """Log probability of each run's last character."""
         total, left = np.zeros(len(run)), np.arange(len(run))
         for k in range(ORDER, 0, -1):
             keys = run[left] & np.uint64((1 << BITS * k) - 1)
@@ -226,22 +238,34 @@ class Shard:
             if k > 1 and len(left):
                 total[left] += np.nan_to_num(self.g[k].get(keys[~hit] >> np.uint64(BITS)), nan=0.0)
         total[left] += self.unseen
-        each = np.zeros(len(packed))
-        each[mine] = total
-        return np.add.reduceat(each, starts), np.add.reduceat(counts, starts, dtype=np.int64)
+        return total
+
+    def _part(self, run: np.ndarray) -> np.ndarray:
+        """This shard's share of it."""
+        total = np.zeros(len(run))
+        for k in range(2, ORDER + 1):
+            keys = run & np.uint64((1 << BITS * k) - 1)
+            at = np.flatnonzero(_shard_of(keys >> np.uint64(BITS), self.of) == self.number)
+            found = self.p[k].get(keys[at])
+            total[at] += np.where(np.isnan(found), np.nan_to_num(self.g[k].get(keys[at] >> np.uint64(BITS)), nan=0.0), found)
+        if self.number == 0:
+            found = self.p[1].get(run & np.uint64(_CHAR))
+            total += np.where(np.isnan(found), self.unseen, found)
+        return total
 
 
-def _shard_of(char: np.ndarray, of: int) -> np.ndarray:
-    return (char * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(of)
+def _shard_of(context: np.ndarray, of: int) -> np.ndarray:
+    return (context % np.uint64(_PRIME) * np.uint64(_FACTOR) >> np.uint64(16)) % np.uint64(of)
 
 
 def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
-    """The rows of one shard on the driver: runs whose last but one character falls into it, contexts whose last does, and single characters."""
-    before = F.when((F.col("kind") == "p") & (F.col("k") > 1), F.shiftrightunsigned("key", BITS)).otherwise(F.col("key")).bitwiseAND(F.lit(_CHAR))
-    own = F.col("k") < 2 if of > 1 else F.lit(True)
+    """The rows of one shard on the driver: runs whose context falls into it, and such contexts."""
+    context = F.when(F.col("kind") == "p", F.shiftrightunsigned("key", BITS)).otherwise(F.col("key"))
     if of > 1:
-        own = own | (F.shiftrightunsigned(before * F.lit(0x9E3779B1), 7) % F.lit(of) == number)
-    rows = model.filter(own).select((F.col("kind") == "p").alias("is_p"), F.col("k").cast("byte"), "key", F.col("value").cast("float")).toArrow()
+        place = F.shiftrightunsigned(context % F.lit(_PRIME) * F.lit(_FACTOR), 16) % F.lit(of)
+        model = model.filter(F.when(F.col("k") < 2, F.lit(number == 0)).otherwise(place == number))
+    value = F.when((F.col("kind") == "p") & (F.col("k") > 1), F.col("step")).otherwise(F.col("value")) if of > 1 else F.col("value")
+    rows = model.select((F.col("kind") == "p").alias("is_p"), F.col("k").cast("byte"), "key", value.cast("float").alias("value")).toArrow()
     is_p, length, key, value = (rows[c].to_numpy() for c in ("is_p", "k", "key", "value"))
     picked = lambda kind, k: (is_p == (kind == "p")) & (length == k)
     table = lambda at: Lookup(key[at].view(np.uint64), value[at])
@@ -249,6 +273,21 @@ def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
     return Shard({k: table(picked("p", k)) for k in range(1, ORDER + 1)}, {k: table(picked("g", k)) for k in range(2, ORDER + 1)}, float(unseen[0]) if len(unseen) else -np.log(_CHAR), number, of)
 
 
+class Shards(Sequence):
+    """The shards of a model, each loaded and broadcast when it is asked for."""
+
+    def __init__(self, model: DataFrame, of: int):
+        self.model, self.of = model, of
+
+    def __len__(self) -> int:
+        return self.of
+
+    def __getitem__(self, number: int) -> Broadcast:
+        if not 0 <= number < self.of:
+            raise IndexError(number)
+        return self.model.sparkSession.sparkContext.broadcast(load_shard(self.model, number, self.of))
+
+
 def likelihood_column(shard: Broadcast, text: Column) -> Column:
     """struct<total double, chars long> of whole texts, null as empty."""
 
@@ -262,14 +301,15 @@ def likelihood_column(shard: Broadcast, text: Column) -> Column:
 
 
 class Perplexity:
-    """A model in the shared folder, ready to score: its shards are loaded once."""
+    """A model in the shared folder, ready to score: a single shard is loaded once, several one after the other."""
 
     def __init__(self, trusted: DataFrame, shard_rows: int = SHARD_ROWS):
         counts = Saved(count_runs(trusted).withColumn("fold", F.lit(0)), "run-counts")
         table = model_table(counts.df)
         counts.drop()
         self._load(table.df, shard_rows)
-        table.drop()
+        if len(self.shards) == 1:
+            table.drop()
 
     @classmethod
     def of_table(cls, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Perplexity:
@@ -279,22 +319,38 @@ class Perplexity:
         return out
 
     def _load(self, model: DataFrame, shard_rows: int) -> None:
-        context = model.sparkSession.sparkContext
         self.rows = model.count()
         of = max(1, -(-self.rows // shard_rows))
-        self.shards = [context.broadcast(load_shard(model, k, of)) for k in range(of)]
+        shards = Shards(model, of)
+        self.shards = [shards[0]] if of == 1 else shards
 
     def free(self) -> None:
-        """Give up the shards once nothing is scored any more."""
-        for s in self.shards:
-            s.destroy()
+        """Give up what is held once nothing is scored any more."""
+        if isinstance(self.shards, list):
+            self.shards[0].destroy()
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """`docs` (needs text) plus perplexity; null for an empty or null text. One pass without a shuffle: the shards' sums stand side by side in a row."""
-        out = docs.withColumns({f"_part{k}": likelihood_column(s, F.col("text")) for k, s in enumerate(self.shards)})
-        total = sum((F.col(f"_part{k}")["total"] for k in range(1, len(self.shards))), F.col("_part0")["total"])
-        chars = F.col("_part0")["chars"]
-        return out.withColumn("perplexity", F.when(chars > 0, F.exp(-total / chars))).drop(*(f"_part{k}" for k in range(len(self.shards))))
+        """`docs` (needs text) plus perplexity; null for an empty or null text. With one shard a pass without a shuffle; else a pass a shard, and the texts' sums are joined by two hashes."""
+        if len(self.shards) == 1:
+            out = docs.withColumn("_part", likelihood_column(self.shards[0], F.col("text")))
+            total, chars = F.col("_part")["total"], F.col("_part")["chars"]
+            return out.withColumn("perplexity", F.when(chars > 0, F.exp(-total / chars))).drop("_part")
+        hashes = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("second"), "text").alias("_h2")]
+        parts: list[Saved] = []
+        for number in range(len(self.shards)):
+            shard = self.shards[number]
+            found = docs.select(*hashes, likelihood_column(shard, F.col("text")).alias("part")).select("_h1", "_h2", F.lit(number).alias("number"), "part.*")
+            parts.append(Saved(found.groupBy("_h1", "_h2", "number").agg(F.max("total").alias("total"), F.max("chars").alias("chars")), "shard-sums"))
+            shard.destroy()
+        sums = parts[0].df
+        for part in parts[1:]:
+            sums = sums.unionByName(part.df)
+        whole = Saved(sums.groupBy("_h1", "_h2").agg(F.sum("total").alias("_total"), F.max("chars").alias("_chars")), "text-sums")
+        for part in parts:
+            part.drop()
+        out = docs.withColumns({"_h1": hashes[0], "_h2": hashes[1]}).join(small(whole.df, whole.df.count(), 32), ["_h1", "_h2"], "left")
+        score = F.when(F.col("_chars") > 0, F.exp(-F.col("_total") / F.col("_chars")))
+        return out.withColumn("perplexity", score).drop("_h1", "_h2", "_total", "_chars")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -326,8 +382,10 @@ def cross_fit(trusted: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[Perplex
     for part in scored:
         out = out.unionByName(part.df)
     whole, found = Perplexity.of_table(table.df.filter(F.col("fold") == FOLDS), shard_rows), Saved(out, "trusted-scores")
-    for t in (own, counts, models_counts, table, *scored):
+    for t in (own, counts, models_counts, *scored):
         t.drop()
+    if len(whole.shards) == 1:
+        table.drop()
     return whole, found
 
 

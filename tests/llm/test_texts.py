@@ -121,6 +121,21 @@ def test_shards_agree_with_one(spark, sf_dir):
     assert all(a[k] == pytest.approx(b[k], rel=1e-5) for k in a)
 
 
+def test_a_hot_character_is_split_between_shards(spark, odd):
+    spark_texts = spark.createDataFrame([("".join(chr(97 + (i * j) % 23) + " " + chr(97 + j % 19) for j in range(1, 200)),) for i in range(1, 12)], "text string")
+    model = quality.Perplexity(spark_texts, shard_rows=300)
+    of = len(model.shards)
+    assert of > 2
+    loaded = [s.value for s in model.shards]
+    whole = quality.Perplexity(spark_texts).shards[0].value
+    rows = lambda s: sum(int((~np.isnan(t.values)).sum()) for t in [*s.p.values(), *s.g.values()])
+    assert sum(map(rows, loaded)) == rows(whole) and max(map(rows, loaded)) < 2 * rows(whole) / of
+    spaced = [sum(int((~np.isnan(s.p[k].values) & ((s.p[k].keys >> np.uint64(16)) & np.uint64(65535) == 32)).sum()) for k in (3, 4)) for s in loaded]
+    assert sum(n > 0 for n in spaced) > 1
+    a, b = ([r["perplexity"] for r in m.score(odd).orderBy("doc_id", "_key").collect()] for m in (model, quality.Perplexity(spark_texts)))
+    assert len(a) == len(ODD) and all((x is None and y is None) or x == pytest.approx(y, rel=1e-5) for x, y in zip(a, b, strict=True))
+
+
 def test_quality_on_odd_rows(spark, odd):
     marks = spark.createDataFrame([(4, 1), (6, 1), (6, 1), (None, 1), (5, None), (1, 0)], "doc_id long, quality int")
     rows = quality.judge(odd.withColumn("keep", F.lit("x")), marks).collect()
