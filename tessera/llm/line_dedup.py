@@ -7,6 +7,9 @@ key, and lines with a common variant are one edit apart. Two lossless steps befo
 half of such lines is intact, so only lines that share a half (and the length it implies) with another line go on;
 of these, only pieces of PIECE characters whose surroundings are shared emit variants.
 Each group only yields its earliest member, so a hot group costs one row a member and no pairs.
+
+The plan is the same at every size. Texts and lines are not shuffled to be looked up: Bloom filters of
+bounded size let those pass that may be concerned, and only they go to the exact joins.
 """
 
 from __future__ import annotations
@@ -14,20 +17,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, private, small
+from tessera.llm.bloom import Bloom
+from tessera.llm.common import Saved, private
 
-#: Shorter lines stay: in them one edit is not small.
+#: Shorter lines only go if an equal one stands earlier: in them one edit is not small.
 LEAST_CHARS = 20
 PIECE = 64
 _SPACE = " \t\r"
+_LAST = (1 << 63) - 1
+
+
+def _document(docs: DataFrame) -> tuple[Column, Column]:
+    """(doc, row): doc_id with null as the last, a hash of the text; documents are in this order."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), F.xxhash64(docs["text"])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, row, idx, line, h1, h2) of each line of LEAST_CHARS or more; doc is doc_id (null last), row a hash of the text, line trimmed."""
-    split = docs.filter("text is not null").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("idx", "raw")
-    )
-    trimmed = split.select("doc", "row", "idx", F.btrim("raw", F.lit(_SPACE)).alias("line")).filter(F.length("line") >= LEAST_CHARS)
+    """(doc, row, idx, line, h1, h2) of each line that isn't blank; line is trimmed."""
+    doc, row = _document(docs)
+    split = docs.filter("text is not null").select(doc.alias("doc"), row.alias("row"), F.posexplode(F.split("text", "\n")).alias("idx", "raw"))
+    trimmed = split.select("doc", "row", "idx", F.btrim("raw", F.lit(_SPACE)).alias("line")).filter("line <> ''")
     return trimmed.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -42,10 +51,14 @@ def _halves(line: Column) -> list[Column]:
     return out
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Keys (kind, key, sub) with two or more occurrences, the smallest doc, and whether different lines have it."""
-    found = keyed.groupBy("kind", "key", "sub").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.min("h2").alias("low"), F.max("h2").alias("high"))
-    return found.filter("n > 1").select("kind", "key", "sub", "first", (F.col("low") != F.col("high")).alias("differ"))
+def _keys(lines: DataFrame) -> Saved:
+    """(half, key): hashes of whole lines (half false) that occur twice or more, and of halves that different lines have."""
+    whole = F.struct(F.lit(False).alias("half"), F.col("h1").alias("key"))
+    halves = [F.struct(F.lit(True).alias("half"), key.alias("key")) for key in _halves(F.col("line"))]
+    keys = F.when(F.length("line") >= LEAST_CHARS, F.array(whole, *halves)).otherwise(F.array(whole))
+    keyed = lines.select("h2", F.explode(keys).alias("k")).select("k.half", "k.key", "h2")
+    found = keyed.groupBy("half", "key").agg(F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high"))
+    return Saved(found.filter(F.when(F.col("half"), F.col("low") != F.col("high")).otherwise(F.col("n") > 1)).select("half", "key"), "line-keys")
 
 
 def _pieces(lines: DataFrame) -> DataFrame:
@@ -80,8 +93,8 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return pieces.select(F.explode(emitted).alias("v"), "long", "h1", "h2", "at").select("v.kind", "v.key", "long", "h1", "h2", "at")
 
 
-def earlier_neighbours(lines: DataFrame) -> DataFrame:
-    """(h1, h2, near) of the lines of (h1, h2, line, at) that have an earlier line within one edit; near is the `at` of the earliest. The edit distance is verified on the texts."""
+def earlier_neighbours(lines: DataFrame) -> Saved:
+    """(h1, h2, near) of the lines of (h1, h2, line, at) that have an earlier line within one edit; near is the `at` of the earliest. The edit distance is verified on the texts before the earliest is picked."""
     pieces = Saved(_pieces(lines), "pieces")
     common = pieces.df.groupBy("key").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).filter("low <> high").select("key")
     variants = Saved(_variants(pieces.df.join(common, "key", "left_semi")), "variants")
@@ -91,44 +104,42 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     ).filter("low <> high")
     other = F.when((F.col("kind") == "swap") | F.col("long"), F.col("base")).otherwise(F.col("longer"))
     met = variants.df.join(firsts, ["kind", "key"]).withColumn("other", other).filter(F.col("other")["at"] < F.col("at"))
-    best = met.groupBy("h1", "h2").agg(F.min("other").alias("other")).select("h1", "h2", F.col("other.at").alias("near"), F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
+    pairs = met.select("h1", "h2", "other.at", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
     text = lambda a, b, name: lines.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("line").alias(name))
-    both = best.join(text("h1", "h2", "own"), ["h1", "h2"]).join(text("o1", "o2", "their"), ["o1", "o2"])
-    out = Saved(both.filter(F.levenshtein(F.col("own"), F.col("their"), 1) >= 0).select("h1", "h2", "near"), "near-lines")
+    both = pairs.join(text("h1", "h2", "own"), ["h1", "h2"]).join(text("o1", "o2", "their"), ["o1", "o2"])
+    near = both.filter(F.levenshtein(F.col("own"), F.col("their"), 1) >= 0).groupBy("h1", "h2").agg(F.min("at").alias("near"))
+    out = Saved(near, "near-lines")
     pieces.drop()
     variants.drop()
-    return out.df
+    return out
 
 
 def dropped_lines(docs: DataFrame) -> Saved:
     """(doc, row, gone): for each document that loses lines, the places (from 0) of the lost ones."""
-    lines = _lines(docs)
-    kinds = [F.struct(F.lit(0).alias("kind"), F.col("h1").alias("key"), F.col("h2").alias("sub"))]
-    kinds += [F.struct(F.lit(1).alias("kind"), half.alias("key"), F.lit(0).cast("long").alias("sub")) for half in _halves(F.col("line"))]
-    keyed = lines.select("doc", "h1", "h2", F.explode(F.array(*kinds)).alias("k")).select("doc", "h1", "h2", "k.*")
-    shared = Saved(_shared(keyed), "line-keys")
-    repeated = shared.df.filter("kind = 0").select(F.col("key").alias("h1"), F.col("sub").alias("h2"), "first")
-
-    # lines that share a half with another line, with their text and first place
-    halves = shared.df.filter("kind = 1 and differ").select("key")
-    some = Saved(keyed.filter("kind = 1").join(small(halves, halves.count(), 16), "key", "left_semi").select("h1", "h2").distinct(), "some-lines")
-    likely = Saved(
-        lines.join(small(some.df, some.df.count(), 24), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(F.struct("doc", "row", "idx")).alias("at")),
-        "likely-lines",
-    )
+    lines, place = _lines(docs), F.struct("doc", "row", "idx")
+    keys = _keys(lines)
+    repeated, shared = keys.df.filter("not half").select("key"), Bloom(keys.df.filter("half").select("key"))
+
+    # lines that may share a half with another line, with their text and first place
+    halves = _halves(F.col("line"))
+    likely = lines.filter(F.length("line") >= LEAST_CHARS).withColumns({f"half{k}": half for k, half in enumerate(halves)})
+    for k in range(len(halves)):
+        likely = shared.mark(likely, F.col(f"half{k}"), f"may{k}")
+    likely = likely.filter(" or ".join(f"may{k}" for k in range(len(halves))))
+    likely = Saved(likely.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(place).alias("at")), "likely-lines")
     near = earlier_neighbours(likely.df)
 
-    limits = Saved(repeated.join(near, ["h1", "h2"], "full"), "line-limits")
-    places = lines.join(small(limits.df, limits.df.count(), 56), ["h1", "h2"]).groupBy("doc", "row", "h1", "h2", "first", "near").agg(F.sort_array(F.collect_list("idx")).alias("at"))
-    earlier_equal = F.when(F.col("first") < F.col("doc"), F.col("at")).when(F.col("first").isNotNull(), F.slice("at", 2, F.size("at"))).otherwise(F.array().cast("array<int>"))
-    earlier_near = (
-        F.when(F.col("near.doc") < F.col("doc"), F.col("at"))
-        .when((F.col("near.doc") == F.col("doc")) & (F.col("near.row") == F.col("row")), F.filter("at", lambda i: i > F.col("near.idx")))
-        .otherwise(F.array().cast("array<int>"))
-    )
-    gone = places.withColumn("gone", F.array_union(earlier_equal, earlier_near)).filter(F.size("gone") > 0)
-    out = Saved(gone.groupBy("doc", "row").agg(F.flatten(F.collect_list("gone")).alias("gone")), "dropped-lines")
-    for t in (shared, some, likely, limits):
+    # each occurrence of a repeated line, or of one with an earlier neighbour, against its limit: the first place of the line or the neighbour's
+    wanted = repeated.unionByName(near.df.select(F.col("h1").alias("key"))).distinct()
+    wanted = Saved(wanted, "wanted-lines")
+    maybe = Bloom(wanted.df)
+    places = Saved(maybe.mark(lines.drop("line"), F.col("h1"), "may").filter("may").drop("may").join(wanted.df, F.col("h1") == F.col("key"), "left_semi"), "line-places")
+    firsts = places.df.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    limits = firsts.join(near.df, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "near").alias("limit"))
+    limits = Saved(limits, "line-limits")
+    gone = places.df.join(limits.df, ["h1", "h2"]).filter(place > F.col("limit"))
+    out = Saved(gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("idx")).alias("gone")), "dropped-lines")
+    for t in (keys, shared, likely, near, wanted, maybe, places, limits):
         t.drop()
     return out
 
@@ -136,24 +147,29 @@ def dropped_lines(docs: DataFrame) -> Saved:
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text; more columns pass) with the lost lines cut from text, plus n_lines and n_dropped.
 
-    Lines end at line feeds; they are compared trimmed of spaces, tabs and carriage returns; the others stay as
-    they are. Rows that share a doc_id aren't earlier than one another, and rows equal in doc_id and text are one document. A null doc_id
-    comes last. Null texts stay null with 0 lines; an empty text has one empty line. Existing columns n_lines, n_dropped and those that begin
-    with an underscore are dropped.
+    Lines end at line feeds; they are compared trimmed of spaces, tabs and carriage returns, and blank ones stay; the others stay as
+    they are. A null doc_id comes last; documents that share a doc_id (or have none) are in the order of a hash of their texts, and rows equal in
+    doc_id and text are one document: they lose the same lines. Null texts stay null with 0 lines; an empty text has one empty line.
+    Existing columns n_lines, n_dropped and those that begin with an underscore are dropped.
     """
     docs = docs.drop("n_lines", "n_dropped", *private(docs))
     gone = dropped_lines(docs)
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
     lost = gone.df.withColumnsRenamed({"doc": "_doc", "row": "_row", "gone": "_gone"})
-    size = gone.df.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    rows = docs.join(small(lost, size[0] + size[1], 64), (doc == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left")
+    key = Bloom(gone.df.select(F.xxhash64("doc", "row").alias("key")))
+    doc, row = _document(docs)
+    rows = key.mark(docs, F.xxhash64(doc, row), "_may")
+    whole = rows.filter("not _may").withColumn("_gone", F.lit(None).cast("array<int>"))
+    hit = rows.filter("_may")
+    doc, row = _document(hit)
+    cut = hit.join(lost, (doc == F.col("_doc")) & (row == F.col("_row")), "left").drop("_doc", "_row")
+    rows = whole.unionByName(cut).drop("_may")
     rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
     kept = F.array_join(F.transform("_left", lambda i: F.col("_lines")[i]), "\n")
     return rows.withColumns({
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"),
         "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"),
-    }).drop("_doc", "_row", "_gone", "_lines", "_left")
+    }).drop("_gone", "_lines", "_left")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,14 +181,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated_sql(docs: str) -> str:
     """CTEs ending in `line_kept`: the rows of `docs` (unique doc_id) with `kept` for the new text, n_lines and n_dropped."""
     return rf"""lraw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM {docs} WHERE text IS NOT NULL),
-lall AS (SELECT doc_id, idx, raw, CASE WHEN length(trim(raw, E' \t\r')) >= 20 THEN trim(raw, E' \t\r') END AS line FROM lraw),
+lall AS (SELECT doc_id, idx, raw, nullif(trim(raw, E' \t\r'), '') AS line FROM lraw),
 lfirst AS (SELECT line, min(struct_pack(d := doc_id, i := idx)) AS pos FROM lall WHERE line IS NOT NULL GROUP BY line),
-lvar AS (SELECT line, pos, length(line) AS n, i, hash(left(line, i - 1) || substr(line, i + 1)) AS v FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM lfirst)),
+lvar AS (SELECT line, pos, length(line) AS n, i, hash(left(line, i - 1) || substr(line, i + 1)) AS v FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM lfirst WHERE length(line) >= 20)),
+lwhole AS (SELECT * FROM lfirst WHERE length(line) >= 20),
 lswap AS (SELECT n, i, v, min(pos) AS pos FROM lvar GROUP BY n, i, v HAVING count(*) > 1),
 lnear AS (
   SELECT a.line, b.pos FROM lvar a JOIN lswap b ON a.n = b.n AND a.i = b.i AND a.v = b.v WHERE b.pos < a.pos
-  UNION ALL SELECT a.line, b.pos FROM lvar a JOIN lfirst b ON a.v = hash(b.line) AND length(b.line) = a.n - 1 WHERE b.pos < a.pos
-  UNION ALL SELECT b.line, a.pos FROM lvar a JOIN lfirst b ON a.v = hash(b.line) AND length(b.line) = a.n - 1 WHERE a.pos < b.pos),
+  UNION ALL SELECT a.line, b.pos FROM lvar a JOIN lwhole b ON a.v = hash(b.line) AND length(b.line) = a.n - 1 WHERE b.pos < a.pos
+  UNION ALL SELECT b.line, a.pos FROM lvar a JOIN lwhole b ON a.v = hash(b.line) AND length(b.line) = a.n - 1 WHERE a.pos < b.pos),
 llimit AS (SELECT line, min(pos) AS pos FROM (SELECT line, pos FROM lfirst UNION ALL SELECT line, pos FROM lnear) GROUP BY line),
 lmark AS (SELECT doc_id, idx, raw, coalesce(struct_pack(d := doc_id, i := idx) > llimit.pos, false) AS gone FROM lall LEFT JOIN llimit USING (line)),
 ltext AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY idx) FILTER (NOT gone) AS kept, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM lmark GROUP BY doc_id),
