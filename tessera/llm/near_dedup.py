@@ -22,7 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, small
+from tessera.llm.bloom import Bloom
+from tessera.llm.common import Saved, private
 from tessera.llm.components import components
 from tessera.llm.langid import arrow_chunks, chunks, codes
 
@@ -30,8 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Counters of document frequencies; share of the corpus below which frequencies weigh alike; weight of the idf beside the plain count.
 COUNTERS, RARE, DAMPING = 1 << 18, 1 / 64, 0.25
-#: Members of a bucket that meet as one block.
-BLOCK = 400
+#: Most members, and most shingles, of a bucket that meet as one block on average.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 18
 CHUNK_CHARS = 1 << 19
 #: Shingles are told apart by this many bits.
 _HASH_BITS = np.uint64(44)
@@ -167,7 +168,7 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
             for part in arrow_chunks(batch.column("text"), CHUNK_CHARS):
                 owner, hashes, w = weighted(part, idf.value)
                 found = consistent_samples(owner, hashes, w, len(part))
-                total = np.bincount(owner, w, len(part))
+                total = np.bincount(owner, w, len(part)).astype(np.float64)  # of no shingles it would be integers
                 band = np.zeros((len(part), BANDS), np.uint64)
                 for k in range(ROWS):
                     band = _mix(band * np.uint64(0x9FB21C651E98DF25) + found[:, k::ROWS])
@@ -221,27 +222,29 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: Broadcast
 
 
 def _members(nodes: DataFrame) -> Saved:
-    """(band, key, node, centre) of the nodes in buckets of two or more.
+    """(band, key, node, weight, centre) of the nodes in buckets of two or more.
 
     The centre is the member that shares buckets with the most others over all bands (of equals the largest node): of a group of
-    copies with different edits that is the original or one near it.
+    copies with different edits that is the original or one near it. What a bucket has in common is written before its
+    members meet it: a join of two plain tables, in which a hot bucket's rows can be split.
     """
-    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = Saved(keyed.join(shared, ["band", "key"]), "buckets")
-    degree = sized.df.groupBy("node").agg(F.sum("n").alias("degree"))
-    centres = Saved(sized.df.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre")), "centres")
-    out = Saved(sized.df.drop("n").join(centres.df, ["band", "key"]), "members")  # two plain tables: a hot bucket's rows can be split
-    sized.drop()
-    centres.drop()
+    keyed = nodes.select("node", "weight", F.posexplode("keys").alias("band", "key"))
+    shared = Saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    sized = Saved(keyed.join(shared.df, ["band", "key"]), "buckets")
+    degree = Saved(sized.df.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    centres = Saved(sized.df.join(degree.df, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre")), "centres")
+    out = Saved(sized.df.drop("n").join(centres.df, ["band", "key"]), "members")
+    for t in (shared, sized, degree, centres):
+        t.drop()
     return out
 
 
 def _texts(docs: DataFrame, picked: Saved) -> DataFrame:
-    """(node, text) of one document for each row (first_id, no_id, node) of `picked`, so copies don't multiply."""
+    """(node, text) of one document for each row (first_id, no_id, node) of `picked`, so copies don't multiply. Only texts that a Bloom filter of `picked` passes are shuffled."""
     node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
     given = docs.select(F.coalesce(docs["doc_id"], F.lit(0)).alias("first_id"), docs["doc_id"].isNull().alias("no_id"), node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.join(small(picked.df, picked.df.count(), 64), ["first_id", "no_id", "node"], "left_semi").select("node", "text")
+    likely = Bloom(picked.df.select(F.xxhash64("first_id", "node").alias("key"))).mark(given, F.xxhash64("first_id", "node"), "may").filter("may")
+    return likely.join(picked.df, ["first_id", "no_id", "node"], "left_semi").select("node", "text")
 
 
 def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,17 +294,22 @@ def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray,
 def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, idf: Broadcast, similarity: float) -> Saved:
     """Links (a, b) between components that the centres missed: of each member outside its centre's component with the bucket's other members.
 
-    Members meet in pairs of blocks of about BLOCK, with their whole weighted sets: pairs are never rows, and of
-    the links found between two components one is returned.
+    Blocks of outside members meet blocks of all, with their whole weighted sets: pairs are never rows, a bucket with few outside
+    costs each member a row a block of these, and of the links found between two components one is returned.
     """
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    known = (
+    known = Saved(
         members.join(label("node"), "node", "left").join(label("centre"), "centre", "left")
         .withColumns({"of": F.coalesce("node_label", "node"), "at": F.coalesce("centre_label", "centre")})
-        .withColumn("out", F.col("of") != F.col("at"))
+        .select("band", "key", "node", "weight", "of", (F.col("of") != F.col("at")).alias("out"), (F.col("node") == F.col("centre")).alias("middle")),
+        "known-members",
+    )
+    part = lambda only: F.greatest(
+        F.lit(1), F.ceil(F.sum(only.cast("int")) / BLOCK).cast("int"), F.ceil(F.sum(F.when(only, F.col("weight")).otherwise(0.0)) / BLOCK_SHINGLES).cast("int")
     )
-    buckets = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("outside")).filter("outside > 0 and n > 2")
-    rows = Saved(known.join(buckets, ["band", "key"]).filter("node <> centre").select("band", "key", "node", "of", "out", "n"), "left-over")
+    buckets = known.df.groupBy("band", "key").agg(F.count("*").alias("n"), F.max("out").alias("any"), part(F.col("out")).alias("asking"), part(F.lit(True)).alias("blocks"))
+    buckets = Saved(buckets.filter("any and n > 2").select("band", "key", "asking", "blocks"), "open-buckets")
+    rows = Saved(known.df.filter("not middle").join(buckets.df, ["band", "key"]).select("band", "key", "node", "of", "out", "asking", "blocks"), "left-over")
     picked = Saved(rows.df.select("node").distinct().join(nodes, "node").select("first_id", "no_id", "node"), "left-over-nodes")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,39 +325,35 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Da
                     done += len(part)
 
     whole = Saved(_texts(docs, picked).mapInPandas(sets, "node binary, hashes binary, times binary").dropDuplicates(["node"]), "sets")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = rows.df.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n").join(whole.df, "node")
+    place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asking = rows.df.filter("out").withColumns({"asks": F.lit(True), "i": place("asking")}).withColumn("j", each("blocks"))
+    asked = rows.df.withColumns({"asks": F.lit(False), "j": place("blocks")}).withColumn("i", each("asking"))
+    dealt = asking.unionByName(asked).drop("out", "asking", "blocks").join(whole.df, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy(bool)
         node, of = [bytes(x) for x in group["node"]], np.unique([bytes(x) for x in group["of"]], return_inverse=True)[1]
-        out, block = group["out"].to_numpy(bool), group["mine"].to_numpy()
-        if not out.any() or len(np.unique(of)) < 2:
+        ask, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(ask) or not len(other) or len(np.unique(of)) < 2:
             return pd.DataFrame({"a": [], "b": []})
-        ask = np.flatnonzero(out)
         shared, total = shared_weights([(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int32)) for h, t in zip(group["hashes"], group["times"], strict=True)], ask, idf.value)
-        union = total[ask][:, None] + total[None, :] - shared
-        hit = (shared >= (similarity - 1e-7) * union) & (union > 0) & (of[ask][:, None] != of[None, :])
-        if block.min() != block.max():
-            hit &= block[ask][:, None] != block[None, :]
+        shared = shared[:, other]
+        union = total[ask][:, None] + total[other][None, :] - shared
+        hit = (shared >= (similarity - 1e-7) * union) & (union > 0) & (of[ask][:, None] != of[other][None, :])
         r, c = np.nonzero(hit)
-        pairs = np.sort(np.column_stack((of[ask[r]], of[c])), axis=1)
+        pairs = np.sort(np.column_stack((of[ask[r]], of[other[c]])), axis=1)
         _, first = np.unique(pairs, axis=0, return_index=True)
-        return pd.DataFrame({"a": [node[k] for k in ask[r[first]]], "b": [node[k] for k in c[first]]})
+        return pd.DataFrame({"a": [node[k] for k in ask[r[first]]], "b": [node[k] for k in other[c[first]]]})
 
     out = Saved(dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct(), "more-links")
-    for t in (rows, picked, whole):
+    for t in (known, buckets, rows, picked, whole):
         t.drop()
     return out
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id, class_size): a row for each row of `docs` (doc_id, text; other columns don't count).
-
-    Texts are linked if they are equal or their weighted Jaccard similarity reaches `similarity`; a class is what links
-    connect, class_id its smallest doc_id (null only if all are), class_size its rows.
-    Null counts as the empty text; texts without words are only linked to equal ones. Rows that repeat count as rows.
-    """
+def _classes(docs: DataFrame, similarity: float) -> tuple[Saved, Saved]:
+    """(doc_id, node) of each row, and (node, class_id, class_size, first_node) of each text; first_node is the smallest of the class's texts that have its smallest doc_id."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(damped_idf(docs))
     signed = Saved(signatures(docs, idf), "signatures")
@@ -369,18 +373,46 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = linked.df.unionByName(more.df)
     labels = components(links) if more.df.limit(1).count() else first
     named = nodes.df.select("node", "least", "rows").join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    by_node = Saved(named.join(whole, "label").select("node", "class_id", "class_size"), "classes")
-    members.drop()
+    firsts = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    whole = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), firsts["node"].alias("first_node"))
+    by_node = Saved(named.join(whole, "label").select("node", "class_id", "class_size", "first_node"), "classes")
+    for t in {id(t): t for t in (nodes, members, linked, more, first, labels)}.values():
+        t.drop()
+    return signed, by_node
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, class_id, class_size): a row for each row of `docs` (doc_id, text; other columns don't count).
+
+    Texts are linked if they are equal or their weighted Jaccard similarity reaches `similarity`; a class is what links
+    connect, class_id its smallest doc_id (null only if all are), class_size its rows.
+    Null counts as the empty text; texts without words are only linked to equal ones. Rows that repeat count as rows.
+    """
+    signed, by_node = _classes(docs, similarity)
     return signed.df.select("doc_id", "node").join(by_node.df, "node").select("doc_id", "node", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` that stand for their class: those with its smallest doc_id. All columns of `docs` stay; rows equal in doc_id and text stay or go together."""
-    found = classes(docs, similarity)
-    gone = Saved(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "dropped")
-    same = docs["doc_id"].eqNullSafe(gone.df["_id"]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))) == gone.df["_node"])
-    return docs.join(small(gone.df, gone.df.count(), 64), same, "left_anti")
+    """One row of `docs` for each class, with all its columns: one with the smallest doc_id (null last), of several texts that share it the one with the smallest MD5.
+
+    Of rows equal in doc_id and text any one stays. Rows that may go are found by a Bloom filter; the others aren't shuffled.
+    Columns that begin with an underscore are dropped.
+    """
+    docs = docs.drop(*private(docs))
+    signed, by_node = _classes(docs, similarity)
+    found = signed.df.select("doc_id", "node").join(by_node.df, "node")
+    found = found.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
+    # a row a document that goes, or that repeats
+    changed = found.groupBy("doc_id", "node").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+    changed = Saved(changed.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("stays").alias("_stays")), "dropped")
+    node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    rows = Bloom(changed.df.select(F.xxhash64("_id", "_node").alias("key"))).mark(docs.withColumn("_md5", node), F.xxhash64(docs["doc_id"].cast("long"), F.col("_md5")), "_may")
+    hit = rows.filter("_may").join(changed.df, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_node")), "left")
+    once = hit.filter("_stays").dropDuplicates(["doc_id", "_md5"])
+    kept = rows.filter("not _may").unionByName(hit.filter("_stays is null").select(rows.columns)).unionByName(once.select(rows.columns))
+    for t in (signed, by_node):
+        t.drop()
+    return kept.drop("_md5", "_may")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
