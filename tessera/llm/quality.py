@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Saved, private, small
 from tessera.llm.langid import arrow_chunks, codes
 
-ORDER, BITS = 4, 16
+ORDER = 5
 #: Rows of the model that are broadcast at a time.
 SHARD_ROWS = 2_000_000
 #: Trusted documents of a language stay below its threshold in this share; that of all counts for it like so many documents.
@@ -33,58 +33,79 @@ SHORT = 3.0
 #: For the thresholds each of so many parts of the trusted documents is scored by a model of the others.
 FOLDS = 5
 CHUNK_CHARS = 1 << 18
-_CHAR = (1 << BITS) - 1
-#: Their products stay within 63 bits.
-_PRIME, _FACTOR = (1 << 31) - 1, 0x9E3779B1
+#: A run's key adds its code points, each times a power of this from the last on, and is mixed.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run that ends at each position, whether the position counts, start of each text).
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
 
-    A run packs the low 16 bits of ORDER code points, the last lowest; before a text stand line feeds. Line feeds between texts don't count.
+
+def runs(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(code points, for each length k from 0 the key of the run of k that ends at each position, whether the position counts, start of each text).
+
+    Before a text stand line feeds; those and the ones between texts don't count. NUL is read as U+FFFD.
     """
-    pad = "\n" * (ORDER - 1)
-    points, starts = codes([pad + t for t in texts])
-    c = (points & _CHAR).astype(np.uint64)
-    packed = c.copy()
-    for back in range(1, ORDER):
-        packed[back:] |= c[:-back] << np.uint64(BITS * back)
-    counts = np.ones(len(c), bool)
+    points, starts = codes(["\n" * (ORDER - 1) + t for t in texts])
+    points = np.where(points == 0, 0xFFFD, points).astype(np.uint32)
+    sums, power = [np.zeros(len(points), np.uint64)], np.uint64(1)
+    for back in range(ORDER):
+        total = sums[-1].copy()
+        total[back:] += (points[: len(points) - back].astype(np.uint64) + np.uint64(1)) * power
+        sums.append(total)
+        power = np.uint64(int(power) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+    counts = np.ones(len(points), bool)
     for k in range(ORDER - 1):
         counts[starts + k] = False
     counts[starts[1:] - 1] = counts[-1] = False
-    return packed, counts, starts
+    return points, [_mixed(x) for x in sums], counts, starts
+
+
+def keys_of(texts: list[str], length: int) -> np.ndarray:
+    """The keys of runs of `length` characters, as in `runs`."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), length).astype(np.uint64)
+    total, power = np.zeros(len(texts), np.uint64), np.uint64(1)
+    for back in range(length):
+        total += (points[:, length - 1 - back] + np.uint64(1)) * power
+        power = np.uint64(int(power) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+    return _mixed(total)
 
 
 def count_runs(texts: DataFrame) -> DataFrame:
-    """(run, n) over column text of all rows: each task adds up its own, then the tasks' counts are summed by run."""
+    """(run string, n) of the runs of ORDER characters over column text of all rows: each task adds up its own, then the tasks' counts are summed by run."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
-        def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["run", "n"])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, first, where = np.unique(np.concatenate([k for k, _, _ in parts]), return_index=True, return_inverse=True)
+            n = np.bincount(where, np.concatenate([n for _, n, _ in parts]), len(keys)).astype(np.int64)
+            return keys, n, np.concatenate([c for _, _, c in parts])[first]
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+        def table(_: np.ndarray, n: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(letters).view(f"<U{ORDER}").ravel().tolist(), pa.string()), pa.array(n)], names=["run", "n"])
 
         for batch in batches:
             for part in arrow_chunks(batch.column(0), CHUNK_CHARS):
-                packed, counts, _ = runs(part)
-                parts.append(np.unique(packed[counts], return_counts=True))
-                held += len(parts[-1][0])
-                if held > 1 << 20:
-                    keys, n = merged()
-                    if len(keys) > 1 << 19:
-                        yield table(keys, n)
+                points, keys, counts, _ = runs(part)
+                at = np.flatnonzero(counts)
+                if not len(at):
+                    continue
+                own, first, n = np.unique(keys[ORDER][at], return_index=True, return_counts=True)
+                parts.append((own, n, points[at[first][:, None] + np.arange(1 - ORDER, 1)]))
+                held += len(own)
+                if held > 1 << 19:
+                    whole = merged()
+                    if len(whole[0]) > 1 << 18:
+                        yield table(*whole)
                         parts, held = [], 0
                     else:
-                        parts, held = [(keys, n)], len(keys)
+                        parts, held = [whole], len(whole[0])
         if parts:
             yield table(*merged())
 
-    return texts.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def left_out(counts: DataFrame, folds: int) -> DataFrame:
@@ -119,10 +140,10 @@ def _discounts(grams: DataFrame, models: int) -> list[tuple[float, float, float]
 
 
 def model_table(counts: DataFrame, models: int = 1) -> Saved:
-    """(fold, kind, k, key, value, step) from (fold, run, n), a model for each fold below `models`.
+    """(fold, kind, k, run, value, step) from (fold, run, n), a model for each fold below `models`.
 
-    Kind p: log probability of the run `key` of k characters, step: less that of the run without its first; kind g: log back-off weight of the context `key` before a k-th.
-    Lower orders count distinct left neighbours. Row (p, 0, 0) is the log probability of any character never seen.
+    Kind p: log probability of the last of the k characters of `run`, step: less that without its first; kind g: log back-off weight of the context `run` before a k-th.
+    Lower orders count distinct left neighbours. The row of kind p with k 0 is the log probability of any character never seen.
     Each order is written before the next uses it, so no aggregation runs twice.
     """
     made: list[Saved] = []
@@ -133,26 +154,25 @@ def model_table(counts: DataFrame, models: int = 1) -> Saved:
 
     grams = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        shorter = F.col("run").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        grams[k] = kept(grams[k + 1].groupBy("fold", shorter.alias("run")).agg(F.count("*").alias("n")), f"runs{k}")
+        grams[k] = kept(grams[k + 1].groupBy("fold", F.right("run", F.lit(k)).alias("run")).agg(F.count("*").alias("n")), f"runs{k}")
     seen = dict(grams[1].groupBy("fold").agg(F.count("*").alias("c")).collect())
     symbols = _by_fold([seen.get(fold, 0) + 1 for fold in range(models)])
     lower, tables = None, []
     for k in range(1, ORDER + 1):
         d = _discounts(grams[k], models)
-        context = F.shiftrightunsigned("run", BITS)
+        context = F.left("run", F.lit(k - 1))
         contexts = grams[k].groupBy("fold", context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"), d)).alias("spared"))
         contexts = kept(contexts.select("fold", "ctx", "total", (F.col("spared") / F.col("total")).alias("gamma")), f"contexts{k}")
         rows = grams[k].withColumn("ctx", context).join(contexts, ["fold", "ctx"])
         own = F.greatest(F.lit(0.0), (F.col("n") - _discount(F.col("n"), d)) / F.col("total"))
         if lower is None:
             rows = rows.withColumn("p", own + F.col("gamma") / symbols).withColumn("p_low", F.lit(1.0))
-            tables.append(contexts.select("fold", F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), F.log(F.col("gamma") / symbols).alias("value"), F.lit(0.0).alias("step")))
+            tables.append(contexts.select("fold", F.lit("p").alias("kind"), F.lit(0).alias("k"), F.lit("").alias("run"), F.log(F.col("gamma") / symbols).alias("value"), F.lit(0.0).alias("step")))
         else:
-            rows = rows.withColumn("low", F.col("run").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, ["fold", "low"]).withColumn("p", own + F.col("gamma") * F.col("p_low"))
-            tables.append(contexts.select("fold", F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("key"), F.log("gamma").alias("value"), F.lit(0.0).alias("step")))
+            rows = rows.withColumn("low", F.right("run", F.lit(k - 1))).join(lower, ["fold", "low"]).withColumn("p", own + F.col("gamma") * F.col("p_low"))
+            tables.append(contexts.select("fold", F.lit("g").alias("kind"), F.lit(k).alias("k"), F.col("ctx").alias("run"), F.log("gamma").alias("value"), F.lit(0.0).alias("step")))
         rows = kept(rows.select("fold", "run", "p", "p_low"), f"probabilities{k}")
-        tables.append(rows.select("fold", F.lit("p").alias("kind"), F.lit(k).alias("k"), F.col("run").alias("key"), F.log("p").alias("value"), F.log(F.col("p") / F.col("p_low")).alias("step")))
+        tables.append(rows.select("fold", F.lit("p").alias("kind"), F.lit(k).alias("k"), "run", F.log("p").alias("value"), F.log(F.col("p") / F.col("p_low")).alias("step")))
         lower = rows.select("fold", F.col("run").alias("low"), F.col("p").alias("p_low"))
     out = tables[0]
     for t in tables[1:]:
@@ -167,7 +187,7 @@ class Lookup:
     """A hash table of 64-bit keys in two numpy arrays; absent keys give NaN."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
+        self.mask = (1 << max(4, int(1.4 * len(keys)).bit_length())) - 1
         self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, np.nan, np.float32)
         taken = np.zeros(self.mask + 1, bool)
         left, slots = np.arange(len(keys)), self._slots(keys)
@@ -220,57 +240,78 @@ class Shard:
         """(sum of the log probabilities of this shard's positions, characters) of each text."""
         if not texts:
             return np.zeros(0), np.zeros(0, np.int64)
-        packed, counts, starts = runs(texts)
-        run = packed[counts]
-        each = np.zeros(len(packed))
-        each[counts] = self._whole(run) if self.of == 1 else self._part(run)
+        _, keys, counts, starts = runs(texts)
+        at = np.flatnonzero(counts)
+        each = np.zeros(len(counts))
+        each[at] = self._whole(keys, at) if self.of == 1 else self._part(keys, at)
         return np.add.reduceat(each, starts), np.add.reduceat(counts, starts, dtype=np.int64)
 
-    def _whole(self, run: np.ndarray) -> np.ndarray:
-        """Log probability of each run's last character."""
-        total, left = np.zeros(len(run)), np.arange(len(run))
+    def _whole(self, keys: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Log probability of the character at each of the positions `at`."""
+        total, left = np.zeros(len(at)), np.arange(len(at))
         for k in range(ORDER, 0, -1):
-            keys = run[left] & np.uint64((1 << BITS * k) - 1)
-            found = self.p[k].get(keys)
+            found = self.p[k].get(keys[k][at[left]])
             hit = ~np.isnan(found)
             total[left[hit]] += found[hit]
             left = left[~hit]
             if k > 1 and len(left):
-                total[left] += np.nan_to_num(self.g[k].get(keys[~hit] >> np.uint64(BITS)), nan=0.0)
+                total[left] += np.nan_to_num(self.g[k].get(keys[k - 1][at[left] - 1]), nan=0.0)
         total[left] += self.unseen
         return total
 
-    def _part(self, run: np.ndarray) -> np.ndarray:
+    def _part(self, keys: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """This shard's share of it."""
-        total = np.zeros(len(run))
+        total = np.zeros(len(at))
         for k in range(2, ORDER + 1):
-            keys = run & np.uint64((1 << BITS * k) - 1)
-            at = np.flatnonzero(_shard_of(keys >> np.uint64(BITS), self.of) == self.number)
-            found = self.p[k].get(keys[at])
-            total[at] += np.where(np.isnan(found), np.nan_to_num(self.g[k].get(keys[at] >> np.uint64(BITS)), nan=0.0), found)
+            context = keys[k - 1][at - 1]
+            mine = np.flatnonzero(_shard_of(context, self.of) == self.number)
+            found = self.p[k].get(keys[k][at[mine]])
+            total[mine] += np.where(np.isnan(found), np.nan_to_num(self.g[k].get(context[mine]), nan=0.0), found)
         if self.number == 0:
-            found = self.p[1].get(run & np.uint64(_CHAR))
+            found = self.p[1].get(keys[1][at])
             total += np.where(np.isnan(found), self.unseen, found)
         return total
 
 
 def _shard_of(context: np.ndarray, of: int) -> np.ndarray:
-    return (context % np.uint64(_PRIME) * np.uint64(_FACTOR) >> np.uint64(16)) % np.uint64(of)
+    return (context >> np.uint64(8)) % np.uint64(of)
+
+
+def with_keys(model: DataFrame) -> DataFrame:
+    """(fold, k, is_p, key, place, value, step) of model_table's rows: the run's key, and bits of its context's key by which shards are dealt."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_p, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_p", "k"))
+            run = np.array(batch.column("run").to_pylist(), object)
+            key, place = np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
+            for k in range(1, ORDER + 1):
+                for p in (True, False):
+                    at = np.flatnonzero((is_p == p) & (length == k))
+                    if len(at):
+                        key[at] = keys_of(list(run[at]), k if p else k - 1)
+                        place[at] = keys_of([r[: k - 1] for r in run[at]], k - 1) >> np.uint64(8)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fold"), batch.column("k"), batch.column("is_p"), pa.array(key.view(np.int64)), pa.array(place.view(np.int64)), batch.column("value"), batch.column("step")],
+                names=["fold", "k", "is_p", "key", "place", "value", "step"],
+            )
+
+    rows = model.select("fold", F.col("k").cast("byte").alias("k"), (F.col("kind") == "p").alias("is_p"), "run", F.col("value").cast("float").alias("value"), F.col("step").cast("float").alias("step"))
+    return rows.mapInArrow(add, "fold int, k byte, is_p boolean, key long, place long, value float, step float")
 
 
 def load_shard(model: DataFrame, number: int = 0, of: int = 1) -> Shard:
-    """The rows of one shard on the driver: runs whose context falls into it, and such contexts."""
-    context = F.when(F.col("kind") == "p", F.shiftrightunsigned("key", BITS)).otherwise(F.col("key"))
+    """The rows of one shard of with_keys on the driver: runs whose context falls into it, and such contexts."""
     if of > 1:
-        place = F.shiftrightunsigned(context % F.lit(_PRIME) * F.lit(_FACTOR), 16) % F.lit(of)
-        model = model.filter(F.when(F.col("k") < 2, F.lit(number == 0)).otherwise(place == number))
-    value = F.when((F.col("kind") == "p") & (F.col("k") > 1), F.col("step")).otherwise(F.col("value")) if of > 1 else F.col("value")
-    rows = model.select((F.col("kind") == "p").alias("is_p"), F.col("k").cast("byte"), "key", value.cast("float").alias("value")).toArrow()
+        model = model.filter(F.when(F.col("k") < 2, F.lit(number == 0)).otherwise(F.col("place") % F.lit(of) == number))
+    value = F.when(F.col("is_p") & (F.col("k") > 1), F.col("step")).otherwise(F.col("value")) if of > 1 else F.col("value")
+    rows = model.select("is_p", "k", "key", value.alias("value")).toArrow()
     is_p, length, key, value = (rows[c].to_numpy() for c in ("is_p", "k", "key", "value"))
+    del rows
     picked = lambda kind, k: (is_p == (kind == "p")) & (length == k)
     table = lambda at: Lookup(key[at].view(np.uint64), value[at])
     unseen = value[picked("p", 0)]
-    return Shard({k: table(picked("p", k)) for k in range(1, ORDER + 1)}, {k: table(picked("g", k)) for k in range(2, ORDER + 1)}, float(unseen[0]) if len(unseen) else -np.log(_CHAR), number, of)
+    return Shard({k: table(picked("p", k)) for k in range(1, ORDER + 1)}, {k: table(picked("g", k)) for k in range(2, ORDER + 1)}, float(unseen[0]) if len(unseen) else -np.log(0x110000), number, of)
 
 
 class Shards(Sequence):
@@ -305,15 +346,17 @@ class Perplexity:
 
     def __init__(self, trusted: DataFrame, shard_rows: int = SHARD_ROWS):
         counts = Saved(count_runs(trusted).withColumn("fold", F.lit(0)), "run-counts")
-        table = model_table(counts.df)
+        runs_table = model_table(counts.df)
+        table = Saved(with_keys(runs_table.df), "keyed-model")
         counts.drop()
+        runs_table.drop()
         self._load(table.df, shard_rows)
         if len(self.shards) == 1:
             table.drop()
 
     @classmethod
     def of_table(cls, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Perplexity:
-        """The model whose rows of model_table are given."""
+        """The model whose rows of with_keys are given."""
         out = cls.__new__(cls)
         out._load(model, shard_rows)
         return out
@@ -371,7 +414,9 @@ def cross_fit(trusted: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[Perplex
         counts = counts.unionByName(count_runs(parts[k]).withColumn("fold", F.lit(k)))
     counts = Saved(counts, "run-counts")
     models_counts = Saved(left_out(counts.df, FOLDS), "left-out-counts")
-    table = model_table(models_counts.df, FOLDS + 1)
+    runs_table = model_table(models_counts.df, FOLDS + 1)
+    table = Saved(with_keys(runs_table.df), "keyed-model")
+    runs_table.drop()
     scored: list[Saved] = []
     for k in range(FOLDS):
         model = Perplexity.of_table(table.df.filter(F.col("fold") == k), shard_rows)
@@ -406,7 +451,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
 
     The model learns from all trusted documents; they also set a threshold for each language, scored by models that
     haven't seen them (null is a language of its own). Empty and null texts have no perplexity and aren't kept; neither a row's label nor its doc_id
-    is used for its own score. Without trusted text everything else is kept. Repeated rows are judged alike.
+    is used for its own score. Characters are whole code points; NUL counts as U+FFFD. Without trusted text everything else is kept. Repeated rows are judged alike.
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("perplexity", "threshold", "keep", *private(docs))
