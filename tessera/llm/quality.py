@@ -338,7 +338,8 @@ def likelihood_column(shard: Broadcast, text: Column) -> Column:
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([t for t, _ in found])), pa.array(np.concatenate([n for _, n in found]))], names=["total", "chars"])
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(score, "total double, chars long")(text)
+    # not evaluated anew for each use of its results
+    return F.arrow_udf(score, "total double, chars long").asNondeterministic()(text)
 
 
 class Perplexity:
@@ -460,7 +461,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     model, scored = cross_fit(trusted, shard_rows)
     found, overall = thresholds(scored.df, quantile)
     scored.drop()
-    table = docs.sparkSession.createDataFrame([(lang or "", lang is None, at) for lang, at in found], "_lang string, _none boolean, _at double")
+    # an Arrow table: of a list Spark would make rows in further Python workers
+    table = docs.sparkSession.createDataFrame(pa.table({
+        "_lang": pa.array([lang or "" for lang, _ in found], pa.string()), "_none": pa.array([lang is None for lang, _ in found], pa.bool_()), "_at": pa.array([at for _, at in found], pa.float64()),
+    }))
     out = model.score(docs)
     same = (F.coalesce(out["lang"], F.lit("")) == table["_lang"]) & (out["lang"].isNull() == table["_none"])
     threshold = F.coalesce(F.col("_at"), F.lit(overall).cast("double")) * (1 + F.lit(SHORT) / F.sqrt(F.greatest(F.lit(1), F.length("text"))))
