@@ -8,7 +8,7 @@ import pytest
 from conftest import canonical
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, components, line_dedup, mixing, near_dedup, queries, url_filter
+from tessera.llm import ann, bloom, components, line_dedup, mixing, near_dedup, queries, url_filter
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -69,9 +69,9 @@ def brute_lines(docs):
         kept = []
         for raw in text.split("\n"):
             line = raw.strip(" \t\r")
-            gone = len(line) >= line_dedup.LEAST_CHARS and any(within_one(line, b) for b in before)
-            if len(line) >= line_dedup.LEAST_CHARS:
-                before.append(line)
+            long = [b for b in before if len(b) >= line_dedup.LEAST_CHARS] if len(line) >= line_dedup.LEAST_CHARS else []
+            gone = line != "" and (line in before or any(within_one(line, b) for b in long))
+            before.append(line)
             if not gone:
                 kept.append(raw)
         out[i] = "\n".join(kept)
@@ -90,7 +90,7 @@ def test_lines_match_brute_force(spark):
                 at, kind = int(rng.integers(len(s))), rng.integers(3)
                 s[at : at + (kind != 1)] = [] if kind == 0 else [str(rng.choice(list("xyz")))]
             lines.append("".join(s))
-        docs.append((i, "\n".join(["short", *lines, ""])))
+        docs.append((i, "\n".join(["short", f"short {i % 7}", *lines, "", " \t"])))
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_lines(docs)
 
@@ -104,6 +104,26 @@ def test_lines_on_odd_rows(spark):
     assert line_dedup.deduplicate_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_rows_stay(spark):
+    text = "a line that is long enough to count\nshort\nlast"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "other\nshort"), (None, "new\nlast"), (None, "new\nlast too"), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 9, r["text"] or "", r["n_dropped"]) for r in line_dedup.deduplicate_lines(df).collect()), key=str)
+    assert got[:3] == [(1, text, 0), (1, text, 0), (2, "other", 1)]
+    rest = got[3:]
+    # of the two texts without a doc_id one comes first and keeps the line they share
+    assert sorted(n for _, _, n in rest) in ([0, 0, 2], [0, 1, 1]) and sum(t.split("\n")[0] == "new" for _, t, _ in rest) == 1
+
+
+def test_lines_without_spare_bits(spark, monkeypatch):
+    """With Bloom filters so full that everything passes, the exact joins give the same lines."""
+    monkeypatch.setattr(bloom, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(bloom.blocks_for, "__defaults__", (bloom.BITS_PER_KEY, 1))
+    base = [f"line number {k} of the common stock, long enough" for k in range(400)]
+    docs = [(i, "\n".join([base[(i * j) % 400] + "x" * (j % 2) for j in range(1, 9)])) for i in range(120)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_lines(docs)
+
+
 def test_mix_targets_and_limits(spark):
     rows = [(i, s, 10 + i % 7, 1.0) for i in range(400) for s in (["a"] if i % 4 else ["b", None])]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, weight double"), slices=16).toPandas()
@@ -156,10 +176,46 @@ def test_classes_on_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
     got = {(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.classes(df).collect()}
     assert got == {(1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 3, 3), (None, 3, 3), (5, 5, 2), (6, 5, 2), (7, 7, 2), (8, 8, 1)}
-    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(df).collect()) == [1, 3, 5, 7, 7, 8]
+    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(df).collect()) == [1, 3, 5, 7, 8]
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_classes_of_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "!!!"), (4, " ")], "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.classes(df).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)}
+    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(df).collect()) == [1, 3, 4]
+
+
+def test_one_row_of_a_class_stays(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text + " more", "b"), (None, "lone words here", "c"), (None, "lone words here", "c"), (2, text, "d"), (None, text, "e")]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, more string")).collect()
+    assert len(kept) == 2 and {r["doc_id"] for r in kept} == {1, None} and {r["more"] for r in kept} <= {"a", "b", "c"}
+
+
+def test_left_over_members_are_compared(spark):
+    """A bucket whose centre is unlike its members: they still find one another, in any number of blocks."""
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"w{rng.integers(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        own = words(50)
+        texts += [" ".join([*own, "extra", str(k)]) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(words(50))])), "doc_id long, text string")
+    idf = spark.sparkContext.broadcast(near_dedup.damped_idf(docs))
+    nodes = near_dedup.signatures(docs, idf).withColumnsRenamed({"doc_id": "first_id"}).withColumn("no_id", F.lit(False)).cache()
+    centre = nodes.filter(F.col("first_id") == 90).first()["node"]
+    members = nodes.select(F.lit(0).alias("band"), F.lit(1).cast("long").alias("key"), "node", "weight", F.lit(centre).alias("centre"))
+    none = spark.createDataFrame([], "node binary, label binary")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_dedup, "BLOCK", 20)
+        links = near_dedup._left_over(members, none, nodes, docs, idf, 0.8).df.collect()
+    number = {bytes(r["node"]): r["first_id"] for r in nodes.collect()}
+    found = {tuple(sorted((number[bytes(r["a"])], number[bytes(r["b"])]))) for r in links}
+    assert found == {(3 * k + a, 3 * k + b) for k in range(30) for a, b in ((0, 1), (0, 2), (1, 2))}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(7, 7)], "a int, b int")
     got = {r["node"]: r["label"] for r in components.components(links).df.collect()}
@@ -212,10 +268,18 @@ def test_stages_on_odd_rows(spark, sf_dir):
     text = "the cat sat on the mat and looked at the other cat near the tall tree"
     rows = [(1, text, "en", "a", 9, "p", 1), (1, text, "en", "a", 9, "p", 1), (None, text, None, None, None, None, None), (2, None, "en", "b", 0, "q", 2), (3, "", None, "b", 0, "q", 2), (4, "word " * 30000, "en", "b", 1, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, _key int")
+    seen = {}
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         if name != pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
-        assert out.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+        seen[name] = sorted((r["doc_id"] or 99 for r in out.collect()))
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    judged, lines, near, mixed, coded = seen.values()
+    # empty texts are rejected; the copy without doc_id loses its only line; one row of each class stays
+    assert set(judged) <= {1, 4, 99} and judged.count(1) in (0, 2)
+    assert lines == [1, 1, 2, 3, 4]
+    assert near == [1, 2, 4]
+    assert set(mixed) <= {1, 4, 99} and coded == [1, 1, 2, 3, 4, 99]
     kept = pipeline.near_dedup(spark, docs, sf_dir).collect()
-    assert sorted((r["doc_id"], r["size"]) for r in kept) == [(1, "p"), (1, "p"), (2, "q"), (4, "")]
+    assert sorted((r["doc_id"], r["size"]) for r in kept) == [(1, "p"), (2, "q"), (4, "")]

@@ -1,6 +1,7 @@
 """Operators on single texts: tokenizer, languages, toxicity, quality, fingerprints."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -93,23 +94,51 @@ def test_toxicity(spark, odd):
 
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([("abracadabra abba",), ("cabbage bad",), (None,), ("",)], "text string")
-    model = quality.Perplexity(texts.filter("text is not null"))
-    shard = model.shards[0].value
+    shard = quality.Perplexity(texts.filter("text is not null")).shards[0].value
     symbols = sorted({c for t in ("abracadabra abba", "cabbage bad") for c in t})
-    for context in ("abr", "zzz", "cab", "\n\n\n"):
-        runs = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(context + s)) for s in [*symbols, "€"]], np.uint64)
-        total = 0.0
-        for run in runs:
-            p, left = 0.0, True
-            for k in (4, 3, 2, 1):
-                v = shard.p[k].get(np.array([run & np.uint64((1 << 16 * k) - 1)], np.uint64))[0]
-                if not np.isnan(v):
-                    p, left = p + v, False
-                    break
-                if k > 1:
-                    p += np.nan_to_num(shard.g[k].get(np.array([(run & np.uint64((1 << 16 * k) - 1)) >> np.uint64(16)], np.uint64))[0])
-            total += np.exp(p + (shard.unseen if left else 0))
-        assert total == pytest.approx(1, abs=1e-4)
+    for context in ("abra", "zzzz", "cabb", "\n\n\n\n", "\U0001f600b"):
+        found, _ = shard.log_likelihoods([context, *(context + c for c in [*symbols, "€"])])
+        assert np.exp(found[1:] - found[0]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def brute_kneser_ney(trusted, order):
+    """Log probability of a character after a context by interpolated modified Kneser-Ney counts in dictionaries."""
+    padded = ["\n" * (order - 1) + t for t in trusted]
+    counts = {order: Counter(t[i - order : i] for t in padded for i in range(order, len(t) + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(run[1:] for run in counts[k + 1])
+    discounts = {}
+    for k, found in counts.items():
+        n1, n2, n3, n4 = (sum(n == c for n in found.values()) for c in (1, 2, 3, 4))
+        raw = [0.5, 1.0, 1.5]
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            raw = [min(j + 0.95, max(0.05, j + 1 - (j + 2) * y * b / a)) for j, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)))]
+        discounts[k] = lambda n, raw=raw: raw[min(n, 3) - 1]
+
+    def p(context, c):
+        k = len(context) + 1
+        after = {run: n for run, n in counts[k].items() if run[:-1] == context}
+        lower = p(context[1:], c) if context else 1 / (len(counts[1]) + 1)
+        if not after:
+            return lower
+        total, n = sum(after.values()), after.get(context + c, 0)
+        spared = sum(discounts[k](m) for m in after.values()) / total
+        return (max(0, n - discounts[k](n)) / total if n else 0) + spared * lower
+
+    return lambda context, c: np.log(p(context, c))
+
+
+def test_perplexity_matches_brute_force(spark):
+    trusted = ["abracadabra abba", "cabbage bad \U0001f600\U0001f601 dab", "a bad cab, a dab", "bad\x00dab"]
+    asked = ["abba cab", "zebra \U0001f601\U0001f600", "dab", "\x00b"]
+    want = brute_kneser_ney([t.replace("\x00", "\ufffd") for t in trusted], quality.ORDER)
+    model = quality.Perplexity(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    got = {r["text"]: r["perplexity"] for r in model.score(spark.createDataFrame([(t,) for t in asked], "text string")).collect()}
+    for text in asked:
+        plain = "\n" * (quality.ORDER - 1) + text.replace("\x00", "\ufffd")
+        each = [want(plain[i - quality.ORDER + 1 : i], plain[i]) for i in range(quality.ORDER - 1, len(plain))]
+        assert got[text] == pytest.approx(np.exp(-np.mean(each)), rel=1e-4)
 
 
 def test_shards_agree_with_one(spark, sf_dir):
@@ -130,8 +159,8 @@ def test_a_hot_character_is_split_between_shards(spark, odd):
     whole = quality.Perplexity(spark_texts).shards[0].value
     rows = lambda s: sum(int((~np.isnan(t.values)).sum()) for t in [*s.p.values(), *s.g.values()])
     assert sum(map(rows, loaded)) == rows(whole) and max(map(rows, loaded)) < 2 * rows(whole) / of
-    spaced = [sum(int((~np.isnan(s.p[k].values) & ((s.p[k].keys >> np.uint64(16)) & np.uint64(65535) == 32)).sum()) for k in (3, 4)) for s in loaded]
-    assert sum(n > 0 for n in spaced) > 1
+    after_space = quality.keys_of([a + " " + b for a in map(chr, range(97, 120)) for b in map(chr, range(97, 120))], 3)
+    assert sum((~np.isnan(s.p[3].get(after_space))).any() for s in loaded) > 1
     a, b = ([r["perplexity"] for r in m.score(odd).orderBy("doc_id", "_key").collect()] for m in (model, quality.Perplexity(spark_texts)))
     assert len(a) == len(ODD) and all((x is None and y is None) or x == pytest.approx(y, rel=1e-5) for x, y in zip(a, b, strict=True))
 
