@@ -76,3 +76,13 @@ def product_choice(recall: Column, precision: Column, balanced: Column) -> Colum
     """severe, ordinal or none by the two gates."""
     severe = ((recall >= 0.8) & (precision >= 0.25)) | ((recall >= 0.9) & (precision >= 0.15))
     return F.when(severe, "severe").when((balanced >= 0.5) & (recall >= 0.8), "ordinal").otherwise("none")
+
+
+def field_parity(policies: DataFrame, key: str, side: str, sides: tuple[str, str], fields: Sequence[str]) -> DataFrame:
+    """(key, mismatches, reason): the fields (text, joined by `|`) in which a key's two policies, a row a side, differ; nulls are equal to nulls."""
+    long = policies.unpivot([key, side], list(fields), "field", "value")
+    value = lambda s: F.max(F.when(F.col(side) == s, F.col("value")))
+    cells = long.groupBy(key, "field").agg(value(sides[0]).alias("a"), value(sides[1]).alias("b"))
+    lost = F.array_sort(F.collect_list(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("field"))))
+    out = cells.groupBy(key).agg(lost.alias("lost"))
+    return out.select(key, F.array_join("lost", "|").alias("mismatches"), F.when(F.size("lost") > 0, "resize_policy_mismatch").otherwise("ok").alias("reason"))

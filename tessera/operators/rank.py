@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.running import numbered, running_totals
+
 
 def top_per_bucket(df: DataFrame, bucket: str, order: Sequence[Column], k: int, total: int | None = None, bucket_order: Sequence[Column] = ()) -> DataFrame:
     """The first k rows of each bucket as `rank`; then, if `total` is given, the first `total` of these by bucket_order and rank.
@@ -19,30 +22,41 @@ def top_per_bucket(df: DataFrame, bucket: str, order: Sequence[Column], k: int,
 
 
 def quota_and_fill(df: DataFrame, bucket: str, order: Sequence[Column], quota: int, size: int) -> DataFrame:
-    """The first `quota` rows of each bucket, then the next rows by `order` up to `size`; picked says which."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).withColumn("picked", F.when(F.col("_r") <= quota, "quota").otherwise("fill"))
-    return ranked.orderBy(F.when(F.col("picked") == "quota", 0).otherwise(1), *order).limit(size).drop("_r")
+    """The first `quota` rows of each bucket, then the next rows by `order` up to `size`; picked says which. `order` is total.
+
+    Both parts are top-k, so no bucket is sorted whole. The fill loses at most the quotas' rows to them: it is among the first rows of the
+    table, as many as wanted and as the quotas hold, and the first of these in their bucket are the quotas'.
+    """
+    best = top_per_bucket(df, bucket, order, quota).drop("rank").withColumn("picked", F.lit("quota"))
+    first = df.orderBy(*order).limit(size + best.count())
+    fill = first.withColumn("_r", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).filter(F.col("_r") > quota).drop("_r").withColumn("picked", F.lit("fill"))
+    return best.unionByName(fill).orderBy(F.when(F.col("picked") == "quota", 0).otherwise(1), *order).limit(size)
 
 
 def split_by_rank(groups: DataFrame, order: str, fractions: Sequence[tuple[str, float]], last: str) -> DataFrame:
-    """`groups` (a row each) in order, cut at cumulative fractions of their number; plus split and place inside it."""
-    everything = W.partitionBy(F.lit(1))
-    placed = groups.withColumns({"_at": F.row_number().over(W.orderBy(order)), "_n": F.count("*").over(everything)})
-    out, done = None, 0.0
+    """`groups` (a row each) in order of a unique numeric column, cut at cumulative fractions of their number; plus split and place inside it."""
+    total, done, low = groups.count(), 0.0, F.lit(0).cast("bigint")
+    out, start = None, None
     for name, share in fractions:
         done += share
-        cond = F.col("_at") <= F.floor(F.col("_n") * done + 1e-9)
+        cut = int(total * done + 1e-9)
+        cond = F.col("_at") <= cut
         out = F.when(cond, name) if out is None else out.when(cond, name)
-    named = placed.withColumn("split", out.otherwise(last))
-    return named.withColumn("place", F.row_number().over(W.partitionBy("split").orderBy(order))).drop("_at", "_n")
+        start = F.when(cond, low) if start is None else start.when(cond, low)
+        low = F.lit(cut).cast("bigint")
+    placed = numbered(groups, order, "_at")
+    return placed.withColumns({"split": out.otherwise(last), "place": (F.col("_at") - start.otherwise(low)).cast("int")}).drop("_at")
 
 
 def diverse_examples(df: DataFrame, category: str, subject: str, image: str, order: Sequence[Column], k: int) -> DataFrame:
-    """k rows a category: first the best of each unseen subject, then of each unseen image, then the rest."""
-    one = df.withColumns({
-        "_s": F.row_number().over(W.partitionBy(category, subject).orderBy(*order)), "_i": F.row_number().over(W.partitionBy(category, subject, image).orderBy(*order)),
-    }).withColumn("tier", F.when(F.col("_s") == 1, 1).when(F.col("_i") == 1, 2).otherwise(3))
-    return one.withColumn("rank", F.row_number().over(W.partitionBy(category).orderBy("tier", *order))).filter(F.col("rank") <= k).drop("_s", "_i")
+    """k rows a category: first the best of each unseen subject, then of each unseen image, then the rest.
+
+    Only the first k + 1 rows of an image can be among the k: a limit that tasks apply before the shuffle.
+    """
+    one = df.withColumn("_i", F.row_number().over(W.partitionBy(category, subject, image).orderBy(*order))).filter(F.col("_i") <= k + 1).withColumn("_again", F.col("_i") > 1)
+    unseen = F.row_number().over(W.partitionBy(category, subject, "_again").orderBy(*order)) == 1
+    tiered = one.withColumn("tier", F.when(F.col("_again"), 3).when(unseen, 1).otherwise(2))
+    return tiered.withColumn("rank", F.row_number().over(W.partitionBy(category).orderBy("tier", *order))).filter(F.col("rank") <= k).drop("_i", "_again")
 
 
 def threshold_curve(df: DataFrame, probability: Column, target: Column, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -70,11 +84,11 @@ def operating_threshold(curve: DataFrame) -> DataFrame:
 def recall_threshold(df: DataFrame, probability: Column, target: Column, least: float) -> DataFrame:
     """The distinct probability with the best precision (then the larger) among those with recall >= `least`.
 
-    Counts are cumulated over the distinct probabilities, not over rows.
+    Counts are cumulated over ranges of the distinct probabilities, not over rows.
     """
     per = df.groupBy(probability.alias("threshold")).agg(F.sum(target.cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc("threshold"))
-    cum = per.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("taken"), F.sum("pos").over(W.partitionBy(F.lit(1))).alias("all"))
+    total = per.agg(F.sum("pos").alias("all"))
+    cum = running_totals(per, "threshold", {"tp": F.col("pos"), "taken": F.col("n")}, descending=True).crossJoin(F.broadcast(total))  # one row
     scored = cum.select("threshold", (F.col("tp") / F.col("taken")).alias("precision"), ratio(F.col("tp"), F.col("all")).alias("recall"))
     best = F.max_by(F.struct("threshold", "precision", "recall"), F.struct(F.round("precision", 9), "threshold"))
     return scored.filter(F.col("recall") >= least - 1e-12).agg(best.alias("b")).select("b.*")
@@ -117,8 +131,18 @@ def buckets_without_replacement(df: DataFrame, id_: str, buckets: Sequence[tuple
 
 
 def weighted_repeats(df: DataFrame, order: str, weight: float) -> DataFrame:
-    """Each row floor(weight) times, and once more the first ceil(n * rest) by `order`; copy numbers them."""
+    """Each row floor(weight) times, and once more the first ceil(n * rest) by `order`, a unique numeric column; copy numbers them."""
     whole = int(weight)
-    ranked = df.withColumns({"_at": F.row_number().over(W.orderBy(order)), "_n": F.count("*").over(W.partitionBy(F.lit(1)))})
-    times = F.lit(whole) + (F.col("_at") <= F.ceil(F.col("_n") * (weight - whole) - 1e-9)).cast("int")
-    return ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop("_at", "_n")
+    extra = math.ceil(df.count() * (weight - whole) - 1e-9)
+    times = F.lit(whole) + (F.col("_at") <= extra).cast("int")
+    return numbered(df, order, "_at").withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop("_at")
+
+
+def first_share(df: DataFrame, group: str, order: Sequence[str], share: float) -> DataFrame:
+    """The first ceil(n * share) rows of each group by `order`, with their place as `rank` and the group's size as `available`.
+
+    A group is ranked in one task, as any window does: meant for groups that no single one of dominates the table.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("available"))
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return ranked.join(sizes, group).filter(F.col("rank") <= F.ceil(F.col("available") * share - 1e-9))

@@ -126,12 +126,13 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return dedup.best_row(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")])
 
 
-@query("""WITH n AS (SELECT l_suppkey, count(*) AS c FROM lineitem WHERE l_discount = 0 GROUP BY 1), x AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem WHERE l_discount = 0)
-SELECT l_suppkey, count(*) AS kept, min(c) AS available FROM x JOIN n USING (l_suppkey) WHERE r <= ceil(c * 0.3 - 1e-9) GROUP BY 1""")
+@query("""WITH x AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, count(*) OVER (PARTITION BY l_suppkey) AS available,
+row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS rank FROM lineitem WHERE l_discount = 0)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, available, rank::INTEGER AS rank FROM x WHERE rank <= ceil(available * 0.3 - 1e-9)""")
 def weighted_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """The first ceil(0.3 n) undiscounted lines of each supplier; counted, so no sort is needed."""
-    lines = table(spark, d, "lineitem").filter("l_discount = 0").groupBy("l_suppkey").agg(F.count("*").alias("available"))
-    return lines.select("l_suppkey", F.ceil(F.col("available") * 0.3 - 1e-9).cast("bigint").alias("kept"), "available").filter("kept > 0")
+    """The first ceil(0.3 n) undiscounted lines of each supplier."""
+    lines = table(spark, d, "lineitem").filter("l_discount = 0").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return rank.first_share(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 0.3)
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

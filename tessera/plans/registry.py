@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evaluation, groups, more, relations, rows
+from tessera.plans import evaluation, groups, manifest, more, relations, reviews, rows
 
-MODULES = (rows, relations, groups, evaluation, more)
+MODULES = (rows, relations, groups, evaluation, more, manifest, reviews)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rubric
-from tessera.operators import dedup, joins, states, strata
+from tessera.operators import dedup, gates, joins, states, strata
 from tessera.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -89,12 +89,12 @@ def symmetric_pairing(spark: SparkSession, d: str) -> DataFrame:
     return joins.symmetric_audit(table(spark, d, "documents").filter("lang = 'en'"), table(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type <> 'purchase' AND event_id % 2 = 0""")
+@query("""SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type <> 'purchase'""")
 def split_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Users on both sides of a split by kind of event."""
     events = table(spark, d, "events")
     bought = events.filter("event_type = 'purchase'").select("user_id")
-    return bought.intersect(events.filter("event_type <> 'purchase' AND event_id % 2 = 0").select("user_id"))
+    return bought.intersect(events.filter("event_type <> 'purchase'").select("user_id"))
 
 
 _BOX = "struct_pack(x0 := l_linenumber * 10.0::DOUBLE, y0 := l_discount * 100, x1 := l_linenumber * 10.0::DOUBLE + l_quantity, y1 := l_discount * 100 + l_tax * 100 + 1)"
@@ -136,12 +136,18 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("last_text"), F.count("*").alias("turns"))
 
 
-@query("""SELECT a.source AS first, b.source AS second, a.lang FROM (SELECT DISTINCT source, lang FROM documents) a JOIN (SELECT DISTINCT source, lang FROM documents) b ON a.lang = b.lang AND a.source < b.source""")
+@query("""WITH p AS (SELECT l_suppkey, l_linestatus AS side, max(l_linenumber)::VARCHAR AS most_lines, round(max(l_tax), 2)::VARCHAR AS most_tax, min(l_returnflag) AS least_flag FROM lineitem GROUP BY 1, 2),
+u AS (SELECT l_suppkey, side, unnest(['most_lines', 'most_tax', 'least_flag']) AS field, unnest([most_lines, most_tax, least_flag]) AS value FROM p),
+c AS (SELECT l_suppkey, field, max(value) FILTER (side = 'F') AS training, max(value) FILTER (side = 'O') AS evaluation FROM u GROUP BY 1, 2),
+m AS (SELECT l_suppkey, field, training IS DISTINCT FROM evaluation AS differs FROM c)
+SELECT l_suppkey, coalesce(string_agg(CASE WHEN differs THEN field END, '|' ORDER BY field), '') AS mismatches, CASE WHEN bool_or(differs) THEN 'resize_policy_mismatch' ELSE 'ok' END AS reason FROM m GROUP BY 1""")
 def policy_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that share a language, as an equi-join of the distinct pairs."""
-    one = table(spark, d, "documents").select("source", "lang").distinct()
-    a, b = one.withColumnRenamed("source", "first"), one.withColumnRenamed("source", "second")
-    return a.join(b, "lang").filter("first < second").select("first", "second", "lang")
+    """Each supplier's finished and open lines as two policies, compared field by field."""
+    fields = ["most_lines", "most_tax", "least_flag"]
+    policies = table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linestatus").alias("side")).agg(
+        F.max("l_linenumber").cast("string").alias("most_lines"), F.round(F.max("l_tax"), 2).cast("string").alias("most_tax"), F.min("l_returnflag").alias("least_flag")
+    )
+    return gates.field_parity(policies, "l_suppkey", "side", ("F", "O"), fields)
 
 
 @query("""SELECT field, value, count(*) AS "rows" FROM (SELECT unnest(['lang', 'source', 'quality']) AS field, unnest([coalesce(lang, 'missing'), coalesce(source, 'missing'), coalesce(quality::VARCHAR, 'missing')]) AS value FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1, 2""")
