@@ -128,3 +128,16 @@ def tile_starts(length: Column, tile: int, stride: int) -> Column:
 def angle_from_top(dx: Column, dy: Column) -> Column:
     """Degrees in [0, 360), counter-clockwise from straight up; dy grows downwards."""
     return F.pmod(F.degrees(F.atan2(-dx, -dy)), F.lit(360.0))
+
+
+def residual_set(stage: Column, residual: Column) -> Column:
+    """Texts of the scores whose stage is within the residual, or of the nearest alone."""
+    pairs = F.array(*(F.struct(F.lit(f"{s:g}").alias("score"), F.lit(v).alias("stage"), F.lit(s).alias("s")) for s, v in zip(RUBRIC, STAGES, strict=True)))
+    near = F.filter(pairs, lambda x: F.abs(x["stage"] - stage) <= residual)
+    nearest = F.array_sort(F.transform(pairs, lambda x: F.struct(F.abs(x["stage"] - stage).alias("d"), x["s"].alias("s"), x["score"].alias("score"))))[0]["score"]
+    return F.when(F.size(near) > 0, F.transform(near, lambda x: x["score"])).otherwise(F.array(nearest))
+
+
+def class_index(score: Column) -> Column:
+    """Place of a rubric score from 0; null for others."""
+    return F.nullif(F.array_position(_doubles(RUBRIC), score).cast("int") - 1, F.lit(-1))

@@ -90,8 +90,8 @@ def without_suffix(c: Column, suffix: str) -> Column:
 
 
 def naming_format(stem: Column) -> Column:
-    """canonical (`S1-2_Image3`), legacy (letters, digits, anything) or invalid."""
-    return F.when(stem.rlike(r"^[A-Za-z]+\d+-\d+_Image\d+$"), "canonical").when(stem.rlike(r"^[A-Za-z]+[-#_ ]?\d+"), "legacy").otherwise("invalid")
+    """canonical (`S1-2`), legacy (`S1_Image2`) or invalid."""
+    return F.when(stem.rlike(r"^[A-Za-z0-9]+-[1-9]\d*$"), "canonical").when(stem.rlike(r"^[A-Za-z0-9]+_Image\d+$"), "legacy").otherwise("invalid")
 
 
 def nearest_in(x: Column, values) -> Column:

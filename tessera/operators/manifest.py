@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean, is_missing, joined_id, number, slug
+from tessera.functions.text import clean, is_missing, joined_id, naming_format, number, slug
 from tessera.operators.contracts import ContractError
 from tessera.operators.running import numbered
 from tessera.operators.states import route
@@ -301,12 +301,13 @@ def upload_resolution(rows: DataFrame, uploads: DataFrame) -> DataFrame:
 def migration_plan(files: DataFrame, mapping: DataFrame, known: DataFrame) -> DataFrame:
     """Where each file (kind, folder, filename) belongs: status, reason, subject_image_id, target; files that share a target collide.
 
-    Names `<letters><n>-<n>_Image<n>` are canonical, others that begin with letters and a number legacy. `mapping` (legacy_stem, mapped) is unique, `known` has the
+    Names are canonical (`S1-2`, masks with `_mask`), legacy (`S1_Image2`, looked up in `mapping`, legacy_stem and mapped, a row a stem) or invalid. `known` has the
     subject_image_id of the metadata.
     """
     suffix = F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
     bare = F.regexp_replace(stem(F.col("filename")), "_mask$", "")
-    rows = files.withColumns({"_suffix": suffix, "_stem": bare}).withColumns({"_canonical": F.col("_stem").rlike(r"^[A-Za-z]+\d+-\d+_Image\d+$"), "_named": F.col("_stem").rlike(r"^[A-Za-z]+[-#_ ]?\d+")})
+    rows = files.withColumns({"_suffix": suffix, "_stem": bare}).withColumns({"_canonical": naming_format(F.col("_stem")) == "canonical", "_named": naming_format(F.col("_stem")) == "legacy"})
+    rows = rows.withColumn("_stem", F.when(F.col("_named"), F.regexp_replace("_stem", r"_Image0+(?=\d)", "_Image")).otherwise(F.col("_stem")))
     rows = rows.join(mapping.select(F.col("legacy_stem").alias("_stem"), "mapped"), "_stem", "left")
     rows = rows.withColumn("subject_image_id", F.when(F.col("_canonical"), F.col("_stem")).when(F.col("_named"), F.coalesce("mapped", F.lit(""))).otherwise(""))
     ids = known.select("subject_image_id").distinct().withColumn("_known", F.lit(True))

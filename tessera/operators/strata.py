@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -50,12 +51,28 @@ def category_share(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     return counts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count("*").alias("categories"), (F.max("n") / F.sum("n")).alias("max_share"))
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
+    """(keys, a column for each name): exact interpolated percentiles of each key.
+
+    Positions are found on the running counts of the distinct values, so no group's values meet in one row.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    cum = per.withColumns({"_upto": F.sum("_n").over(W.partitionBy(*keys).orderBy(value)), "_all": F.sum("_n").over(W.partitionBy(*keys))})
+    beyond = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
+    found = {}
+    for name, q in at.items():
+        place = (F.col("_all") - 1) * F.lit(float(q))
+        low, high, rest = beyond(F.floor(place + 1e-9)), beyond(F.ceil(place - 1e-9)), F.max(place - F.floor(place + 1e-9))
+        found[name] = low + (high - low) * F.greatest(rest, F.lit(0.0))
+    return cum.groupBy(*keys).agg(*(c.alias(name) for name, c in found.items()))
+
+
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """count, mean, sample deviation, min, median, p75, p95, max of each key."""
-    at = F.percentile(value, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.95)))
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), at.alias("_p"), F.max(value).alias("max")
-    ).select(*keys, "n", "mean", "std", "min", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p75"), F.col("_p")[2].alias("p95"), "max")
+    per = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = percentiles(df, keys, value, {"median": 0.5, "p75": 0.75, "p95": 0.95}).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [per[k].eqNullSafe(at[f"_{k}"]) for k in keys]
+    return per.join(at, same, "left").select(*keys, "n", "mean", "std", "min", "median", "p75", "p95", "max")
 
 
 def set_coverage(df: DataFrame, keys: Sequence[str], truth: str, members: str) -> DataFrame:

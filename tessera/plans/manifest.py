@@ -235,14 +235,14 @@ def upload_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FILES = """files AS (SELECT e.event_id, CASE WHEN event_type IN ('click', 'view') THEN 'images' ELSE 'masks' END AS kind, CASE WHEN event_type = 'error' THEN 'elsewhere' ELSE 'S' || user_id END AS folder,
-  CASE WHEN event_type = 'view' THEN 'scan' || user_id WHEN event_type = 'signup' THEN '-' || event_id WHEN event_type = 'purchase' THEN 'S' || user_id || '_' || (event_id % 10) ELSE 'S' || user_id || '-' || (event_id % 7) || '_Image' || (event_id % 3) END
+  CASE WHEN event_type = 'view' THEN 'scan' || user_id WHEN event_type = 'signup' THEN '-' || event_id WHEN event_type = 'purchase' THEN 'S' || user_id || '_Image0' || (event_id % 10) ELSE 'S' || user_id || '-' || (event_id % 7 + 1) END
   || CASE WHEN event_type IN ('click', 'view') THEN '' ELSE '_mask' END || '.png' AS filename FROM events e)"""
 
 
-@query(f"""WITH {_FILES}, k AS (SELECT DISTINCT 'S' || user_id || '-' || (event_id % 7) || '_Image' || (event_id % 3) AS id FROM events WHERE value < 60),
-mp AS (SELECT 'S' || user_id || '_' || g AS legacy, 'S' || user_id || '-' || g || '_Image' || (g % 3) AS mapped FROM (SELECT DISTINCT user_id, event_id % 10 AS g FROM events WHERE value > 20 AND event_type = 'purchase')),
-p AS (SELECT kind, folder, filename, regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '_mask$', '') AS st FROM files),
-c AS (SELECT p.*, regexp_matches(st, '^[A-Za-z]+[0-9]+-[0-9]+_Image[0-9]+$') AS can, regexp_matches(st, '^[A-Za-z]+[-#_ ]?[0-9]+') AS nam, mapped FROM p LEFT JOIN mp ON legacy = st),
+@query(f"""WITH {_FILES}, k AS (SELECT DISTINCT 'S' || user_id || '-' || (event_id % 7 + 1) AS id FROM events WHERE value < 60),
+mp AS (SELECT 'S' || user_id || '_Image' || g AS legacy, 'S' || user_id || '-' || (g + 1) AS mapped FROM (SELECT DISTINCT user_id, event_id % 10 AS g FROM events WHERE value > 20 AND event_type = 'purchase')),
+p AS (SELECT kind, folder, filename, regexp_replace(regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '_mask$', ''), '_Image0([0-9])', '_Image\\1') AS st FROM files),
+c AS (SELECT p.*, regexp_matches(st, '^[A-Za-z0-9]+-[1-9][0-9]*$') AS can, regexp_matches(st, '^[A-Za-z0-9]+_Image[0-9]+$') AS nam, mapped FROM p LEFT JOIN mp ON legacy = st),
 i AS (SELECT *, CASE WHEN can THEN st WHEN nam THEN coalesce(mapped, '') ELSE '' END AS sid FROM c),
 t AS (SELECT i.*, k.id IS NOT NULL AS known FROM i LEFT JOIN k ON k.id = sid),
 g AS (SELECT *, CASE WHEN sid <> '' AND (can OR known) THEN kind || '/' || string_split(sid, '-')[1] || '/' || sid || CASE WHEN kind = 'masks' THEN '_mask' ELSE '' END || '.png' ELSE '' END AS target FROM t),
@@ -258,9 +258,9 @@ def migration_plan(spark: SparkSession, d: str) -> DataFrame:
     user, event, kind = F.col("user_id").cast("string"), F.col("event_id"), F.col("event_type")
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     rest = lambda n: (event % n).cast("string")
-    canonical = text("S", user, "-", rest(7), "_Image", rest(3))
+    canonical = text("S", user, "-", (event % 7 + 1).cast("string"))
     image = kind.isin("click", "view")
-    name = F.when(kind == "view", text("scan", user)).when(kind == "signup", text("-", event.cast("string"))).when(kind == "purchase", text("S", user, "_", rest(10))).otherwise(canonical)
+    name = F.when(kind == "view", text("scan", user)).when(kind == "signup", text("-", event.cast("string"))).when(kind == "purchase", text("S", user, "_Image0", rest(10))).otherwise(canonical)
     files = events.select(
         F.when(image, "images").otherwise("masks").alias("kind"), F.when(kind == "error", "elsewhere").otherwise(text("S", user)).alias("folder"),
         F.concat(name, F.when(image, "").otherwise("_mask"), F.lit(".png")).alias("filename"),
@@ -268,7 +268,7 @@ def migration_plan(spark: SparkSession, d: str) -> DataFrame:
     known = events.filter("value < 60").select(canonical.alias("subject_image_id"))
     g = F.col("g").cast("string")
     pairs = events.filter("value > 20 and event_type = 'purchase'").select("user_id", (event % 10).alias("g")).distinct()
-    mapping = pairs.select(text("S", user, "_", g).alias("legacy_stem"), text("S", user, "-", g, "_Image", (F.col("g") % 3).cast("string")).alias("mapped"))
+    mapping = pairs.select(text("S", user, "_Image", g).alias("legacy_stem"), text("S", user, "-", (F.col("g") + 1).cast("string")).alias("mapped"))
     return man.migration_plan(files, mapping, known)
 
 

@@ -24,11 +24,14 @@ def query(sql: str | None = None):
     return put
 
 
-@query(r"""SELECT s_suppkey, CASE WHEN regexp_matches(split_part(s_name, '.', 1), '^[A-Za-z]+[0-9]+-[0-9]+_Image[0-9]+$') THEN 'canonical' WHEN regexp_matches(s_name, '^[A-Za-z]+[-#_ ]?[0-9]+') THEN 'legacy' ELSE 'invalid' END AS format,
-CASE WHEN ends_with(s_name, '1') THEN left(s_name, length(s_name) - 1) ELSE s_name END AS stem FROM supplier""")
+@query(r"""WITH n AS (SELECT s_suppkey, s_name, CASE s_nationkey % 4 WHEN 0 THEN 'S' || s_suppkey || '-' || s_nationkey WHEN 1 THEN 'S' || s_suppkey || '_Image0' || s_nationkey WHEN 2 THEN s_name ELSE 'S-' || s_suppkey || '_Image1' END AS st FROM supplier)
+SELECT s_suppkey, CASE WHEN regexp_matches(st, '^[A-Za-z0-9]+-[1-9][0-9]*$') THEN 'canonical' WHEN regexp_matches(st, '^[A-Za-z0-9]+_Image[0-9]+$') THEN 'legacy' ELSE 'invalid' END AS format,
+CASE WHEN ends_with(s_name, '1') THEN left(s_name, length(s_name) - 1) ELSE s_name END AS stem FROM n""")
 def naming_formats(spark: SparkSession, d: str) -> DataFrame:
-    name = F.col("s_name")
-    return table(spark, d, "supplier").select("s_suppkey", text.naming_format(name).alias("format"), text.without_suffix(name, "1").alias("stem"))
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    kind = F.col("s_nationkey") % 4
+    name = F.when(kind == 0, F.concat(F.lit("S"), key, F.lit("-"), nation)).when(kind == 1, F.concat(F.lit("S"), key, F.lit("_Image0"), nation)).when(kind == 2, F.col("s_name")).otherwise(F.concat(F.lit("S-"), key, F.lit("_Image1")))
+    return table(spark, d, "supplier").select("s_suppkey", text.naming_format(name).alias("format"), text.without_suffix(F.col("s_name"), "1").alias("stem"))
 
 
 @query("""SELECT p_partkey, proposed, CASE WHEN contains(proposed, '-') THEN (split_part(proposed, '-', 1)::DOUBLE + split_part(proposed, '-', 2)::DOUBLE) / 2 ELSE try_cast(proposed AS DOUBLE) END AS score

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evaluation, groups, manifest, more, relations, reviews, rows
+from tessera.plans import candidates, evaluation, groups, manifest, more, relations, reviews, rows, scalars
 
-MODULES = (rows, relations, groups, evaluation, more, manifest, reviews)
+MODULES = (rows, relations, groups, evaluation, more, manifest, reviews, candidates, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
