@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean_batches
+
 #: Pieces whose ids a task remembers; when there are more, only those that have just been used again stay.
 REMEMBERED = 1 << 17
 #: Pairs of neighbouring tokens that a task remembers.
@@ -234,6 +236,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     the executors as a broadcast, a few MB for a vocabulary of fixed size. Tasks are independent, without a shuffle,
     and hand on a few hundred rows at a time.
     """
+    lean_batches(docs.sparkSession)
     shared, plain = docs.sparkSession.sparkContext.broadcast(PrefixBPE(ranks)), docs.drop("token_ids", "decoded")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The most bytes that an operator of this package broadcasts.
 BROADCAST_BYTES = 32 << 20
+#: The most bytes of texts that go to a Python worker at a time.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "4MB")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +49,11 @@ def private(df: DataFrame) -> list[str]:
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """`df` marked for broadcast if `rows` counted rows fit the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to a few megabytes where the user left Spark's default: 10,000 rows of long texts are a burden to the JVM and to Python."""
+    key, default, ours = BATCH
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if size(spark.conf.get(key)) == size(default):
+        spark.conf.set(key, ours)

@@ -14,18 +14,19 @@ comparison a member, and no link between texts that share a bucket is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bloom import Bloom
-from tessera.llm.common import Saved, private
+from tessera.llm.common import Saved, lean_batches, private
 from tessera.llm.components import components
-from tessera.llm.langid import arrow_chunks, chunks, codes
+from tessera.llm.langid import arrow_chunks, codes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -195,11 +196,13 @@ def similarities(a: list[str], b: list[str], idf: np.ndarray) -> np.ndarray:
     return np.where(total > 0, shared / np.where(total > 0, total, 1), 0.0)
 
 
-def _pair_chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Runs of pairs of about CHUNK_CHARS characters."""
-    size = (batch["text_a"].str.len() + batch["text_b"].str.len()).to_numpy().cumsum()
-    for _, part in batch.groupby(size // CHUNK_CHARS, sort=False):
-        yield part
+def _chunked(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose columns `texts` hold about CHUNK_CHARS characters."""
+    if batch.num_rows:
+        size = sum(pc.utf8_length(batch.column(t)).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts).cumsum() // CHUNK_CHARS
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+        for start, stop in pairwise(cuts):
+            yield batch.slice(start, stop - start)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float) -> Saved:
@@ -210,12 +213,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: Broadcast
     near = _texts(docs, picked)
     both = wanted.df.join(near.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(near.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pair_chunks(batch):
-                yield part.loc[similarities(part["text_a"].tolist(), part["text_b"].tolist(), idf.value) >= similarity, ["a", "b"]]
+            for part in _chunked(batch, "text_a", "text_b"):
+                found = similarities(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), idf.value)
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(found >= similarity)))
 
-    out = Saved(both.mapInPandas(compare, "a binary, b binary").distinct(), "verified")
+    out = Saved(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary").distinct(), "verified")
     wanted.drop()
     picked.drop()
     return out
@@ -312,41 +316,41 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Da
     rows = Saved(known.df.filter("not middle").join(buckets.df, ["band", "key"]).select("band", "key", "node", "of", "out", "asking", "blocks"), "left-over")
     picked = Saved(rows.df.select("node").distinct().join(nodes, "node").select("first_id", "no_id", "node"), "left-over-nodes")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
-            for part in chunks(batch["text"], CHUNK_CHARS):
-                if part:
-                    owner, hashes, times = shingles(part)
-                    cuts = np.searchsorted(owner, np.arange(1, len(part)))
-                    yield pd.DataFrame({
-                        "node": batch["node"].iloc[done : done + len(part)].to_numpy(), "hashes": [x.tobytes() for x in np.split(hashes, cuts)], "times": [x.astype(np.int32).tobytes() for x in np.split(times, cuts)],
-                    })
-                    done += len(part)
-
-    whole = Saved(_texts(docs, picked).mapInPandas(sets, "node binary, hashes binary, times binary").dropDuplicates(["node"]), "sets")
+            for part in _chunked(batch, "text"):
+                owner, hashes, times = shingles(part.column("text").to_pylist())
+                cuts = np.searchsorted(owner, np.arange(1, part.num_rows))
+                blobs = [[x.tobytes() for x in np.split(values, cuts)] for values in (hashes, times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(b, pa.binary()) for b in blobs)], names=["node", "hashes", "times"])
+
+    whole = Saved(_texts(docs, picked).mapInArrow(sets, "node binary, hashes binary, times binary").dropDuplicates(["node"]), "sets")
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asking = rows.df.filter("out").withColumns({"asks": F.lit(True), "i": place("asking")}).withColumn("j", each("blocks"))
     asked = rows.df.withColumns({"asks": F.lit(False), "j": place("blocks")}).withColumn("i", each("asking"))
     dealt = asking.unionByName(asked).drop("out", "asking", "blocks").join(whole.df, "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy(bool)
-        node, of = [bytes(x) for x in group["node"]], np.unique([bytes(x) for x in group["of"]], return_inverse=True)[1]
+    def compare(group: pa.Table) -> pa.Table:
+        def links(a: list[bytes], b: list[bytes]) -> pa.Table:
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        asks, node = group["asks"].to_numpy(), group["node"].to_pylist()
+        of = np.unique(group["of"].to_pylist(), return_inverse=True)[1]
         ask, other = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(ask) or not len(other) or len(np.unique(of)) < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        shared, total = shared_weights([(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int32)) for h, t in zip(group["hashes"], group["times"], strict=True)], ask, idf.value)
+            return links([], [])
+        whole = [(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int32)) for h, t in zip(group["hashes"].to_pylist(), group["times"].to_pylist(), strict=True)]
+        shared, total = shared_weights(whole, ask, idf.value)
         shared = shared[:, other]
         union = total[ask][:, None] + total[other][None, :] - shared
         hit = (shared >= (similarity - 1e-7) * union) & (union > 0) & (of[ask][:, None] != of[other][None, :])
         r, c = np.nonzero(hit)
         pairs = np.sort(np.column_stack((of[ask[r]], of[other[c]])), axis=1)
         _, first = np.unique(pairs, axis=0, return_index=True)
-        return pd.DataFrame({"a": [node[k] for k in ask[r[first]]], "b": [node[k] for k in other[c[first]]]})
+        return links([node[k] for k in ask[r[first]]], [node[k] for k in other[c[first]]])
 
-    out = Saved(dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct(), "more-links")
+    out = Saved(dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "more-links")
     for t in (known, buckets, rows, picked, whole):
         t.drop()
     return out
@@ -355,6 +359,7 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Da
 def _classes(docs: DataFrame, similarity: float) -> tuple[Saved, Saved]:
     """(doc_id, node) of each row, and (node, class_id, class_size, first_node) of each text; first_node is the smallest of the class's texts that have its smallest doc_id."""
     spark = docs.sparkSession
+    lean_batches(spark)
     idf = spark.sparkContext.broadcast(damped_idf(docs))
     signed = Saved(signatures(docs, idf), "signatures")
     nodes = Saved(

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, private, small
+from tessera.llm.common import Saved, lean_batches, private, small
 from tessera.llm.langid import arrow_chunks, codes
 
 ORDER = 5
@@ -456,6 +456,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("perplexity", "threshold", "keep", *private(docs))
+    lean_batches(docs.sparkSession)
     ids = trusted_ids(labels)
     trusted = docs.select("doc_id", "text", "lang").filter("text is not null and text <> ''").join(small(ids, ids.count(), 16), "doc_id", "left_semi")
     model, scored = cross_fit(trusted, shard_rows)
