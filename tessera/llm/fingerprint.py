@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import private, small
+from tessera.llm.common import private
 
 MASK = (1 << 60) - 1
 FIELDS = 1 | 1 << 20 | 1 << 40
 FIELD = (1 << 20) - 1
 #: Runs of these end a sentence.
 SENTENCE_END = r"[.!?|\n][.!?|\n ]*"
-#: Rows that share a bucket when documents are put in order.
-BUCKET_ROWS = 1000
+#: About so many rows share a bucket when documents are put in order; more where that would take more than so many buckets.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
+#: Even ranges of doc_id whose rows are counted before they are cut into buckets.
+CELLS = 1 << 12
 
 
 def _long(hex_digits: Column) -> Column:
@@ -94,30 +96,38 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
     return out.drop(*(f"_v_{c}" for c in used), *(f"_n_{c}" for c in used))
 
 
+def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` plus _cell and _pos, which put rows in order of doc_id (null last, there by the first six bytes of text); and (_cell, n, low, high) of the cells."""
+    low, high = docs.select(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    share = (F.col("doc_id").cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0))
+    cell = F.when(F.col("doc_id").isNull(), F.lit(CELLS)).otherwise(F.least(F.lit(CELLS - 1), F.floor(share * CELLS)).cast("int"))
+    start = F.conv(F.rpad(F.hex(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    placed = docs.withColumns({"_cell": cell, "_pos": F.coalesce(F.col("doc_id").cast("long"), start)})
+    return placed, placed.groupBy("_cell").agg(F.count("*").alias("_n"), F.min("_pos").alias("_low"), F.max("_pos").alias("_high"))
+
+
 def with_next(docs: DataFrame, carried: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """`docs` plus next_<c> for each carried column: that of the next row by doc_id (null last), then text; after the last, of the first.
 
-    Rows are dealt into buckets, ranges of doc_id, and the first row of each bucket goes to the bucket before
-    as well. So one shuffle brings each row beside its successor, and no task holds more than a few
-    buckets. The table of buckets (a row for `bucket_rows` rows) is broadcast if it fits the bound.
+    Rows are dealt into buckets: even ranges of doc_id are counted, and each is cut into even parts of the range that its rows
+    really span, as many as its rows ask for, so that a far-off id or a dense region doesn't gather the rest. The first row of each bucket goes to the bucket before
+    as well, and one shuffle brings each row beside its successor. Cells and buckets are tables of bounded size and are broadcast.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows, low, high = docs.select(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    count = max(1, -(-rows // bucket_rows))
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // count + 1
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(count)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"))
-    firsts = docs.groupBy(bucket.alias("_bucket")).agg(F.min(key).alias("_first"))
-    firsts = firsts.withColumn("_before", F.coalesce(F.lag("_bucket").over(W.orderBy("_bucket")), F.max("_bucket").over(W.partitionBy(F.lit(1))))).drop("_bucket")
-    copies = F.array_compact(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("extra")), F.when(F.col("_first").isNotNull(), F.struct(F.col("_before").alias("b"), F.lit(True).alias("extra")))))
-    dealt = (
-        docs.withColumn("_key", key)
-        .join(small(firsts, count + 1, 24), F.col("_key") == F.col("_first"), "left")
-        .withColumn("_to", F.explode(copies))
-        .drop("_first", "_before")
-    )
-    order = W.partitionBy("_to.b").orderBy("_to.extra", "_key", F.col("text").asc_nulls_first())
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("_to.extra")).drop("_key", "_to")
+    placed, cells = _places(docs)
+    rows = docs.count()
+    each = max(bucket_rows, -(-rows // MOST_BUCKETS))
+    parts = F.ceil(F.col("_n") / F.lit(each))
+    cells = cells.select("_cell", "_low", (F.floor((F.col("_high") - F.col("_low")) / parts) + 1).alias("_width"))
+    dealt = placed.join(F.broadcast(cells), "_cell").withColumn("_part", F.floor((F.col("_pos") - F.col("_low")) / F.col("_width")).cast("long")).drop("_low", "_width")
+    firsts = dealt.groupBy("_cell", "_part").agg(F.min("_pos").alias("_first"))
+    inorder, everything = W.orderBy("_cell", "_part"), W.partitionBy(F.lit(1))  # over a row a bucket
+    own = F.struct(F.col("_cell").alias("c"), F.col("_part").alias("p"))
+    firsts = firsts.withColumn("_before", F.coalesce(F.lag(own).over(inorder), F.max(own).over(everything)))
+    copies = F.array_compact(F.array(F.struct(own.alias("b"), F.lit(False).alias("extra")), F.when(F.col("_pos") == F.col("_first"), F.struct(F.col("_before").alias("b"), F.lit(True).alias("extra")))))
+    spread = dealt.join(F.broadcast(firsts), ["_cell", "_part"]).withColumn("_to", F.explode(copies)).drop("_first", "_before", "_part")
+    order = W.partitionBy("_to.b").orderBy("_to.extra", "_cell", "_pos", F.col("text").asc_nulls_first())
+    return spread.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("_to.extra")).drop("_cell", "_pos", "_to")
 
 
 def edited_text(text: Column, other: Column) -> Column:
