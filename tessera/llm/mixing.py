@@ -17,6 +17,8 @@ from tessera.llm.common import private
 #: What counts as a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
+#: Rows that a slice of a source's key range holds on average at most.
+SLICE_ROWS = 50_000
 #: Quality weights of documents labelled 1, labelled 0, and not labelled.
 GOOD, BAD, UNKNOWN = 1.0, 0.25, 0.5
 
@@ -60,17 +62,20 @@ def _uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, slices: int = 1024, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, slices: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """`docs` (doc_id, source, size, weight > 0; more columns pass) plus source_size, target, copies, taken.
 
-    copies: how often the mix takes the document, complete epochs included; taken = copies * size.
+    copies: how often the mix takes the document, complete epochs included, 0 for a document without words; taken = copies * size.
     The last document of the fractional epoch is taken if at least half of it fits the budget.
     Weights must lie in [BAD, GOOD] for the slices to be even; any others stay right. Equal keys are ordered
     by doc_id, nulls last, then size; repeated rows share a fate only by their place in that order. Documents of size 0 take 0.
+    Documents without doc_id draw their key from a hash of their text, if there is a column `text`. Slices are as many as keep SLICE_ROWS rows each.
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("source_size", "target", "copies", "taken", *private(docs))
-    key = -F.log(_uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) / F.col("weight")
+    slices = slices or max(1024, -(-docs.count() // SLICE_ROWS))
+    nameless = F.concat(F.lit("null"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))) if "text" in docs.columns else F.lit("null")
+    key = -F.log(_uniform(F.coalesce(F.col("doc_id").cast("string"), nameless))) / F.col("weight")
     keyed = docs.withColumn("_key", key).withColumn(
         # a monotone image of the key in [0, 1) that no weight can crowd by more than GOOD / BAD
         "_slice", F.least(F.lit(slices - 1), F.floor(F.lit(float(slices)) * (1 - F.exp(-F.lit(BAD) * F.col("_key"))))).cast("int")
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, slices: int = 1024, max_epochs: int = MAX_EPOCHS) -> Da
     upto = F.col("_before") + F.sum("size").over(within)
     extra = (upto.cast("double") - F.col("size").cast("double") / 2 <= rest) & (rest > 0)
     return (
-        joined.withColumn("copies", (epochs + F.when(extra, 1).otherwise(0)).cast("long"))
+        joined.withColumn("copies", F.when(F.col("size") > 0, epochs + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop("_key", "_slice", "_none", "_source", "_before")
     )
