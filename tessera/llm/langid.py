@@ -19,6 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import lean_batches
+
 #: Bound of the training sample: about so many documents a language.
 PER_LANGUAGE = 600
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 6, 20.0
@@ -159,13 +161,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def sample(labelled: DataFrame, by: str, per_class: int) -> list:
-    """About `per_class` rows of each class, by a hash of doc_id: at most a few times the bound reach the driver, sorted."""
+    """About `per_class` different rows of each class, by a hash of the whole row: rows that share a doc_id are drawn by themselves, and equal ones count once. At most a few times the bound reach the driver, sorted."""
     rows = {r[by]: r["n"] for r in labelled.groupBy(by).agg(F.count("*").alias("n")).collect()}
     if not rows:
         return []
     rate = F.create_map(*(F.lit(x) for value, n in rows.items() for x in (value, min(1.0, per_class / n))))
-    share = (F.xxhash64(F.lit("sample"), F.col("doc_id")).bitwiseAND(F.lit((1 << 30) - 1))).cast("double") / float(1 << 30)
-    return labelled.filter(share < rate[F.col(by)]).orderBy(*labelled.columns).collect()
+    share = (F.xxhash64(F.lit("sample"), *labelled.columns).bitwiseAND(F.lit((1 << 30) - 1))).cast("double") / float(1 << 30)
+    return labelled.filter(share < rate[F.col(by)]).distinct().orderBy(*labelled.columns).collect()
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -187,11 +189,15 @@ def predict_column(model: Broadcast, text: Column) -> Column:
             yield pd.DataFrame({"lang_pred": names[lang], "score": score, "accepted": (lang >= 0) & (score >= m.accept)})
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(predict, "lang_pred string, score double, accepted boolean")(text)
+    return F.pandas_udf(predict, "lang_pred string, score double, accepted boolean").asNondeterministic()(text)  # evaluated once
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` plus lang_pred, score, accepted (existing columns of these names are replaced). No shuffle."""
+    """`docs` plus lang_pred, score, accepted (existing columns of these names, and `_found`, are replaced). No shuffle.
+
+    Equally likely languages: the first by name. Rows that repeat get the same answer, each by itself.
+    """
+    lean_batches(docs.sparkSession)
     column = predict_column(docs.sparkSession.sparkContext.broadcast(model), F.col("text"))
     out = docs.withColumn("_found", column)
     return out.withColumns({c: F.col("_found")[c] for c in ("lang_pred", "score", "accepted")}).drop("_found")

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small
+from tessera.llm.common import lean_batches, small
 from tessera.llm.langid import remainder, sample
 
 #: Bound of the training sample: about so many documents of each class, a third of which only calibrates.
@@ -30,6 +30,8 @@ PER_CLASS = 2400
 WORDS, RUN, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 5, 32768, 4096, 6
 #: A run tells toxic text if it is in so many and in this share of toxic documents, and so many times as frequent there.
 LEAST_TEXTS, LEAST_SHARE, TIMES = 4, 0.004, 40.0
+#: Windows of sampled ordinary text that train the ordinary dictionary at most: a part of the bounded sample of labelled rows.
+ORDINARY_WINDOWS = 40_000
 #: What a share of ordinary texts counted as toxic weighs against the same share of toxic texts found.
 CAUTION = 3.0
 #: Scores of this or more count as toxic; the calibration puts its best threshold here.
@@ -138,7 +140,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             if hits:
                 samples.append(spaced[hits[0] : hits[-1] + RUN].encode("utf-8", "replace"))
     usual = [w for t in ordinary for w in windows(t)]
-    usual = [usual[k] for k in rng.permutation(len(usual))[:40000]]
+    usual = [usual[k] for k in rng.permutation(len(usual))[:ORDINARY_WINDOWS]]
     once = sorted(Counter(samples).items(), key=lambda kv: (kv[1], kv[0]))
     if sum(len(x) for x, _ in once) <= TOXIC_BYTES:  # they fit as they are, the most frequent nearest
         special = b"".join(x for x, _ in once)
@@ -168,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     # the sample is drawn without the texts; only its own are fetched
     some = sample(docs.filter("text is not null").select("doc_id").join(marks, "doc_id"), "toxic", per_class)
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in some], "doc_id long, toxic int").distinct()
-    rows = docs.filter("text is not null").select("doc_id", "text").join(small(ids, len(some), 16), "doc_id").orderBy("doc_id", "text").collect()
+    texts = docs.filter("text is not null").select("doc_id", "text").join(small(ids, len(some), 16), "doc_id")
+    # a text a doc_id, the smallest of several, however often it repeats
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
@@ -189,11 +193,12 @@ def score_column(model: Broadcast, text: Column) -> Column:
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, "double")(text)
+    return F.pandas_udf(score, "double").asNondeterministic()(text)  # evaluated once
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` plus score and predicted (1 if score >= CUT); existing columns of these names are replaced. No shuffle."""
+    """`docs` plus score and predicted (1 if score >= CUT); existing columns of these names are replaced. No shuffle. Rows that repeat get the same score."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("score", score_column(shared, F.col("text"))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
