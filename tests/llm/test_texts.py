@@ -220,3 +220,54 @@ def test_next_document_over_small_buckets(spark):
     got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, ["text"], bucket_rows=2).collect()}
     order = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def test_next_document_with_far_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CELLS", 8)
+    ids = [*range(100, 160), (1 << 63) - 1, -(1 << 63), 5_000_000, 5_000_001]
+    rows = [(i, f"t{i}") for i in ids] + [(None, f"n{k:03}") for k in range(40)] + [(None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, cells = fingerprint._places(df)
+    assert placed.count() == len(rows) and cells.count() <= 9
+    got = {r["text"]: r["next_text"] for r in fingerprint.with_next(df, ["text"], bucket_rows=5).collect()}
+    order = [t for _, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_samples_hold_repeated_ids_once(spark):
+    df = spark.createDataFrame([(1, "same", "en")] * 500 + [(2, f"text {k}", "en") for k in range(500)], "doc_id long, text string, lang string")
+    rows = langid.sample(df, "lang", 100)
+    assert len(rows) == len({(r["doc_id"], r["text"]) for r in rows}) and 20 < sum(r["doc_id"] == 2 for r in rows) < 100
+
+
+def test_conflicting_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and more text number {k}") for k in range(30)] * 2, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, j) for k in range(30) for j in (0, 1 if k < 10 else 0)], "doc_id long, toxic int")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit", lambda texts, labels: seen.append((len(texts), sum(labels))))
+        toxicity.train(docs, marks)
+    assert seen == [(30, 10)]
+
+
+def test_embeddings_fold_into_logits():
+    """Predictions from the folded table against the mean of embeddings and the output layer, by hand."""
+    texts = ["the cat sat on the mat near the old tree", "der Hund lief durch den Wald nach Hause"] * 20
+    model = langid.fit(texts, ["en", "de"] * 20)
+    for text in ("a cat near the tree", "ein Hund im Wald", "x", ""):
+        found = [b for b in langid.subwords([text])[0].ravel() if b < langid.BUCKETS]
+        z = (sum(model.logits[b].astype(float) for b in found) / max(1, len(found)) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        lang, score = (x[0] for x in model.predict([text]))
+        assert (lang == -1 and score == 0) if not text else (lang == p.argmax() and score == pytest.approx((p / p.sum()).max(), rel=1e-4))
+
+
+def test_window_lengths_by_hand():
+    model = toxicity.fit([f"plain words number {k} in a row of text" for k in range(60)] + [f"you vile wretch number {k} of all" for k in range(60)], [0] * 60 + [1] * 60)
+    compressors = model.compressors()
+    text = toxicity.normal("You VILE wretch, take these plain words number seven in a row of text!")
+    saved = [len(compressors[0].compress(w)) - len(compressors[1].compress(w)) for w in toxicity.windows(text)]
+    got = toxicity.features(compressors, [text])[0]
+    n = len(saved)
+    want = [np.log1p(100 * sum(max(0, s) for s in saved) / (n + 4)), np.log1p(100 * sum(max(0, s - 1) for s in saved) / (n + 4)), min(12, max(0, *saved)) / 4, sum(s > 1 for s in saved) / (n + 4) * 10, np.log1p(sum(s > 1 for s in saved))]
+    assert got == pytest.approx(want)
