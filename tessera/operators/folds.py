@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +17,23 @@ def hash_fold(key: Column, folds: int, seed: int = 0) -> Column:
 def greedy_folds(df: DataFrame, group: str, severe: Column, score: Column, folds: int) -> DataFrame:
     """(group, fold, severe, rows): groups in order of severity, each to the fold with the least (severe, rows, score sum).
 
-    The rule is sequential. It runs over one aggregated row a group, in Spark's `aggregate`.
+    Each choice depends on the one before: one row a group passes through one task, sorted there, which holds no more than the folds' loads.
     """
-    per = df.groupBy(F.col(group).alias("g")).agg(F.sum(severe.cast("long")).alias("sev"), F.count("*").alias("n"), F.max(score).alias("top"), F.sum(score).alias("sum"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("sev")).alias("a"), (-F.col("top")).alias("b"), (-F.col("n")).alias("c"), F.col("g"), F.col("sum"))))
-    load = "struct<sev:bigint,n:bigint,sum:double>"
-    start = F.struct(
-        F.array_repeat(F.struct(F.lit(0).cast("long").alias("sev"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum")), folds).cast(f"array<{load}>").alias("loads"),
-        F.array().cast("array<struct<g:bigint,fold:int>>").alias("put"),
-    )
-
-    def place(state: Column, x: Column) -> Column:
-        ranked = F.transform(state["loads"], lambda f, i: F.struct(f["sev"].alias("sev"), f["n"].alias("n"), f["sum"].alias("sum"), i.cast("int").alias("i")))
-        best = F.array_min(ranked)["i"]
-        more = F.transform(
-            state["loads"],
-            lambda f, i: F.when(i == best, F.struct((f["sev"] - x["a"]).alias("sev"), (f["n"] - x["c"]).alias("n"), (f["sum"] + x["sum"]).alias("sum"))).otherwise(f),
-        )
-        return F.struct(more.alias("loads"), F.concat(state["put"], F.array(F.struct(x["g"].cast("long").alias("g"), best.alias("fold")))).alias("put"))
-
-    put = per.agg(F.aggregate(ordered, start, place)["put"].alias("put")).select(F.explode("put").alias("p"))
-    return put.select(F.col("p.g").alias("g"), "p.fold").join(per, "g").select(F.col("g").alias(group), "fold", F.col("sev").alias("severe"), F.col("n").alias("rows"))
+    per = df.groupBy(F.col(group).alias("g")).agg(F.sum(severe.cast("long")).alias("sev"), F.count("*").alias("n"), F.max(score).cast("double").alias("top"), F.sum(score).cast("double").alias("total"))
+    in_order = per.repartition(1).sortWithinPartitions(F.desc("sev"), F.desc("top"), F.desc("n"), "g")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, 0, 0.0, k) for k in range(folds)]
+        for batch in batches:
+            put = []
+            for sev, n, total in zip(*(batch.column(c).to_pylist() for c in ("sev", "n", "total")), strict=True):
+                least = min(loads)
+                put.append(least[3])
+                loads[least[3]] = (least[0] + sev, least[1] + n, least[2] + (total or 0.0), least[3])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(put, pa.int32()), batch.column("sev"), batch.column("n")], names=["g", "fold", "sev", "n"])
+
+    dealt = in_order.mapInArrow(deal, f"g {per.schema['g'].dataType.simpleString()}, fold int, sev long, n long")
+    return dealt.select(F.col("g").alias(group), "fold", F.col("sev").alias("severe"), F.col("n").alias("rows"))
 
 
 def leave_fold_mean(df: DataFrame, fold: str, value: Column) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rank import recall_threshold
+
 
 def as_vectors(df: DataFrame, array: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
@@ -110,3 +112,43 @@ def contributions(df: DataFrame, target: str, names: list[str], top: int = 3) ->
     return out.withColumns({
         "negative": say(F.slice(F.filter("_s", lambda r: r["v"] < 0), 1, top)), "positive": say(F.slice(F.reverse(F.filter("_s", lambda r: r["v"] > 0)), 1, top)),
     }).drop("_s")
+
+
+def recall_targeted(df: DataFrame, fold: str, target: str, folds: int, recall: float) -> DataFrame:
+    """`df` plus probability out of fold, threshold and predicted: each fold is cut where the other folds' probabilities reach the recall with the best precision; 0.5 where none does."""
+    scored = logistic_out_of_fold(df, fold, target, folds)
+    cuts = None
+    for k in range(folds):
+        one = recall_threshold(scored.filter(F.col(fold) != k), F.col("probability"), F.col(target), recall).select(F.lit(k).alias("_fold"), "threshold")
+        cuts = one if cuts is None else cuts.unionByName(one)
+    out = scored.join(F.broadcast(cuts), F.col(fold) == F.col("_fold"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))  # a row a fold
+    return out.withColumn("predicted", (F.col("probability") >= F.col("threshold")).cast("int")).drop("_fold")
+
+
+def multinomial_out_of_fold(df: DataFrame, fold: str, target: str, folds: int, strength: float = 1.0) -> DataFrame:
+    """`df` (features, fold, target from 0) plus predicted class by a multinomial logistic model of the other folds; their class where they have one."""
+    parts = []
+    for k in range(folds):
+        train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        counts = {r[target]: r["n"] for r in train.groupBy(target).agg(F.count("*").alias("n")).collect()}
+        if len(counts) < 2:
+            parts.append(test.withColumn("predicted", F.lit(next(iter(counts), None)).cast("int")))
+            continue
+        train, test = _scaled(train, test)
+        model = LogisticRegression(featuresCol="scaled", labelCol=target, family="multinomial", regParam=strength / sum(counts.values()), standardization=False, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred")
+        parts.append(model.fit(train).transform(test).withColumn("predicted", F.col("_pred").cast("int")).drop("scaled", "_p", "_raw", "_pred"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def leave_one_source(df: DataFrame, sources: DataFrame, source: str, target: str, strength: float = 1.0) -> DataFrame:
+    """(source, rows, mae) of each of the few sources listed: error of a ridge model of all other rows on the source's own."""
+    parts = None
+    for r in sources.select(source).collect():
+        train, test = _scaled(df.filter(F.col(source) != r[0]), df.filter(F.col(source) == r[0]))
+        model = LinearRegression(featuresCol="scaled", labelCol=target, regParam=strength / max(1, train.count()), elasticNetParam=0.0, standardization=False).fit(train)
+        one = model.transform(test).agg(F.lit(r[0]).alias(source), F.count("*").alias("rows"), F.avg(F.abs(F.col("prediction") - F.col(target))).alias("mae"))
+        parts = one if parts is None else parts.unionByName(one)
+    return df.select(source, F.lit(0).cast("bigint").alias("rows"), F.lit(0.0).alias("mae")).limit(0) if parts is None else parts

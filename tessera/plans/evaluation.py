@@ -149,9 +149,14 @@ def conformal_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(folds.conformal_quantiles(rows, ["fold"], F.abs(F.col("quality") - F.col("p")), 0.9, 1.0), "quantile")
 
 
-@query(None)
+@query("""WITH RECURSIVE g AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS sev, count(*) AS n, max(round(value * 100)::BIGINT) AS top, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY sev DESC, top DESC, n DESC, user_id) AS r FROM g),
+w AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS user_id, -1 AS fold, 0::BIGINT AS sev, 0::BIGINT AS n, list_transform(range(5), lambda k: struct_pack(sev := 0::BIGINT, n := 0::BIGINT, total := 0::BIGINT, k := k::INTEGER)) AS loads
+  UNION ALL SELECT o.r, o.user_id, list_sort(w.loads)[1].k, o.sev, o.n, list_transform(w.loads, lambda x: CASE WHEN x.k = list_sort(w.loads)[1].k THEN struct_pack(sev := x.sev + o.sev, n := x.n + o.n, total := x.total + o.total, k := x.k) ELSE x END) FROM w JOIN o ON o.r = w.r + 1)
+SELECT user_id, fold::INTEGER AS fold, sev AS severe, n AS "rows" FROM w WHERE r > 0""")
 def greedy_folds(spark: SparkSession, d: str) -> DataFrame:
-    return folds.greedy_folds(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase", F.round("value", 2), 5)
+    """Users into five folds with even purchases, events and values (in hundredths)."""
+    return folds.greedy_folds(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("long"), 5)
 
 
 _LONG = "(SELECT vec_id, unnest(range(0, 64))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
@@ -223,3 +228,40 @@ def pca_space(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
     return rounded(resample.bootstrap_mean(orders, ["c_mktsegment"], "o_custkey", F.col("o_totalprice")), "estimate", "low", "high")
+
+
+@query(None)
+def severe_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold probabilities of odd labels, cut in each fold at the threshold that reaches the recall on the other folds."""
+    return models.recall_targeted(_modelled(spark, d), "fold", "odd", 3, 0.8).select("vec_id", "fold", "odd", F.round("probability", 4).alias("probability"), F.round("threshold", 4).alias("threshold"), "predicted")
+
+
+@query(None)
+def ordinal_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold class of the stage, and how far off it is."""
+    rows = models.multinomial_out_of_fold(_modelled(spark, d).withColumn("band", (F.col("stage") / 40).cast("int")), "fold", "band", 3)
+    return rows.select("vec_id", "fold", "band", "predicted", F.abs(F.col("predicted") - F.col("band")).alias("distance"))
+
+
+@query(None)
+def leave_one_source(spark: SparkSession, d: str) -> DataFrame:
+    """Each label as a source held out: the error of a ridge model of the others."""
+    rows = _modelled(spark, d)
+    sources = rows.groupBy("label").agg(F.count("*").alias("n")).filter("n >= 10").orderBy("label").limit(6)
+    return rounded(models.leave_one_source(rows, sources, "label", "stage"), "mae")
+
+
+@query(None)
+def source_predictability(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the features tell labels apart: out-of-fold balanced accuracy."""
+    rows = models.multinomial_out_of_fold(_modelled(spark, d).withColumn("source", (F.col("label") % 3).cast("int")), "fold", "source", 3)
+    recall = rows.groupBy("source").agg(F.avg((F.col("source") == F.col("predicted")).cast("double")).alias("r"), F.count("*").alias("n"))
+    return rounded(recall.agg(F.avg("r").alias("balanced_accuracy"), F.sum("n").alias("rows"), F.count("*").alias("sources")), "balanced_accuracy")
+
+
+@query(None)
+def gated_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge and a gate's probability together: 0.65 of the stage and 0.35 of 100 times the probability, out of fold."""
+    rows = models.logistic_out_of_fold(models.ridge_out_of_fold(_modelled(spark, d), "fold", "stage", 3, 1.0, 0.0, 100.0), "fold", "odd", 3)
+    both = 0.65 * F.col("prediction") + 0.35 * 100 * F.col("probability")
+    return rows.select("vec_id", "fold", "stage", F.round(both, 4).alias("prediction"))

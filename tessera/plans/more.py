@@ -175,7 +175,10 @@ def annotation_sessions(spark: SparkSession, d: str) -> DataFrame:
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(None)
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT 1 AS k, (SELECT min(vec_id) FROM v) AS id, [(SELECT min(vec_id) FROM v)] AS done
+  UNION ALL SELECT k + 1, n.id, list_append(done, n.id) FROM c, LATERAL (SELECT vec_id AS id FROM (SELECT v.vec_id, min(sqrt(list_sum(list_transform(list_zip(v.e, o.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS dist FROM v, v o WHERE list_contains(c.done, o.vec_id) GROUP BY 1) ORDER BY round(dist, 6) DESC, vec_id LIMIT 1) n WHERE k < 4),
+p AS (SELECT c.k - 1 AS i, c.id, v.e FROM c JOIN v ON v.vec_id = c.id), d AS (SELECT v.vec_id, p.id AS centre, sqrt(list_sum(list_transform(list_zip(v.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM v, p)
+SELECT vec_id, arg_min(centre, struct_pack(a := dist, b := centre)) AS centre, round(min(dist), 5) AS distance FROM d GROUP BY 1""")
 def k_center(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.farthest_first(table(spark, d, "embeddings"), "vec_id", "embedding", 4).withColumn("distance", F.round("distance", 5))
 
