@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Anchors of a block; blocks that are broadcast (of 1,000 doubles an anchor they hold 32 MB).
+ANCHORS, ANCHOR_BLOCKS = 512, 8
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Sum of squared differences in double precision, in element order."""
@@ -71,10 +74,22 @@ def representatives(df: DataFrame, id_: str, group: str, vector: str, k: int) ->
 
 
 def nearest_anchor(df: DataFrame, anchors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(id, anchor_id, distance): the nearest of a few named anchors (anchor_id, anchor_vector); an anchor gets the nearest other one."""
-    pairs = df.select(F.col(id_).alias("_id"), F.col(vector).alias("_v")).crossJoin(anchors).filter("_id <> anchor_id")
-    far = pairs.withColumn("distance", F.sqrt(squared_distance(F.col("_v"), F.col("anchor_vector"))))
-    return far.groupBy(F.col("_id").alias(id_)).agg(F.min(F.struct(F.round("distance", 6).alias("r"), "anchor_id", "distance")).alias("b")).select(id_, "b.anchor_id", "b.distance")
+    """(id, anchor_id, distance): the nearest of the named anchors (anchor_id, anchor_vector); an anchor gets the nearest other one.
+
+    Anchors are packed into blocks; a row meets a block as a whole, so pairs are never rows. Up to ANCHOR_BLOCKS blocks are broadcast,
+    more meet the rows in a partitioned product.
+    """
+    count = anchors.count()
+    blocks = max(1, -(-count // ANCHORS))
+    packed = anchors.groupBy(F.pmod(F.xxhash64("anchor_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("anchor_id", "anchor_vector")).alias("_anchors"))
+    pairs = df.select(F.col(id_).alias("_id"), F.col(vector).alias("_v")).crossJoin(F.broadcast(packed) if blocks <= ANCHOR_BLOCKS else packed)
+    others = F.filter("_anchors", lambda a: a["anchor_id"] != F.col("_id"))
+    far = F.transform(others, lambda a: F.struct(squared_distance(F.col("_v"), a["anchor_vector"]).alias("d"), a["anchor_id"].alias("anchor_id")))
+    best = F.array_min(F.transform(far, lambda x: F.struct(F.round(F.sqrt(x["d"]), 6).alias("r"), x["anchor_id"].alias("anchor_id"), F.sqrt(x["d"]).alias("distance"))))
+    near = pairs.select(F.col("_id").alias(id_), best.alias("b")).filter("b is not null")
+    if blocks > 1:
+        near = near.groupBy(id_).agg(F.min("b").alias("b"))
+    return near.select(id_, "b.anchor_id", "b.distance")
 
 
 def zscores(df: DataFrame, id_: str, vector: str, least: float = 1e-8) -> DataFrame:
