@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import candidates, evaluation, groups, manifest, more, relations, reviews, rows, scalars, tables
+from tessera.plans import audits, candidates, evaluation, groups, manifest, more, relations, reviews, rows, scalars, tables
 
-MODULES = (rows, relations, groups, evaluation, more, manifest, reviews, candidates, scalars, tables)
+MODULES = (rows, relations, groups, evaluation, more, manifest, reviews, candidates, scalars, tables, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
