@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import digests, tokenized
 from tessera.llm.common import Saved
 from tessera.llm.line_dedup import deduplicate_lines
-from tessera.llm.mixing import mix, size_of, weighed
+from tessera.llm.mixing import mix, names, size_of, weighed
 from tessera.llm.near_dedup import deduplicated
 from tessera.llm.quality import judge
 from tessera.session import ship_package
@@ -55,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those without words, and those beyond the budget, not at all."""
-    sized = _packed(docs).withColumn("size", size_of(F.col("text")))
+    sized = names(_packed(docs).withColumn("size", size_of(F.col("text"))))
     mixed = mix(weighed(sized, _labels(spark, sf_dir)))
     return _unpacked(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 

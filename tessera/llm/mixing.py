@@ -62,6 +62,11 @@ def _uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def names(docs: DataFrame) -> DataFrame:
+    """`docs` plus draw: the MD5 of the text where doc_id is missing."""
+    return docs.withColumn("draw", F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))))
+
+
 def mix(docs: DataFrame, slices: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """`docs` (doc_id, source, size, weight > 0; more columns pass) plus source_size, target, copies, taken.
 
@@ -69,12 +74,12 @@ def mix(docs: DataFrame, slices: int | None = None, max_epochs: int = MAX_EPOCHS
     The last document of the fractional epoch is taken if at least half of it fits the budget.
     Weights must lie in [BAD, GOOD] for the slices to be even; any others stay right. Equal keys are ordered
     by doc_id, nulls last, then size; repeated rows share a fate only by their place in that order. Documents of size 0 take 0.
-    Documents without doc_id draw their key from a hash of their text, if there is a column `text`. Slices are as many as keep SLICE_ROWS rows each.
+    Documents without doc_id draw their key from column `draw`, if there is one: as names() makes it, before texts are joined or shuffled. Slices are as many as keep SLICE_ROWS rows each.
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("source_size", "target", "copies", "taken", *private(docs))
     slices = slices or max(1024, -(-docs.count() // SLICE_ROWS))
-    nameless = F.concat(F.lit("null"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))) if "text" in docs.columns else F.lit("null")
+    nameless = F.concat(F.lit("null"), F.coalesce("draw", F.lit(""))) if "draw" in docs.columns else F.lit("null")
     key = -F.log(_uniform(F.coalesce(F.col("doc_id").cast("string"), nameless))) / F.col("weight")
     keyed = docs.withColumn("_key", key).withColumn(
         # a monotone image of the key in [0, 1) that no weight can crowd by more than GOOD / BAD
@@ -102,7 +107,7 @@ def mix(docs: DataFrame, slices: int | None = None, max_epochs: int = MAX_EPOCHS
     return (
         joined.withColumn("copies", F.when(F.col("size") > 0, epochs + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_key", "_slice", "_none", "_source", "_before")
+        .drop("_key", "_slice", "_none", "_source", "_before", "draw")
     )
 
 
