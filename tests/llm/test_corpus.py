@@ -142,6 +142,12 @@ def test_mix_on_odd_rows(spark):
     assert mixing.mix(df.filter("size = 0")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_missing_ids_draw_by_text(spark):
+    df = mixing.names(spark.createDataFrame([(None, f"text {k}", "a", 10, 1.0) for k in range(300)] + [(k, "t", "b", 1, 1.0) for k in range(10)], "doc_id long, text string, source string, size long, weight double"))
+    a, b = (sorted((r["text"], r["copies"]) for r in mixing.mix(df, slices=8).filter("source = 'a'").collect()) for _ in range(2))
+    assert a == b and len({c for _, c in a}) == 2 and "draw" not in mixing.mix(df).columns
+
+
 def test_consistent_samples_estimate_similarity():
     a = [f"w{i}" for i in range(300)]
     texts = [" ".join(a), " ".join(a[:240] + [f"v{i}" for i in range(60)])]
