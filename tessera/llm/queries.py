@@ -9,6 +9,7 @@ from tessera.llm.langid import op1_language_id
 from tessera.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessera.llm.mixing import OP6_SQL, op6_mix_sources
 from tessera.llm.near_dedup import op7_near_duplicates
+from tessera.llm.periodic import op11_periodic_runs
 from tessera.llm.quality import op9_quality
 from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.url_filter import OP10_SQL, op10_url_filters
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL = {
     "op3_fingerprints": OP3_SQL,
