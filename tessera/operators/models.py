@@ -85,14 +85,6 @@ def principal_components(df: DataFrame, k: int) -> DataFrame:
     return model.transform(scaled).withColumn("pca", F.zip_with(vector_to_array("_pca"), F.array(*map(F.lit, signs)), lambda a, s: a * s)).drop("scaled", "_pca")
 
 
-def ridge_with_source_offset(train: DataFrame, test: DataFrame, target: str, source: str, strength: float = 1.0) -> DataFrame:
-    """`test` plus prediction: ridge, corrected by the mean training residual of its source (0 for unseen ones)."""
-    a, b = _scaled(train, test)
-    model = LinearRegression(featuresCol="scaled", labelCol=target, regParam=strength / max(1, train.count()), elasticNetParam=0.0, standardization=False).fit(a)
-    offset = model.transform(a).groupBy(source).agg(F.avg(F.col(target) - F.col("prediction")).alias("_o"))
-    return model.transform(b).join(offset, source, "left").withColumn("prediction", F.col("prediction") + F.coalesce("_o", F.lit(0.0))).drop("_o", "scaled")
-
-
 def cumulative_thresholds(df: DataFrame, fold: str, score: str, cuts: list[float], folds: int) -> DataFrame:
     """`df` plus p array<double>: out-of-fold probabilities that the score exceeds each cut."""
     out = df.withColumn("p", F.array().cast("array<double>"))
@@ -141,14 +133,3 @@ def multinomial_out_of_fold(df: DataFrame, fold: str, target: str, folds: int, s
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def leave_one_source(df: DataFrame, sources: DataFrame, source: str, target: str, strength: float = 1.0) -> DataFrame:
-    """(source, rows, mae) of each of the few sources listed: error of a ridge model of all other rows on the source's own."""
-    parts = None
-    for r in sources.select(source).collect():
-        train, test = _scaled(df.filter(F.col(source) != r[0]), df.filter(F.col(source) == r[0]))
-        model = LinearRegression(featuresCol="scaled", labelCol=target, regParam=strength / max(1, train.count()), elasticNetParam=0.0, standardization=False).fit(train)
-        one = model.transform(test).agg(F.lit(r[0]).alias(source), F.count("*").alias("rows"), F.avg(F.abs(F.col("prediction") - F.col(target))).alias("mae"))
-        parts = one if parts is None else parts.unionByName(one)
-    return df.select(source, F.lit(0).cast("bigint").alias("rows"), F.lit(0.0).alias("mae")).limit(0) if parts is None else parts

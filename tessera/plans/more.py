@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rubric, text
-from tessera.operators import gates, joins, metrics, models, neighbors, rank, strata
+from tessera.operators import folds, gates, joins, metrics, models, neighbors, rank, screens, strata
 from tessera.plans.evaluation import _LAB, _modelled, labelled
 from tessera.plans.groups import rounded
 from tessera.sources.tables import table
@@ -185,9 +185,12 @@ def k_center(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def source_offset_ridge(spark: SparkSession, d: str) -> DataFrame:
-    rows = _modelled(spark, d)
-    out = models.ridge_with_source_offset(rows.filter("fold <> 0"), rows.filter("fold = 0"), "stage", "label")
-    return out.select("vec_id", "label", "stage", F.round("prediction", 4).alias("prediction"))
+    """Out-of-fold predictions of all rows, corrected by the mean training residual of the row's source."""
+    names = [f"e{k}" for k in range(64)]
+    one = [screens.Candidate("offset", tuple(names), sources=screens.CALIBRATED)]
+    rows = table(spark, d, "embeddings").withColumns({"fold": folds.hash_fold(F.col("label"), 3), "stage": (F.col("label") % 6) * 20.0, "source": F.col("vec_id") % 4} | {n: F.col("embedding")[k] for k, n in enumerate(names)})
+    out = screens.screen(rows, one, "fold", "stage", "source", 0.0, 100.0)
+    return out.select("vec_id", "label", "fold", "stage", F.round(F.col("out_of_fold")[0], 4).alias("prediction"))
 
 
 @query(None)
