@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import screens
+from tessera.operators import resample, screens, selection
 from tessera.plans.groups import rounded
 from tessera.sources.tables import table
 
@@ -69,22 +69,22 @@ def candidate_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SUBJECTS}, c(k, i, j, a) AS (VALUES (2, 1, 4, 1.0::DOUBLE)),
-m AS (SELECT k, i, j, a, held, {_MOMENTS} FROM s, c, range(6) h(held) WHERE fold <> held GROUP BY 1, 2, 3, 4, 5), {_SOLVED}, p AS (SELECT *, greatest(20, least(30, my + wi * (f[i] - mi) + wj * (f[j] - mj))) AS p FROM s, w)
+m AS (SELECT k, i, j, a, held, {_MOMENTS} FROM s, c, range(6) h(held) WHERE fold <> held GROUP BY 1, 2, 3, 4, 5), {_SOLVED}, p AS (SELECT *, greatest(44, least(48, my + wi * (f[i] - mi) + wj * (f[j] - mj))) AS p FROM s, w)
 SELECT c_custkey, fold, round(any_value(y), 6) AS observed, round(max(p) FILTER (fold = held), 6) AS out_of_fold, round(max(p) FILTER (held = 5), 6) AS apparent FROM p GROUP BY 1, 2""")
 def screen_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """One candidate's predictions by the other folds and by all rows, within 20 to 30."""
+    """One candidate's predictions by the other folds and by all rows, within 44 to 48."""
     one = [screens.Candidate("one", ("quantity", "position"))]
-    out = screens.screen(subjects(spark, d), one, "fold", "price", low=20.0, high=30.0)
+    out = screens.screen(subjects(spark, d), one, "fold", "price", low=44.0, high=48.0)
     return rounded(out.select("c_custkey", "fold", F.col("price").alias("observed"), F.col("out_of_fold")[0].alias("out_of_fold"), F.col("apparent")[0].alias("apparent")), "observed", "out_of_fold", "apparent")
 
 
 @query(f"""WITH {_SUBJECTS}, c(k, i, j, a) AS (VALUES (2, 1, 4, 5.0::DOUBLE)),
 m AS (SELECT k, i, j, a, held, {_MOMENTS} FROM s, c, (SELECT DISTINCT c_nationkey AS held FROM s) WHERE c_nationkey <> held GROUP BY 1, 2, 3, 4, 5), {_SOLVED}
-SELECT c_nationkey, CASE WHEN count(*) < 40 THEN 'not_estimable_small_row_count' ELSE 'estimated' END AS status, any_value(n)::BIGINT AS train_rows, count(*) AS test_rows,
-  CASE WHEN count(*) >= 40 THEN round(avg(abs(my + wi * (f[i] - mi) + wj * (f[j] - mj) - y)), 6) END AS mae FROM s JOIN w ON held = c_nationkey GROUP BY 1""")
+SELECT c_nationkey, CASE WHEN count(*) < 60 THEN 'not_estimable_small_row_count' ELSE 'estimated' END AS status, any_value(n)::BIGINT AS train_rows, count(*) AS test_rows,
+  CASE WHEN count(*) >= 60 THEN round(avg(abs(my + wi * (f[i] - mi) + wj * (f[j] - mj) - y)), 6) END AS mae FROM s JOIN w ON held = c_nationkey GROUP BY 1""")
 def nation_holdout(spark: SparkSession, d: str) -> DataFrame:
-    """Each nation's customers by a model of all other nations'; fewer than 40 aren't judged."""
-    out = screens.held_out_sources(subjects(spark, d), ["quantity", "position"], "price", "c_nationkey", 5.0, 40)
+    """Each nation's customers by a model of all other nations'; fewer than 60 aren't judged."""
+    out = screens.held_out_sources(subjects(spark, d), ["quantity", "position"], "price", "c_nationkey", 5.0, 60)
     return rounded(out, "mae")
 
 
@@ -105,3 +105,53 @@ def source_aware_screen(spark: SparkSession, d: str) -> DataFrame:
     found = screens.screen(rows, some, "fold", "stage", "source", 0.0, 100.0)
     held, seen = (screens.screen_metrics(found, some, "stage", c) for c in ("out_of_fold", "apparent"))
     return rounded(held.join(seen.select("candidate", F.col("mae").alias("apparent_mae")), "candidate"), "mae", "rmse", "bias", "apparent_mae")
+
+
+_LINES = "(SELECT (l_suppkey % 4)::INTEGER AS fold, l_returnflag AS class, [l_quantity, l_discount * 100, l_tax * 100, l_extendedprice / 1000, l_linenumber::DOUBLE, 1.0::DOUBLE] AS f FROM lineitem)"
+LINE_FEATURES = ("quantity", "discount", "tax", "price", "position", "constant")
+
+
+def graded_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with six columns, their return flag as class, folds by supplier."""
+    values = (F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice") / 1000, F.col("l_linenumber").cast("double"), F.lit(1.0))
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("fold"), F.col("l_returnflag").alias("class"), *(v.alias(n) for v, n in zip(values, LINE_FEATURES, strict=True)))
+
+
+_SUMS = f"""t AS (SELECT held, class, k, count(*)::DOUBLE AS n, sum(f[k]) AS s, sum(f[k] * f[k]) AS q FROM {_LINES} l, range(4) h(held), range(1, 7) r(k) WHERE fold <> held GROUP BY 1, 2, 3),
+p AS (SELECT held, k, sum(n) AS n, count(*) AS c, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM t GROUP BY 1, 2),
+x AS (SELECT held AS fold, ['quantity', 'discount', 'tax', 'price', 'position', 'constant'][k] AS feature, CASE WHEN q - b > 1e-9 * q THEN (b - s * s / n) / (c - 1) / ((q - b) / (n - c)) END AS f_score, greatest(0, q / n - s * s / n / n) AS variance FROM p)"""
+
+
+@query(f"""WITH {_SUMS} SELECT fold, feature, round(f_score, 4) AS f_score, round(variance, 5) AS variance, row_number() OVER (PARTITION BY fold ORDER BY round(f_score, 4) DESC NULLS LAST, feature) <= 3 AS by_f,
+  row_number() OVER (PARTITION BY fold ORDER BY round(variance, 5) DESC, feature) <= 2 AS by_variance FROM x""")
+def fold_features(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that each fold's training rows choose, by F score and by variance."""
+    scores = selection.fold_scores(graded_lines(spark, d), LINE_FEATURES, "fold", "class").withColumns({"f_score": F.round("f_score", 4), "variance": F.round("variance", 5)})
+    return selection.chosen(selection.chosen(scores, "f_score", 3, "by_f"), "variance", 2, "by_variance")
+
+
+@query(None)
+def aligned_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold class probabilities by columns chosen inside folds, over preset classes of which folds may lack some and all lack one."""
+    names = [f"e{k}" for k in range(64)]
+    rows = table(spark, d, "embeddings").withColumns({"fold": (F.col("label") % 3).cast("int"), "band": F.when(F.col("vec_id") % 2 == 0, F.col("label") % 4).otherwise(1)} | {n: F.col("embedding")[k] for k, n in enumerate(names)})
+    out = selection.selected_out_of_fold(rows, names, "fold", "band", classes=(0, 1, 2, 3, 4), columns=8)
+    return out.select("vec_id", "fold", "band", F.transform("probabilities", lambda p: F.round(p, 4)).alias("probabilities"), "predicted")
+
+
+_DRAWS = "list_transform(range(0, 201), lambda b: CASE WHEN b = 0 THEN 1 ELSE list_sum(list_transform([0.36787944117144233::DOUBLE, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119], lambda t: (('0x' || left(md5('7:' || b || ':' || unit), 8))::BIGINT / 4294967296.0::DOUBLE >= t)::INTEGER)) END)"
+
+
+@query(f"""WITH r AS (SELECT source || '-' || n_chars % 50 AS unit, round(least(1::DOUBLE, n_chars / 8000.0::DOUBLE), 4) AS p, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+u AS (SELECT unit, {_DRAWS} AS w FROM (SELECT DISTINCT unit FROM r)),
+d AS (SELECT b, p, sum(w[b + 1] * y)::DOUBLE AS pos, sum(w[b + 1] * (1 - y))::DOUBLE AS neg FROM r JOIN u USING (unit), range(0, 201) t(b) GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER s - pos AS above, sum(pos) OVER s / nullif(sum(pos + neg) OVER s, 0) AS prec FROM d WINDOW s AS (PARTITION BY b ORDER BY p DESC)),
+m AS (SELECT b, sum(pos) AS ps, sum(neg) AS ns, sum(neg * (above + pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc, sum(pos * prec) / nullif(sum(pos), 0) AS average_precision,
+  sum(pos) FILTER (p >= 0.1) / nullif(sum(pos), 0) AS recall, sum(pos) FILTER (p >= 0.1) / nullif(sum(pos + neg) FILTER (p >= 0.1), 0) AS precision, sum(neg) FILTER (p < 0.1) / nullif(sum(neg), 0) AS specificity FROM c GROUP BY 1),
+l AS (UNPIVOT (SELECT b, auroc, average_precision, recall, precision, specificity, (recall + specificity) / 2 AS balanced_accuracy FROM m WHERE ps > 0 AND ns > 0) ON auroc, average_precision, recall, precision, specificity, balanced_accuracy INTO NAME metric VALUE v)
+SELECT metric, 'estimated' AS status, round(max(v) FILTER (b = 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (b > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (b > 0), 6) AS high, count(*) FILTER (b > 0) AS resamples FROM l GROUP BY 1""")
+def metric_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking and threshold metrics of documents' lengths as scores of quality, with intervals over 200 draws of their groups."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("quality is not null")
+    rows = docs.select(F.concat_ws("-", "source", (F.col("n_chars") % 50).cast("string")).alias("unit"), F.least(F.lit(1.0), F.col("n_chars") / F.lit(8000.0)).alias("p"), F.col("quality").alias("y"))
+    return rounded(resample.metric_intervals(rows, "unit", F.col("p"), F.col("y"), 0.1, seed=7, digits=4), "estimate", "low", "high")
