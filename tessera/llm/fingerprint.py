@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame expressions only.
 
-A fingerprint is a vector of 25 lanes modulo 2**60, the sum of vectors hashed from the parts of a text:
+A fingerprint is a vector of 85 lanes modulo 2**60, the sum of vectors hashed from the parts of a text:
 - lane 0 counts sentences; lanes 1 to 4 add 240 bits of each paragraph's SHA-256: these decide equality;
-- lanes 5 to 24 pack 60 counters of 20 bits, each counting the sentences whose MD5 has one certain bit set.
+- lanes 5 to 84 pack 240 counters of 20 bits, each counting the sentences whose SHA-256 has one certain bit set.
 Sums don't depend on order; parts are inserted by adding and deleted by subtracting their vectors.
 Each counter is a random-sign sum of the sentences, so the cosine of two fingerprints' counters
 estimates that of their sentence multisets, for texts of any length up to 2**20 sentences.
@@ -31,11 +31,16 @@ def _long(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10).cast("long")
 
 
+def _quarters(digest: Column) -> Column:
+    """The first 60 hex digits as four numbers."""
+    return F.array(*(_long(F.substring(digest, 1 + 15 * k, 15)) for k in range(4)))
+
+
 def _hashes(text: Column) -> Column:
-    """struct(p: SHA-256 of each paragraph, s: 60 bits of the MD5 of each sentence); empty parts don't count."""
+    """struct(p: SHA-256 of each paragraph, s: four times 60 bits of the SHA-256 of each sentence); empty parts don't count."""
     return F.struct(
         F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.sha2(p.cast("binary"), 256)).alias("p"),
-        F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: s != ""), lambda s: _long(F.substring(F.md5(s.cast("binary")), 1, 15))).alias("s"),
+        F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: s != ""), lambda s: _quarters(F.sha2(s.cast("binary"), 256))).alias("s"),
     )
 
 
@@ -49,7 +54,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     lanes = [F.size("_h.s").cast("long")]
     lanes += [_sum(F.col("_h.p"), lambda h, k=k: _long(F.substring(h, 1 + 15 * k, 15))) for k in range(4)]
     counters = F.transform(
-        F.sequence(F.lit(0), F.lit(19)), lambda j: _sum(F.col("_h.s"), lambda h: F.call_function("shiftright", h, j).bitwiseAND(F.lit(FIELDS)))
+        F.sequence(F.lit(0), F.lit(79)), lambda j: _sum(F.col("_h.s"), lambda h: F.call_function("shiftright", h[F.floor(j / 20).cast("int")], j % 20).bitwiseAND(F.lit(FIELDS)))
     )
     return hashed.withColumn(name, F.concat(F.array(*lanes), counters)).drop("_h")
 
@@ -70,8 +75,8 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def _signs(fingerprint: Column) -> Column:
-    """The 60 counters as sums of signs: 2 * count - sentences."""
-    lanes = F.slice(fingerprint, 6, 20)
+    """The 240 counters as sums of signs: 2 * count - sentences."""
+    lanes = F.slice(fingerprint, 6, 80)
     return F.transform(
         F.flatten(F.transform(lanes, lambda x: F.array(*(F.shiftright(x, 20 * f).bitwiseAND(F.lit(FIELD)) for f in range(3))))),
         lambda count: 2 * count - fingerprint[0],
@@ -159,11 +164,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LANES_SQL = """list_concat([len({h}.s)::BIGINT], list_concat(
       list_transform(range(4), lambda k: (coalesce(list_sum(list_transform({h}.p, lambda x: ('0x' || substr(x, (1 + 15 * k)::BIGINT, 15))::BIGINT::HUGEINT)), 0) % 1152921504606846976)::BIGINT),
-      list_transform(range(20), lambda j: (coalesce(list_sum(list_transform({h}.s, lambda x: ((x >> j::BIGINT) & 1099512676353)::HUGEINT)), 0) % 1152921504606846976)::BIGINT)))"""
+      list_transform(range(80), lambda j: (coalesce(list_sum(list_transform({h}.s, lambda x: ((x[(1 + j // 20)::BIGINT] >> (j % 20)::BIGINT) & 1099512676353)::HUGEINT)), 0) % 1152921504606846976)::BIGINT)))"""
 _HASHES_SQL = r"""struct_pack(
       p := list_transform(list_filter(string_split({t}, chr(10)), lambda x: x <> ''), lambda x: sha256(x)),
-      s := list_transform(list_filter(string_split_regex({t}, '[.!?|\n][.!?|\n ]*'), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))"""
-_SIGNS_SQL = "list_transform(range(60), lambda i: 2 * (({f}[(6 + i // 3)::BIGINT] >> (20 * (i % 3))::BIGINT) & 1048575) - {f}[1])"
+      s := list_transform(list_filter(string_split_regex({t}, '[.!?|\n][.!?|\n ]*'), lambda x: x <> ''), lambda x: list_transform(range(4), lambda k: ('0x' || substr(sha256(x), (1 + 15 * k)::BIGINT, 15))::BIGINT)))"""
+_SIGNS_SQL = "list_transform(range(240), lambda i: 2 * (({f}[(6 + i // 3)::BIGINT] >> (20 * (i % 3))::BIGINT) & 1048575) - {f}[1])"
 _LIKE_SQL = """CASE WHEN {a} = {b} THEN 1::DOUBLE
     WHEN sqrt(list_dot_product(v{a}::DOUBLE[], v{a}::DOUBLE[])) * sqrt(list_dot_product(v{b}::DOUBLE[], v{b}::DOUBLE[])) > 0 THEN
       least(1::DOUBLE, greatest(0::DOUBLE, list_dot_product(v{a}::DOUBLE[], v{b}::DOUBLE[]) / (sqrt(list_dot_product(v{a}::DOUBLE[], v{a}::DOUBLE[])) * sqrt(list_dot_product(v{b}::DOUBLE[], v{b}::DOUBLE[])))))
