@@ -125,7 +125,7 @@ def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    docs = names(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "draw", size_of(F.col("text")).alias("size"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mix(weighed(docs, labels)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -143,7 +143,7 @@ def mix_sql(docs: str) -> str:
 def mixed_sql(docs: str) -> str:
     """CTEs ending in `mixed`: the rows of `docs` with size, source_size, target, copies, taken."""
     return f"""sized AS ({mix_sql(docs)}),
-keyed AS (SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS k FROM sized),
+keyed AS (SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null' || coalesce(md5(text), ''))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS k FROM sized),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
 wt AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM per),
 lv AS (SELECT *, cap::DOUBLE / w AS ratio,

@@ -148,6 +148,18 @@ def test_missing_ids_draw_by_text(spark):
     assert a == b and len({c for _, c in a}) == 2 and "draw" not in mixing.mix(df).columns
 
 
+def test_query_draws_missing_ids_apart(spark, duck, tmp_path):
+    rows = [(None if k % 2 else k, f"w{k} " * (1 + k % 5), "a" if k % 3 else None) for k in range(60)] + [(None, None, "a"), (None, "w1 w1 ", "a"), (None, "w1 w1 ", "a")]
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        (spark.createDataFrame(rows, "doc_id long, text string, source string") if name == "documents" else empty).coalesce(1).write.parquet(f"{tmp_path}/raw/{name}")
+        next((tmp_path / "raw" / name).glob("part-*")).rename(tmp_path / f"{name}.parquet")
+    got, want = mixing.op6_mix_sources(spark, str(tmp_path)).toPandas(), duck(mixing.OP6_SQL, str(tmp_path))
+    assert canonical(got) == canonical(want)
+    keyed = mixing.names(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert keyed.filter("doc_id is null").select("draw").distinct().count() == 31  # by text, and one for no text
+
+
 def test_consistent_samples_estimate_similarity():
     a = [f"w{i}" for i in range(300)]
     texts = [" ".join(a), " ".join(a[:240] + [f"v{i}" for i in range(60)])]
@@ -241,6 +253,14 @@ def test_urls_on_odd_rows(spark):
     assert url_filter.filter_urls(pages, url_filter.RULES, listed.limit(0)).count() == len(urls)
 
 
+def test_one_url_and_one_canonical_form_of_many_pages(spark):
+    same = [(k, "https://www.hot.org/x/") for k in range(300)] + [(1000 + k, f"https://hot.org/x?{k}") for k in range(300)] + [(2000 + k, None) for k in range(100)] + [(3000, "https://cold.org/x")]
+    pages = spark.createDataFrame(same, "page_id long, url string")
+    listed = spark.createDataFrame([("hot.org/x",), ("hot.org/x",), (None,)], "canonical string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, url_filter.RULES, listed).collect()}
+    assert len(got) == 701 and all(v == ("block" if k < 2000 else "allow") for k, v in got.items())
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     blocks = url_filter.bloom_blocks(keys, 141)
