@@ -28,6 +28,7 @@ class Joiner:
         self.row: list[tuple[int, int, int]] = []
         self.y: int | None = None
         self.at = 0
+        self.reach: tuple[int, int] = (-1, 0)
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -49,8 +50,10 @@ class Joiner:
         if y != self.y:
             self.before, self.row, self.at = (self.row if self.y is not None and y == self.y + 1 else []), [], 0
             self.y = y
-        if self.row and self.row[-1][1] >= x0:
-            self.union(node, self.row[-1][2])
+        if self.row and self.reach[0] >= x0:
+            self.union(node, self.reach[1])
+        if not self.row or x1 > self.reach[0]:
+            self.reach = (x1, node)
         before = self.before
         while self.at < len(before) and before[self.at][1] < x0:
             self.at += 1
@@ -126,7 +129,7 @@ def _links(kind: pa.DataType):
 def components(runs: DataFrame, image: str, strip: int = STRIP) -> DataFrame:
     """(image, area, x0, y0, x1, y1, centre_x, centre_y, first_y, first_x) of the 8-connected components of `runs` (image, y, x0, x1; y >= 0, x1 exclusive).
 
-    first_y, first_x: the component's first cell by row; it names the component in its image. Runs that touch in a row are joined, a run given twice counts twice, empty
+    first_y, first_x: the component's first cell by row; it names the component in its image. Runs that touch or overlap in a row are joined, cells given twice count twice, empty
     runs and rows with nulls don't count. An image is joined up by strips of `strip` rows in different tasks; only the runs at strips' edges then meet in one task, so a large image
     is split. No runs give no rows.
     """

@@ -69,12 +69,12 @@ def candidate_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SUBJECTS}, c(k, i, j, a) AS (VALUES (2, 1, 4, 1.0::DOUBLE)),
-m AS (SELECT k, i, j, a, held, {_MOMENTS} FROM s, c, range(6) h(held) WHERE fold <> held GROUP BY 1, 2, 3, 4, 5), {_SOLVED}, p AS (SELECT *, greatest(44, least(48, my + wi * (f[i] - mi) + wj * (f[j] - mj))) AS p FROM s, w)
+m AS (SELECT k, i, j, a, held, {_MOMENTS} FROM s, c, range(6) h(held) WHERE fold <> held GROUP BY 1, 2, 3, 4, 5), {_SOLVED}, p AS (SELECT *, greatest(50, least(56, my + wi * (f[i] - mi) + wj * (f[j] - mj))) AS p FROM s, w)
 SELECT c_custkey, fold, round(any_value(y), 6) AS observed, round(max(p) FILTER (fold = held), 6) AS out_of_fold, round(max(p) FILTER (held = 5), 6) AS apparent FROM p GROUP BY 1, 2""")
 def screen_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """One candidate's predictions by the other folds and by all rows, within 44 to 48."""
+    """One candidate's predictions by the other folds and by all rows, within 50 to 56."""
     one = [screens.Candidate("one", ("quantity", "position"))]
-    out = screens.screen(subjects(spark, d), one, "fold", "price", low=44.0, high=48.0)
+    out = screens.screen(subjects(spark, d), one, "fold", "price", low=50.0, high=56.0)
     return rounded(out.select("c_custkey", "fold", F.col("price").alias("observed"), F.col("out_of_fold")[0].alias("out_of_fold"), F.col("apparent")[0].alias("apparent")), "observed", "out_of_fold", "apparent")
 
 

@@ -59,9 +59,9 @@ def test_components_equal_flood_fill(spark, strip):
 
 
 def test_odd_runs(spark):
-    rows = [("a", 0, 0, 3), ("a", 0, 3, 5), ("a", 0, 7, 7), ("a", None, 1, 2), (None, 0, 0, 1), ("a", 1, 5, 6), ("a", 3, 0, 1), ("b", 1000, 0, 2)]
+    rows = [("a", 0, 0, 3), ("a", 0, 3, 5), ("a", 0, 7, 7), ("a", None, 1, 2), (None, 0, 0, 1), ("a", 1, 5, 6), ("a", 3, 0, 1), ("b", 1000, 0, 2), ("c", 0, 2, 6), ("c", 0, 2, 3), ("c", 0, 5, 7)]
     runs = spark.createDataFrame(rows, "image string, y int, x0 int, x1 int").withColumn("area", F.lit("own"))
-    assert sorted((r["image"], r["area"], r["first_y"], r["first_x"]) for r in boxes.components(runs, "image").collect()) == [("a", 1, 3, 0), ("a", 6, 0, 0), ("b", 2, 1000, 0)]
+    assert sorted((r["image"], r["area"], r["first_y"], r["first_x"]) for r in boxes.components(runs, "image").collect()) == [("a", 1, 3, 0), ("a", 6, 0, 0), ("b", 2, 1000, 0), ("c", 7, 0, 2)]
     assert boxes.components(runs.limit(0), "image").count() == 0
 
 
