@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.contracts import ContractError, duplicate_keys
+from tessera.operators.running import numbered
 
 
 def guarded_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], relation: str = "m:1") -> DataFrame:
@@ -66,3 +67,45 @@ def covered_share(components: DataFrame, boxes: DataFrame, key: str, least: floa
     cut = F.greatest(zero, F.least("c.x1", "b.x1") - F.greatest("c.x0", "b.x0")) * F.greatest(zero, F.least("c.y1", "b.y1") - F.greatest("c.y0", "b.y0"))
     hit = c.join(b, F.col(f"c.{key}") == F.col(f"b.{key}"), "left").groupBy(F.col(f"c.{key}").alias(key), F.col("c.id").alias("id")).agg(F.max(F.coalesce(cut >= least * area("c"), F.lit(False))).alias("hit"))
     return hit.groupBy(key).agg(F.count("*").alias("components"), F.count_if("hit").alias("matched")).withColumn("recall", F.col("matched") / F.col("components"))
+
+
+def either_key(left: DataFrame, right: DataFrame, ids: Sequence[str], keys: Sequence[str], right_key: str, columns: Sequence[str]) -> DataFrame:
+    """`left` plus `columns` of the right row whose `right_key` equals the first of the left row's `keys` that finds one; matched_by names that key, null without any.
+
+    `ids` tell the left rows apart, right keys must not repeat. Instead of an OR, which no equi-join can serve, the left keys are stacked with their priority,
+    joined once by value, and the best hit of each row is kept: all by hash or sort, whatever the sizes. Existing columns of these names are replaced.
+    """
+    if duplicate_keys(right.filter(F.col(right_key).isNotNull()), [right_key]).limit(1).count():
+        raise ContractError(f"{right_key} repeats")
+    places = F.array(*(F.struct(F.lit(n).alias("place"), F.col(k).cast("string").alias("value")) for n, k in enumerate(keys)))
+    stacked = left.select(*ids, F.explode(places).alias("_k")).select(*ids, F.col("_k.place").alias("_place"), F.col("_k.value").alias("_value")).filter("_value is not null")
+    named = right.select(F.col(right_key).cast("string").alias("_value"), F.struct(*columns).alias("_found"))
+    best = stacked.join(named, "_value").groupBy(*ids).agg(F.min_by("_found", "_place").alias("_found"), F.min("_place").alias("_place"))
+    words = F.array(*map(F.lit, keys))
+    return left.drop(*columns, "matched_by").join(best, list(ids), "left").withColumns({c: F.col(f"_found.{c}") for c in columns} | {"matched_by": F.get(words, F.col("_place"))}).drop("_found", "_place")
+
+
+def by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ties: Sequence[str] = (), right_ties: Sequence[str] = ()) -> DataFrame:
+    """The n-th row of `left` beside the n-th of `right`, plus position from 1; unequal counts are an error.
+
+    Order is by a numeric key of each side, null first, then ties. Rows are numbered on two levels, over ranges of the key, so no task holds a side. Columns of the right
+    side that the left has too get the ending `_right`.
+    """
+    a, b = left.count(), right.count()
+    if a != b:
+        raise ContractError(f"{a} rows beside {b}")
+    clash = {c: f"{c}_right" for c in right.columns if c in left.columns}
+    first, second = numbered(left, left_key, "position", left_ties), numbered(right, right_key, "position", right_ties)
+    return first.join(second.withColumnsRenamed(clash), "position")
+
+
+def zipped_lists(df: DataFrame, lists: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """A row for each place of a row's `lists`, plus place from 0 and an element of each list under `names`; lists of unequal lengths, or null beside one that isn't, are an error. Rows without places vanish."""
+    sizes = [F.coalesce(F.size(c), F.lit(-1)) for c in lists]
+    same = F.lit(True)
+    for s in sizes[1:]:
+        same = same & (s == sizes[0])
+    zipped = F.arrays_zip(*(F.col(c).alias(n) for c, n in zip(lists, names, strict=True)))
+    checked = F.when(same, zipped).otherwise(F.raise_error(F.concat(F.lit("lists of unequal lengths: "), F.concat_ws(", ", *(s.cast("string") for s in sizes)))))
+    rest = [c for c in df.columns if c not in lists and c not in names and c != "place"]
+    return df.select(*rest, F.posexplode(checked).alias("place", "_z")).select(*rest, "place", *(F.col("_z")[n].alias(n) for n in names))

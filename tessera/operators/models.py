@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.contracts import ContractError
 from tessera.operators.rank import recall_threshold
 
 
@@ -133,3 +137,33 @@ def multinomial_out_of_fold(df: DataFrame, fold: str, target: str, folds: int, s
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def save_fitted(model: PipelineModel, path: str, features: Sequence[str], **contract: str) -> None:
+    """A fitted pipeline and, written last, what it was fitted on: its columns in order and any further facts, such as the fold."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(list(features), contract)], "features array<string>, contract map<string,string>").coalesce(1).write.mode("overwrite").json(f"{path}/contract")
+
+
+def load_fitted(path: str, features: Sequence[str], **contract: str) -> PipelineModel:
+    """The pipeline again; other columns, another order or another fact than those it was saved with are an error."""
+    saved = SparkSession.active().read.schema("features array<string>, contract map<string,string>").json(f"{path}/contract").first()
+    if saved is None or list(saved["features"]) != list(features):
+        raise ContractError(f"the model takes {', '.join(saved['features'] if saved else ())}")
+    wrong = {k: v for k, v in contract.items() if (saved["contract"] or {}).get(k) != v}
+    if wrong:
+        raise ContractError(f"the model was saved with {saved['contract']}, not {wrong}")
+    return PipelineModel.load(f"{path}/model")
+
+
+def balanced_logistic(df: DataFrame, features: Sequence[str], target: str, strength: float = 1.0) -> PipelineModel:
+    """Columns gathered, scaled and fed to a class-balanced logistic model, fitted as one pipeline; prediction columns are probability and predicted."""
+    counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}  # a row a class
+    n = sum(counts.values())
+    weight = F.element_at(F.create_map(*(x for k, v in counts.items() for x in (F.lit(k), F.lit(n / (len(counts) * v))))), F.col(target))
+    steps = [
+        VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="error"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True),
+        LogisticRegression(featuresCol="_z", labelCol=target, weightCol="_w", regParam=strength / n, standardization=False, probabilityCol="probability", rawPredictionCol="_raw", predictionCol="predicted"),
+    ]
+    return Pipeline(stages=steps).fit(df.withColumn("_w", weight))

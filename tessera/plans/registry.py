@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audits, candidates, evaluation, groups, manifest, more, regions, relations, reviews, rows, scalars, screening, tables
+from tessera.plans import audits, candidates, evaluation, filesets, groups, manifest, more, regions, relations, reviews, rows, scalars, screening, tables
 
-MODULES = (rows, relations, groups, evaluation, more, manifest, reviews, candidates, scalars, tables, audits, screening, regions)
+MODULES = (rows, relations, groups, evaluation, more, manifest, reviews, candidates, scalars, tables, audits, screening, regions, filesets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
