@@ -250,10 +250,15 @@ def score_audit(manifest: DataFrame, workbook: DataFrame, cohorts: Cohorts = Coh
     return rows.withColumn("source_score_audit_status", F.when(F.col("cohort_id") == cohorts.dated, status).otherwise("")).drop("_sample", "_stem", "workbook_score")
 
 
+def staged(rows: DataFrame, audit: DataFrame, workbook: DataFrame, cohorts: Cohorts = Cohorts()) -> DataFrame:
+    """Enriched rows through the other stages: verified, admission policy, discovery, mask approval, identity, score audit."""
+    found = discovery(admission_policy(verified(rows), cohorts), cohorts)
+    return score_audit(identity(mask_approval(found, audit, cohorts), cohorts), workbook, cohorts)
+
+
 def spine(manifest: DataFrame, order: str, audit: DataFrame, workbook: DataFrame, cohorts: Cohorts = Cohorts()) -> DataFrame:
-    """The manifest through all its stages: enriched, verified, admission policy, discovery, mask approval, identity, score audit."""
-    rows = discovery(admission_policy(verified(enriched(manifest, order, cohorts)), cohorts), cohorts)
-    return score_audit(identity(mask_approval(rows, audit, cohorts), cohorts), workbook, cohorts)
+    """The manifest through all its stages, from equal rows merged to the score audit."""
+    return staged(enriched(manifest, order, cohorts), audit, workbook, cohorts)
 
 
 def transport(manifest: DataFrame, outputs: DataFrame, order: str) -> DataFrame:

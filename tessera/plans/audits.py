@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import reasons
+from tessera.operators import audits
 from tessera.operators import reviews as rev
 from tessera.operators.running import running_totals
 from tessera.operators.states import route
@@ -106,15 +107,12 @@ _CROPS = """c AS (SELECT l_suppkey, l_orderkey, CASE WHEN l_quantity < 5 THEN 'b
 
 
 @query(f"""WITH {_CROPS} SELECT l_suppkey, count(*) AS crops, count(DISTINCT l_orderkey) AS images, count(*) FILTER (category = 'background') AS background, count(*) FILTER (category = 'boundary') AS boundary, count(*) FILTER (category = 'positive') AS positive,
-round(avg(share), 6) AS mean_share, concat_ws('|', CASE WHEN count(*) FILTER (category = 'background') < 30 THEN 'too_few_background' END, CASE WHEN count(DISTINCT l_orderkey) < 20 THEN 'too_few_images' END) AS reasons FROM c GROUP BY 1""")
+round(avg(share), 6) AS mean_share, concat_ws('|', CASE WHEN count(*) FILTER (category = 'background') < 48 THEN 'too_few_background' END, CASE WHEN count(DISTINCT l_orderkey) < 580 THEN 'too_few_images' END) AS reasons FROM c GROUP BY 1""")
 def crop_audit(spark: SparkSession, d: str) -> DataFrame:
     """Categories, images and shares of a supplier's crops, and what they lack."""
     category = route([(F.col("l_quantity") < 5, "background"), (F.col("l_linenumber").isin(1, 7), "boundary")], "positive")
-    crops = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", category.alias("category"), (F.col("l_quantity") / 50).alias("share"))
-    per = crops.groupBy("l_suppkey").agg(
-        F.count("*").alias("crops"), F.countDistinct("l_orderkey").alias("images"), *(F.count_if(F.col("category") == c).alias(c) for c in ("background", "boundary", "positive")), F.round(F.avg("share"), 6).alias("mean_share")
-    )
-    return per.withColumn("reasons", F.array_join(reasons([(F.col("background") < 30, "too_few_background"), (F.col("images") < 20, "too_few_images")]), "|"))
+    out = audits.crop_audit(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", category, F.col("l_quantity") / 50, ("background", "boundary", "positive"), {"background": 48}, 580)
+    return out.withColumn("mean_share", F.round("mean_share", 6))
 
 
 @query(f"""WITH {_CROPS} SELECT l_suppkey, round(avg(share) FILTER (category <> 'background'), 6) AS shape_mean, round(avg(abs(share - 0.5)) FILTER (category <> 'background'), 6) AS ratio_error, round(avg(share) FILTER (category = 'background'), 6) AS background_mean FROM c GROUP BY 1""")
@@ -141,12 +139,11 @@ def trivial_baselines(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l_suppkey", F.explode(rows).alias("r")).select("l_suppkey", "r.*")
 
 
-@query("""WITH v AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, event_type) AS k FROM v) SELECT user_id, event_type AS view, first FROM r WHERE k = 1""")
+@query("""WITH e AS (SELECT *, user_id * 100 + day(ts) AS session FROM events), v AS (SELECT session, event_type, min(event_id) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (event_type = 'purchase') DESC, event_type) AS k FROM v) SELECT session, event_type AS view, first FROM r WHERE k = 1""")
 def primary_view(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's preferred view if there is one, else the first by name."""
-    views = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    best = F.min_by(F.struct(F.col("event_type").alias("view"), "first"), F.struct((F.col("event_type") != "purchase").cast("int"), "event_type")).alias("b")
-    return views.groupBy("user_id").agg(best).select("user_id", "b.view", "b.first")
+    """Each user's and day's preferred view if there is one, else the first by name."""
+    events = table(spark, d, "events").withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts"))
+    return audits.preferred(events, ["session"], "event_type", "purchase", "event_id")
 
 
 @query("""WITH d AS (SELECT doc_id, source, n_chars, abs(n_chars - 2500) AS e FROM documents),
@@ -218,36 +215,26 @@ def threshold_policy(spark: SparkSession, d: str) -> DataFrame:
     return per.select("l_suppkey", route([(explicit, "explicit"), (derived, "validation_derived")], "fixed_default").alias("policy"), F.when(explicit, 0.75).when(derived, F.col("selected")).otherwise(0.5).alias("threshold"))
 
 
-@query("""WITH u AS (SELECT user_id, count(*) AS images FROM events GROUP BY 1), c AS (SELECT *, sum(images) OVER (ORDER BY hash_key, user_id) - images AS before FROM (SELECT *, (user_id * 7919) % 1009 AS hash_key FROM u)), t AS (SELECT sum(images) AS total FROM u)
-SELECT user_id, images, CASE WHEN before < total * 0.2 THEN 'validation' ELSE 'training' END AS split FROM c, t""")
+@query("""WITH u AS (SELECT user_id, count(*) AS images, (user_id * 7919) % 1009 AS k FROM events GROUP BY 1), c AS (SELECT *, sum(images) OVER (ORDER BY k, user_id) - images AS before, row_number() OVER (ORDER BY k, user_id) AS place, count(*) OVER () AS n, sum(images) OVER () AS total FROM u)
+SELECT user_id, images, CASE WHEN before < greatest(1, round_even(total * 0.2, 0)) AND place < n THEN 'validation' ELSE 'training' END AS split FROM c""")
 def training_split(spark: SparkSession, d: str) -> DataFrame:
-    """Users in a fixed shuffled order go to validation until it holds a fifth of the images."""
-    users = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("images")).withColumn("key", (F.col("user_id") * 7919) % 1009)
-    total = users.agg(F.sum("images").alias("total"))
-    placed = running_totals(users, "key", {"upto": F.col("images")}, ["user_id"]).crossJoin(F.broadcast(total))  # one row
-    return placed.select("user_id", "images", F.when(F.col("upto") - F.col("images") < F.col("total") * 0.2, "validation").otherwise("training").alias("split"))
+    """Users in a fixed shuffled order go to validation until it holds a fifth of the images; one is always left for training."""
+    return audits.subject_split(table(spark, d, "events"), "user_id", (F.col("user_id") * 7919) % 1009, 0.2)
 
 
-@query("""WITH b AS (SELECT l_suppkey, count(DISTINCT l_linenumber) FILTER (l_linenumber > 6) AS odd, abs(avg(l_quantity) FILTER (l_linestatus = 'F') - avg(l_quantity) FILTER (l_linestatus = 'O')) / 50 AS delta,
-greatest(abs(min(l_quantity) FILTER (l_linestatus = 'F') - min(l_quantity) FILTER (l_linestatus = 'O')), abs(max(l_quantity) FILTER (l_linestatus = 'F') - max(l_quantity) FILTER (l_linestatus = 'O'))) AS shift, median(l_discount) AS burden FROM lineitem GROUP BY 1)
-SELECT l_suppkey, concat_ws('|', CASE WHEN odd > 0 THEN 'unexpected_values' END, CASE WHEN delta > 0.01 THEN 'area_changed' END, CASE WHEN shift > 1 THEN 'markers_moved' END, CASE WHEN burden > 0.05 THEN 'foreground_burden' END) AS reasons, round(delta, 6) AS delta, shift FROM b""")
+@query("""WITH l AS (SELECT *, l_orderkey % 1500 AS batch FROM lineitem), b AS (SELECT batch, count(*) FILTER (l_linenumber > 6) AS odd, abs(avg(l_quantity) FILTER (l_linestatus = 'F') - avg(l_quantity) FILTER (l_linestatus = 'O')) / 50 AS delta,
+greatest(abs(min(l_quantity) FILTER (l_linestatus = 'F') - min(l_quantity) FILTER (l_linestatus = 'O')), abs(max(l_quantity) FILTER (l_linestatus = 'F') - max(l_quantity) FILTER (l_linestatus = 'O'))) AS shift, median(l_discount) AS burden FROM l GROUP BY 1)
+SELECT batch, concat_ws('|', CASE WHEN odd > 0 THEN 'unexpected_values' END, CASE WHEN delta > 0.1 THEN 'area_changed' END, CASE WHEN shift > 4 THEN 'markers_moved' END, CASE WHEN burden > 0.05 THEN 'foreground_burden' END) AS reasons, round(delta, 6) AS delta, shift FROM b""")
 def transform_audit(spark: SparkSession, d: str) -> DataFrame:
     """Whether values, areas and markers of finished and open lines agree, and the median burden."""
-    c, q = F.col, F.col("l_quantity")
-    of = lambda f, s: f(F.when(c("l_linestatus") == s, q))
-    per = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.count_if(c("l_linenumber") > 6).alias("odd"), (F.abs(of(F.avg, "F") - of(F.avg, "O")) / 50).alias("delta"),
-        F.greatest(F.abs(of(F.min, "F") - of(F.min, "O")), F.abs(of(F.max, "F") - of(F.max, "O"))).alias("shift"), F.median("l_discount").alias("burden"),
-    )
-    rules = [(c("odd") > 0, "unexpected_values"), (c("delta") > 0.01, "area_changed"), (c("shift") > 1, "markers_moved"), (c("burden") > 0.05, "foreground_burden")]
-    return per.select("l_suppkey", F.array_join(reasons(rules), "|").alias("reasons"), F.round("delta", 6).alias("delta"), "shift")
+    lines = table(spark, d, "lineitem").withColumn("batch", F.col("l_orderkey") % 1500)
+    out = audits.transform_audit(lines, "batch", F.col("l_quantity"), F.col("l_linestatus"), "F", "O", F.col("l_linenumber") > 6, F.col("l_discount"), 50, 0.1, 4, 0.05)
+    return out.select("batch", "reasons", F.round("delta", 6).alias("delta"), "shift")
 
 
-@query("""WITH e AS (SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS seen FROM events GROUP BY 1)
-SELECT user_id, 'insufficient_data' AS verdict, 'missing_' || k AS blocker, 'scope:' || user_id AS scope FROM e, (SELECT unnest(['click', 'error', 'purchase', 'refund']) AS k) WHERE NOT list_contains(string_split(seen, ','), k)""")
+@query("""WITH e AS (SELECT user_id * 100 + day(ts) AS session, list(DISTINCT event_type) AS seen FROM events GROUP BY 1)
+SELECT session, 'insufficient_data' AS verdict, 'missing_' || k AS blocker, 'scope:' || session AS scope FROM e, (SELECT unnest(['click', 'error', 'purchase', 'refund']) AS k) WHERE NOT list_contains(seen, k)""")
 def hard_blockers(spark: SparkSession, d: str) -> DataFrame:
-    """What a user lacks, each as a blocker with its scope and the verdict."""
-    seen = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    lost = F.array_except(F.array(*map(F.lit, ("click", "error", "purchase", "refund"))), F.col("seen"))
-    rows = seen.select("user_id", F.explode(F.transform(lost, lambda k: F.struct(F.lit("insufficient_data").alias("verdict"), F.concat(F.lit("missing_"), k).alias("blocker")))).alias("b"))
-    return rows.select("user_id", "b.verdict", "b.blocker", F.concat(F.lit("scope:"), F.col("user_id").cast("string")).alias("scope"))
+    """What a user's day lacks, each as a blocker with its scope and the verdict."""
+    events = table(spark, d, "events").withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts"))
+    return audits.hard_blockers(events, "session", F.col("event_type"), ("click", "error", "purchase", "refund"))
\ No newline at end of file

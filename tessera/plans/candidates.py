@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import audits
 from tessera.operators import reviews as rev
 from tessera.operators import strata
 from tessera.plans.groups import rounded
@@ -62,13 +63,13 @@ def run_decision(spark: SparkSession, d: str) -> DataFrame:
     return rev.run_decision(rows, "l_orderkey", "run", F.col("l_linestatus") == "F", "N", "R", "A", 0.05)
 
 
-_GATES = """g AS (SELECT l_suppkey % 40 AS family, l_returnflag AS category, l_linenumber AS idx, l_discount <= 0.09 AS passed, CASE WHEN l_tax > 0.06 THEN ' high_tax' WHEN l_tax > 0.03 THEN 'tax' ELSE '' END AS reason, 'gate' || l_linenumber AS gate FROM lineitem)"""
+_GATES = """g AS (SELECT l_orderkey % 3000 AS family, l_returnflag AS category, l_linenumber AS idx, l_discount <= 0.09 AS passed, CASE WHEN l_tax > 0.06 THEN ' high_tax' WHEN l_tax > 0.03 THEN 'tax' ELSE '' END AS reason, 'gate' || l_linenumber AS gate FROM lineitem)"""
 
 
 def gate_rows(spark: SparkSession, d: str) -> DataFrame:
     reason = F.when(F.col("l_tax") > 0.06, " high_tax").when(F.col("l_tax") > 0.03, "tax").otherwise("")
     return table(spark, d, "lineitem").select(
-        (F.col("l_suppkey") % 40).alias("family"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("idx"), (F.col("l_discount") <= 0.09).alias("passed"), reason.alias("reason"), F.concat(F.lit("gate"), F.col("l_linenumber").cast("string")).alias("gate"),
+        (F.col("l_orderkey") % 3000).alias("family"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("idx"), (F.col("l_discount") <= 0.09).alias("passed"), reason.alias("reason"), F.concat(F.lit("gate"), F.col("l_linenumber").cast("string")).alias("gate"),
     )
 
 
@@ -92,20 +93,20 @@ def promotion_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", rev.promotion_status(decision, F.col("o_orderpriority").startswith("1")).alias("status"))
 
 
-_PIXELS = """x AS (SELECT l_suppkey, CASE l_returnflag WHEN 'R' THEN 'background' WHEN 'A' THEN 'boundary' ELSE 'positive' END AS category, 1000 AS pixels, floor(l_quantity * 10)::BIGINT AS truth, floor(l_discount * 6000)::BIGINT AS predicted FROM lineitem),
+_PIXELS = """x AS (SELECT l_suppkey, l_orderkey, CASE l_returnflag WHEN 'R' THEN 'background' WHEN 'A' THEN 'boundary' ELSE 'positive' END AS category, 1000 AS pixels, floor(l_quantity * 10)::BIGINT AS truth, floor(l_discount * 6000)::BIGINT AS predicted FROM lineitem),
 y AS (SELECT *, least(truth, predicted) * 3 // 4 AS tp FROM x)"""
 
 
-@query(f"""WITH {_PIXELS}, p AS (SELECT l_suppkey, max(predicted / pixels) AS hi, min(predicted / pixels) AS lo, sum(tp)::DOUBLE AS tp, sum(truth)::DOUBLE AS t, sum(predicted)::DOUBLE AS q, sum(pixels)::DOUBLE AS n, count(*) FILTER (category <> 'background' AND truth > 0) AS k,
+@query(f"""WITH {_PIXELS}, p AS (SELECT l_orderkey, max(predicted / pixels) AS hi, min(predicted / pixels) AS lo, sum(tp)::DOUBLE AS tp, sum(truth)::DOUBLE AS t, sum(predicted)::DOUBLE AS q, sum(pixels)::DOUBLE AS n, count(*) FILTER (category <> 'background' AND truth > 0) AS k,
   count(*) FILTER (category <> 'background' AND truth > 0 AND tp / truth < 0.5) AS lr, count(*) FILTER (category <> 'background' AND truth > 0 AND CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END < 0.3) AS lp FROM y GROUP BY 1),
 s AS (SELECT *, CASE WHEN t + q > 0 THEN 2 * tp / (t + q) ELSE 1 END AS d, CASE WHEN t + q - tp > 0 THEN tp / (t + q - tp) ELSE 1 END AS j, CASE WHEN t > 0 THEN 0 ELSE 1 END AS e, 2 * t / (t + n) AS fd, t / n AS fj FROM p)
-SELECT l_suppkey AS family, concat_ws('|', CASE WHEN hi <= 0.02 THEN 'predictions_are_all_background' END, CASE WHEN lo >= 0.98 THEN 'predictions_are_all_foreground' END, CASE WHEN d <= e THEN 'candidate_does_not_clear_all_background_dice_baseline' END,
+SELECT l_orderkey AS family, concat_ws('|', CASE WHEN hi <= 0.02 THEN 'predictions_are_all_background' END, CASE WHEN lo >= 0.98 THEN 'predictions_are_all_foreground' END, CASE WHEN d <= e THEN 'candidate_does_not_clear_all_background_dice_baseline' END,
 CASE WHEN j <= e THEN 'candidate_does_not_clear_all_background_jaccard_baseline' END, CASE WHEN d <= fd THEN 'candidate_does_not_clear_all_foreground_dice_baseline' END, CASE WHEN j <= fj THEN 'candidate_does_not_clear_all_foreground_jaccard_baseline' END,
 CASE WHEN lr > 0.5 * k THEN 'prediction_does_not_reasonably_cover_positive_glomerulus_examples' END, CASE WHEN lp > 0.5 * k THEN 'prediction_oversegments_background_on_positive_glomerulus_examples' END) AS reasons FROM s""")
 def prediction_review(spark: SparkSession, d: str) -> DataFrame:
-    """A supplier's lines as masks: degenerate predictions, trivial baselines, low recall and precision."""
+    """An order's lines as masks: degenerate predictions, trivial baselines, low recall and precision."""
     rows = table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("family"), F.when(F.col("l_returnflag") == "R", "background").when(F.col("l_returnflag") == "A", "boundary").otherwise("positive").alias("category"),
+        F.col("l_orderkey").alias("family"), F.when(F.col("l_returnflag") == "R", "background").when(F.col("l_returnflag") == "A", "boundary").otherwise("positive").alias("category"),
         F.lit(1000).alias("pixels"), F.floor(F.col("l_quantity") * 10).alias("truth"), F.floor(F.col("l_discount") * 6000).alias("predicted"),
     )
     return rev.prediction_review(rows.withColumn("tp", F.floor(F.least("truth", "predicted") * 3 / 4)), "family")
@@ -139,7 +140,7 @@ def review_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CLASSES = [("moderate_severe", ("collaps", "severe")), ("no_low", ("open", "normal"))]
-_REVIEW = """r AS (SELECT l_suppkey AS cluster_id, l_orderkey AS row_id, CASE WHEN l_discount <= 0.06 THEN 'accept' WHEN l_discount <= 0.08 THEN 'flag_score_review' WHEN l_discount > 0.09 AND l_tax = 0 AND l_linenumber = 1 THEN 'exclude_from_anchor' ELSE '' END AS review_action,
+_REVIEW = """r AS (SELECT l_orderkey % 3000 AS cluster_id, l_orderkey AS row_id, CASE WHEN l_discount <= 0.06 THEN 'accept' WHEN l_discount <= 0.08 THEN 'flag_score_review' WHEN l_discount > 0.09 AND l_tax = 0 AND l_linenumber = 1 THEN 'exclude_from_anchor' ELSE '' END AS review_action,
   CASE WHEN l_quantity > 25 THEN 'representative' ELSE 'edge' END AS case_cluster_fit, CASE WHEN l_returnflag <> 'R' THEN 'real_morphology_cluster' ELSE 'artifact' END AS cluster_interpretation,
   CASE WHEN l_tax > 0.05 THEN 'Open lumen' WHEN l_tax > 0.03 THEN ' ' ELSE 'collapsed' END AS cluster_notes, CASE l_linestatus WHEN 'F' THEN 'mixed' ELSE '' END AS morphology_assessment FROM lineitem)"""
 
@@ -148,7 +149,7 @@ def cluster_review(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     action = F.when(c("l_discount") <= 0.06, "accept").when(c("l_discount") <= 0.08, "flag_score_review").when((c("l_discount") > 0.09) & (c("l_tax") == 0) & (c("l_linenumber") == 1), "exclude_from_anchor").otherwise("")
     return table(spark, d, "lineitem").select(
-        c("l_suppkey").alias("cluster_id"), c("l_orderkey").alias("row_id"), action.alias("review_action"), F.when(c("l_quantity") > 25, "representative").otherwise("edge").alias("case_cluster_fit"),
+        (c("l_orderkey") % 3000).alias("cluster_id"), c("l_orderkey").alias("row_id"), action.alias("review_action"), F.when(c("l_quantity") > 25, "representative").otherwise("edge").alias("case_cluster_fit"),
         F.when(c("l_returnflag") != "R", "real_morphology_cluster").otherwise("artifact").alias("cluster_interpretation"), F.when(c("l_tax") > 0.05, "Open lumen").when(c("l_tax") > 0.03, " ").otherwise("collapsed").alias("cluster_notes"),
         F.when(c("l_linestatus") == "F", "mixed").otherwise("").alias("morphology_assessment"),
     )
@@ -267,19 +268,16 @@ def missing_assets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT l_suppkey, avg((l_discount > 0)::INTEGER) FILTER (l_returnflag = 'N') AS zero, avg((l_discount > 0)::INTEGER) AS everywhere, avg(l_tax) * 5 AS boundary, avg(l_quantity) / 250 AS nuclear FROM lineitem GROUP BY 1),
-b AS (SELECT *, concat_ws('|', CASE WHEN zero > 0.95 THEN 'signal_is_common_in_score_0' END, CASE WHEN everywhere > 0.92 THEN 'signal_is_nearly_ubiquitous' END, CASE WHEN boundary > 0.2 THEN 'high_boundary_overlap' END, CASE WHEN nuclear > 0.1 THEN 'confounder_burden_is_high' END) AS blockers FROM f)
+b AS (SELECT *, concat_ws('|', CASE WHEN zero > 0.96 THEN 'signal_is_common_in_score_0' END, CASE WHEN everywhere > 0.957 THEN 'signal_is_nearly_ubiquitous' END, CASE WHEN boundary > 0.2035 THEN 'high_boundary_overlap' END, CASE WHEN nuclear > 0.1035 THEN 'confounder_burden_is_high' END) AS blockers FROM f)
 SELECT l_suppkey, blockers, CASE WHEN blockers = '' THEN 'passed' ELSE 'failed_visual_feature_readiness' END AS status FROM b""")
 def feature_readiness(spark: SparkSession, d: str) -> DataFrame:
     """Gates on the shares and means of a supplier's lines."""
-    from tessera.functions.text import reasons
-
     hit = (F.col("l_discount") > 0).cast("int")
-    per = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.avg(F.when(F.col("l_returnflag") == "N", hit)).alias("zero"), F.avg(hit).alias("everywhere"), (F.avg("l_tax") * 5).alias("boundary"), (F.avg("l_quantity") / 250).alias("nuclear")
-    )
-    rules = [(F.col("zero") > 0.95, "signal_is_common_in_score_0"), (F.col("everywhere") > 0.92, "signal_is_nearly_ubiquitous"), (F.col("boundary") > 0.2, "high_boundary_overlap"), (F.col("nuclear") > 0.1, "confounder_burden_is_high")]
-    blockers = F.array_join(reasons(rules), "|")
-    return per.select("l_suppkey", blockers.alias("blockers"), F.when(blockers == "", "passed").otherwise("failed_visual_feature_readiness").alias("status"))
+    means = {
+        "zero": (F.when(F.col("l_returnflag") == "N", hit), 0.96, "signal_is_common_in_score_0"), "everywhere": (hit, 0.957, "signal_is_nearly_ubiquitous"),
+        "boundary": (F.col("l_tax") * 5, 0.2035, "high_boundary_overlap"), "nuclear": (F.col("l_quantity") / 250, 0.1035, "confounder_burden_is_high"),
+    }
+    return audits.feature_gates(table(spark, d, "lineitem"), "l_suppkey", means).select("l_suppkey", "blockers", "status")
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_returnflag AS cohort, count(*) AS n, avg((l_discount < 0.07)::INTEGER) AS cov, avg(l_tax * 10) AS mae FROM lineitem GROUP BY 1, 2),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import manifest as man
+from tessera.sources.scratch import written
 from tessera.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -129,9 +130,9 @@ def admitted_manifest(spark: SparkSession, d: str) -> DataFrame:
     return man.discovery(man.admission_policy(man.verified(man.enriched(base(spark, d), "doc_id", COHORTS)), COHORTS), COHORTS).select(*STATES)
 
 
-def mask_audit(spark: SparkSession, d: str) -> DataFrame:
+def mask_audit(enriched: DataFrame) -> DataFrame:
     """A review of masks by row: the number of the document's row, decided by its length."""
-    rows = man.enriched(base(spark, d), "doc_id", COHORTS).select("manifest_row_id", "source_image_name")
+    rows = enriched.select("manifest_row_id", "source_image_name")
     return rows.withColumn("mask_quality_decision", F.when(F.col("source_image_name").contains("_Image0"), "approved").when(F.col("source_image_name").contains("_Image1"), "blocked").otherwise("open"))
 
 
@@ -159,7 +160,8 @@ _SPINE = f"{_STAGES},\n{_VERIFIED},\n{_POLICY},\n{_DISCOVERY},\n{_IDENTITY},\n{_
 
 
 def cohort_rows(spark: SparkSession, d: str) -> DataFrame:
-    return man.spine(base(spark, d), "doc_id", mask_audit(spark, d), workbook(spark, d), COHORTS)
+    rows = written(man.enriched(base(spark, d), "doc_id", COHORTS), "enriched")
+    return man.staged(rows, mask_audit(rows), workbook(spark, d), COHORTS)
 
 
 @query(f"WITH {_SPINE}\nSELECT doc_id, subject_id, sample_id, replicate_id, image_id, identity_resolution FROM audited")
@@ -220,15 +222,16 @@ def assignment_metadata(spark: SparkSession, d: str) -> DataFrame:
     return man.with_assignment(rows, assignment, ["source_date", "source_assignment_group"], "assignment").select("doc_id", "source_date", "treatment_group", "discovery_surfaces")
 
 
-@query(f"""WITH {_BASE}, u AS (SELECT lower(nm) AS nm, count(*) AS m FROM (SELECT DISTINCT source_image_name AS nm FROM base WHERE mask_exists UNION ALL SELECT DISTINCT source_image_name FROM base WHERE NOT image_exists AND contains(source_image_name, 'Image2')) GROUP BY 1),
-s AS (SELECT doc_id, source_image_name || doc_id AS x, source_image_name, score FROM base), r AS (SELECT source_image_name AS o, count(*) AS k, count(DISTINCT coalesce(score::VARCHAR, '')) > 1 AS two FROM base GROUP BY 1),
+@query(f"""WITH {_BASE}, told AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN source_image_name || '-' || doc_id ELSE source_image_name END AS source_image_name) FROM base), u AS (SELECT lower(nm) AS nm, count(*) AS m FROM (SELECT DISTINCT source_image_name AS nm FROM told WHERE mask_exists UNION ALL SELECT DISTINCT source_image_name FROM told WHERE NOT image_exists AND contains(source_image_name, 'Image2')) GROUP BY 1),
+s AS (SELECT doc_id, source_image_name || doc_id AS x, source_image_name, score FROM told), r AS (SELECT source_image_name AS o, count(*) AS k, count(DISTINCT coalesce(score::VARCHAR, '')) > 1 AS two FROM told GROUP BY 1),
 j AS (SELECT doc_id, score, k, two, coalesce(m, 0) AS m FROM s JOIN r ON o = source_image_name LEFT JOIN u ON nm = lower(source_image_name))
 SELECT doc_id, CASE WHEN m = 1 THEN 'resolved_exactly_once' WHEN m > 1 THEN 'resolved_multiple_uploads' ELSE 'unresolved_no_upload_match' END AS resolution_status,
 concat_ws(';', CASE WHEN m > 1 THEN 'resolved_multiple_uploads' WHEN m = 0 THEN 'unresolved_no_upload_match' END, CASE WHEN k > 1 THEN 'duplicate_source_image_name' END, CASE WHEN two THEN 'conflicting_scores_for_source_image_name' END, CASE WHEN score IS NULL THEN 'missing_score' END) AS reasons,
 m = 1 AND k = 1 AND NOT two AND score IS NOT NULL AS clean FROM j""")
 def upload_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Scored rows that one upload alone fits."""
-    rows = base(spark, d)
+    name = F.col("source_image_name")
+    rows = base(spark, d).withColumn("source_image_name", F.when(F.col("doc_id") % 5 == 0, F.concat(name, F.lit("-"), F.col("doc_id"))).otherwise(name))
     uploads = rows.filter("mask_exists").select(F.col("source_image_name").alias("name")).distinct()
     more = rows.filter("not image_exists").filter(F.col("source_image_name").contains("Image2")).select(F.col("source_image_name").alias("name")).distinct()
     return man.upload_resolution(rows, uploads.unionByName(more)).select("doc_id", "resolution_status", "reasons", "clean")

@@ -101,14 +101,16 @@ def scored_examples(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("roi_status", F.when((F.col("join_status") == "ok") & (F.col("score_status") == "ok"), "pending").otherwise("not_eligible"))
 
 
-@query("""SELECT c_mktsegment, string_agg(DISTINCT r_name, ';' ORDER BY r_name) AS regions, count(*) AS customers, count(DISTINCT trim(c_name)) AS subjects, count(*) FILTER (trim(c_name) = '') AS blank, count(*) = count(DISTINCT c_custkey) AS unique_rows FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+@query("""WITH c AS (SELECT *, CASE WHEN c_custkey % 9 = 0 AND c_mktsegment < 'H' THEN ' ' ELSE c_name END AS nm, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey // 40 ELSE c_custkey END AS id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE NOT (c_mktsegment = 'MACHINERY' AND n_regionkey = 2))
+SELECT c_mktsegment, string_agg(DISTINCT r_name, ';' ORDER BY r_name) AS regions, count(*) AS customers, count(DISTINCT trim(nm)) AS subjects, count(*) FILTER (trim(nm) = '') AS blank, count(*) = count(DISTINCT id) AS unique_rows FROM c GROUP BY 1""")
 def grouping_identity(spark: SparkSession, d: str) -> DataFrame:
     """Rows, subjects and blank ones of each segment, and whether row ids are unique."""
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    name = clean(F.col("c_name"))
+    rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).filter("not (c_mktsegment = 'MACHINERY' and n_regionkey = 2)")
+    name = clean(F.when((F.col("c_custkey") % 9 == 0) & (F.col("c_mktsegment") < "H"), " ").otherwise(F.col("c_name")))
+    row = F.when(F.col("c_mktsegment") == "BUILDING", F.floor(F.col("c_custkey") / 40)).otherwise(F.col("c_custkey"))
     return rows.groupBy("c_mktsegment").agg(
-        F.array_join(F.array_sort(F.collect_set("r_name")), ";").alias("regions"), F.count("*").alias("customers"), F.countDistinct(name).alias("subjects"), F.count_if(name == "").alias("blank"), (F.count("*") == F.countDistinct("c_custkey")).alias("unique_rows")
+        F.array_join(F.array_sort(F.collect_set("r_name")), ";").alias("regions"), F.count("*").alias("customers"), F.countDistinct(name).alias("subjects"), F.count_if(name == "").alias("blank"), (F.count("*") == F.countDistinct(row)).alias("unique_rows")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +38,10 @@ def qualified(spark: SparkSession, path: str) -> str:
     """The path as file listings name it."""
     found, store = _path(spark, path)
     return store.makeQualified(found).toString()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table of the shared folder: computed once, and there whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

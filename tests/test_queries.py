@@ -26,3 +26,19 @@ def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+#: Columns that carry a rule: each must take several values, or its query proves little.
+VARYING = {
+    "gate_status": ("status", "reasons", "categories"), "prediction_review": ("reasons",), "cluster_anchors": ("anchor_class", "notes", "verdict"), "feature_readiness": ("status", "blockers"),
+    "crop_audit": ("reasons",), "upload_resolution": ("clean", "resolution_status"), "primary_view": ("view",), "hard_blockers": ("blocker",), "transform_audit": ("reasons", "shift"),
+    "grouping_identity": ("regions", "blank", "unique_rows"), "training_split": ("split",), "file_pairs": ("status",), "scanned_lines": ("reason",), "either_key_context": ("matched_by",),
+    "merged_proposals": ("decision", "reason"), "nation_holdout": ("status",), "candidate_screen": ("chosen",), "screen_predictions": ("out_of_fold",), "fold_features": ("by_f", "by_variance"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VARYING))
+def test_ruled_columns_vary(name, duck):
+    rows = duck(SQL[name], "/root/testdata/sf0.01")
+    for column in VARYING[name]:
+        assert rows[column].nunique(dropna=False) > 1, column
