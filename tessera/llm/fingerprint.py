@@ -31,17 +31,15 @@ def _long(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10).cast("long")
 
 
-def _quarters(digest: Column) -> Column:
-    """The first 60 hex digits as four numbers."""
-    return F.array(*(_long(F.substring(digest, 1 + 15 * k, 15)) for k in range(4)))
+def _hashes(text: Column) -> Column:
+    """struct(p: SHA-256 of each paragraph, s: SHA-256 of each sentence); empty parts don't count."""
+    digests = lambda pattern: F.transform(F.filter(F.split(text, pattern), lambda x: x != ""), lambda x: F.sha2(x.cast("binary"), 256))
+    return F.struct(digests("\n").alias("p"), digests(SENTENCE_END).alias("s"))
 
 
-def _hashes(text: Column) -> Column:
-    """struct(p: SHA-256 of each paragraph, s: four times 60 bits of the SHA-256 of each sentence); empty parts don't count."""
-    return F.struct(
-        F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.sha2(p.cast("binary"), 256)).alias("p"),
-        F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: s != ""), lambda s: _quarters(F.sha2(s.cast("binary"), 256))).alias("s"),
-    )
+def _quarter(digests: Column, k: int) -> Column:
+    """Digits 15 * k to 15 * k + 14 of each digest as a number."""
+    return F.transform(digests, lambda x: _long(F.substring(x, 1 + 15 * k, 15)))
 
 
 def _sum(of: Column, value) -> Column:
@@ -51,12 +49,13 @@ def _sum(of: Column, value) -> Column:
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """`df` plus array<bigint> `name`, the fingerprint of column `text` (null: as empty, all zero)."""
     hashed = df.withColumn("_h", _hashes(F.coalesce(F.col(text), F.lit(""))))
-    lanes = [F.size("_h.s").cast("long")]
-    lanes += [_sum(F.col("_h.p"), lambda h, k=k: _long(F.substring(h, 1 + 15 * k, 15))) for k in range(4)]
-    counters = F.transform(
-        F.sequence(F.lit(0), F.lit(79)), lambda j: _sum(F.col("_h.s"), lambda h: F.call_function("shiftright", h[F.floor(j / 20).cast("int")], j % 20).bitwiseAND(F.lit(FIELDS)))
-    )
-    return hashed.withColumn(name, F.concat(F.array(*lanes), counters)).drop("_h")
+    hashed = hashed.withColumns({f"_{part}{k}": _quarter(F.col(f"_h.{part}"), k) for part in "ps" for k in range(4)})
+    lanes = [F.size("_s0").cast("long")] + [_sum(F.col(f"_p{k}"), lambda x: x) for k in range(4)]
+
+    def counters(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: _sum(F.col(f"_s{k}"), lambda x: F.call_function("shiftright", x, j).bitwiseAND(F.lit(FIELDS))))
+
+    return hashed.withColumn(name, F.concat(F.array(*lanes), *(counters(k) for k in range(4)))).drop("_h", *(f"_{part}{k}" for part in "ps" for k in range(4)))
 
 
 def inserted(whole: Column, part: Column) -> Column:
