@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bloom import Bloom
 from tessera.llm.common import Saved, private
 
-#: Shorter lines only go if an equal one stands earlier: in them one edit is not small.
+#: By default, shorter lines only go if an equal one stands earlier: in them one edit is not small. 0 puts all lines under the edit bound.
 LEAST_CHARS = 20
 PIECE = 64
 _SPACE = " \t\r"
@@ -51,11 +51,11 @@ def _halves(line: Column) -> list[Column]:
     return out
 
 
-def _keys(lines: DataFrame) -> Saved:
-    """(half, key): hashes of whole lines (half false) that occur twice or more, and of halves that different lines have."""
+def _keys(lines: DataFrame, least_chars: int) -> Saved:
+    """(half, key): hashes of whole lines (half false) that occur twice or more, and of halves that different lines of `least_chars` or more have."""
     whole = F.struct(F.lit(False).alias("half"), F.col("h1").alias("key"))
     halves = [F.struct(F.lit(True).alias("half"), key.alias("key")) for key in _halves(F.col("line"))]
-    keys = F.when(F.length("line") >= LEAST_CHARS, F.array(whole, *halves)).otherwise(F.array(whole))
+    keys = F.when(F.length("line") >= least_chars, F.array(whole, *halves)).otherwise(F.array(whole))
     keyed = lines.select("h2", F.explode(keys).alias("k")).select("k.half", "k.key", "h2")
     found = keyed.groupBy("half", "key").agg(F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high"))
     return Saved(found.filter(F.when(F.col("half"), F.col("low") != F.col("high")).otherwise(F.col("n") > 1)).select("half", "key"), "line-keys")
@@ -114,15 +114,15 @@ def earlier_neighbours(lines: DataFrame) -> Saved:
     return out
 
 
-def dropped_lines(docs: DataFrame) -> Saved:
+def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> Saved:
     """(doc, row, gone): for each document that loses lines, the places (from 0) of the lost ones."""
     lines, place = _lines(docs), F.struct("doc", "row", "idx")
-    keys = _keys(lines)
+    keys = _keys(lines, least_chars)
     repeated, shared = keys.df.filter("not half").select("key"), Bloom(keys.df.filter("half").select("key"))
 
     # lines that may share a half with another line, with their text and first place
     halves = _halves(F.col("line"))
-    likely = lines.filter(F.length("line") >= LEAST_CHARS).withColumns({f"half{k}": half for k, half in enumerate(halves)})
+    likely = lines.filter(F.length("line") >= least_chars).withColumns({f"half{k}": half for k, half in enumerate(halves)})
     for k in range(len(halves)):
         likely = shared.mark(likely, F.col(f"half{k}"), f"may{k}")
     likely = likely.filter(" or ".join(f"may{k}" for k in range(len(halves))))
@@ -144,16 +144,19 @@ def dropped_lines(docs: DataFrame) -> Saved:
     return out
 
 
-def deduplicate_lines(docs: DataFrame) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """`docs` (doc_id, text; more columns pass) with the lost lines cut from text, plus n_lines and n_dropped.
 
+    A line is lost if an equal one stands earlier, or, for lines of `least_chars` characters or more, one within one edit; with 0 that is
+    so for all lines. No document gives no rows, and texts may be of any length.
+
     Lines end at line feeds; they are compared trimmed of spaces, tabs and carriage returns, and blank ones stay; the others stay as
     they are. A null doc_id comes last; documents that share a doc_id (or have none) are in the order of a hash of their texts, and rows equal in
     doc_id and text are one document: they lose the same lines. Null texts stay null with 0 lines; an empty text has one empty line.
     Existing columns n_lines, n_dropped and those that begin with an underscore are dropped.
     """
     docs = docs.drop("n_lines", "n_dropped", *private(docs))
-    gone = dropped_lines(docs)
+    gone = dropped_lines(docs, least_chars)
     lost = gone.df.withColumnsRenamed({"doc": "_doc", "row": "_row", "gone": "_gone"})
     key = Bloom(gone.df.select(F.xxhash64("doc", "row").alias("key")))
     doc, row = _document(docs)

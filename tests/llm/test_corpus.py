@@ -62,16 +62,16 @@ def within_one(a, b):
     return a[k + (len(a) == len(b)):] == b[k + 1 :]
 
 
-def brute_lines(docs):
+def brute_lines(docs, least=line_dedup.LEAST_CHARS):
     """doc_id -> kept text, by comparing every line with all before it."""
     before, out = [], {}
     for i, text in sorted(docs):
         kept = []
         for raw in text.split("\n"):
             line = raw.strip(" \t\r")
-            long = [b for b in before if len(b) >= line_dedup.LEAST_CHARS] if len(line) >= line_dedup.LEAST_CHARS else []
+            long = [b for b in before if len(b) >= least] if len(line) >= least else []
             gone = line != "" and (line in before or any(within_one(line, b) for b in long))
-            before.append(line)
+            before += [line] if line else []
             if not gone:
                 kept.append(raw)
         out[i] = "\n".join(kept)
@@ -95,6 +95,15 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+def test_short_lines_under_the_bound(spark):
+    """With least_chars 0 the edit bound holds for all lines, down to single characters."""
+    rng = np.random.default_rng(11)
+    docs = [(i, "\n".join("".join(rng.choice(list("abcd"), rng.integers(0, 9))) for _ in range(3))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (0, 5):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(df, least).collect()} == brute_lines([(i, t) for i, t in docs], least)
+
+
 def test_lines_on_odd_rows(spark):
     line = "a line that is long enough to count"
     rows = [(1, None, 1), (2, "", 1), (3, line, 1), (4, line + "s", 1), (4, line + "s", 1), (None, line, 1), (5, f"{line}\n{line}\nother " + "x" * 100000, 1)]
