@@ -109,3 +109,13 @@ def zipped_lists(df: DataFrame, lists: Sequence[str], names: Sequence[str]) -> D
     checked = F.when(same, zipped).otherwise(F.raise_error(F.concat(F.lit("lists of unequal lengths: "), F.concat_ws(", ", *(s.cast("string") for s in sizes)))))
     rest = [c for c in df.columns if c not in lists and c not in names and c != "place"]
     return df.select(*rest, F.posexplode(checked).alias("place", "_z")).select(*rest, "place", *(F.col("_z")[n].alias(n) for n in names))
+
+
+def merge_if_counts_agree(base: DataFrame, other: DataFrame | None, on: Sequence[str]) -> tuple[DataFrame, str]:
+    """(`base` left-joined with the other table's new columns, status): only if both have as many rows and the same keys once each; else `base` as it is.
+
+    status: joined, absent, missing_keys, row_count_mismatch, duplicate_keys or nothing_to_add.
+    """
+    if other is not None and all(k in base.columns and k in other.columns for k in on) and base.count() != other.count():
+        return base, "row_count_mismatch"
+    return optional_merge(base, other, on, "other_", protected=[c for c in (other.columns if other is not None else []) if c in base.columns and c not in on])

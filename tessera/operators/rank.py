@@ -146,3 +146,33 @@ def first_share(df: DataFrame, group: str, order: Sequence[str], share: float) -
     sizes = df.groupBy(group).agg(F.count("*").alias("available"))
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
     return ranked.join(sizes, group).filter(F.col("rank") <= F.ceil(F.col("available") * share - 1e-9))
+
+
+def review_queue(df: DataFrame, id_: str, image: str, probability: str, wrong: Column, missing: Column, severe: Column, cluster: str, most_sure: int = 18, most_near: int = 10, middle: float = 0.5) -> DataFrame:
+    """(id, image, review_bucket, review_priority, cluster, cluster_size): cases to look at, from five buckets, each with its own range of priorities.
+
+    From 10: the surest wrong case of each cluster, by cluster; from 100 the surest wrong cases, from 200 those nearest the middle; from 300 all missing ones, from 400 all severe ones, by id. A
+    case may be in several buckets, an image once a bucket: its first row stays. `id_` is numeric and tells rows apart; ties go by it. Large buckets are numbered on two levels, small ones
+    after a top-k; null flags are false.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    rows = df.select(id_, image, F.col(probability).cast("double").alias("_p"), F.col(cluster).cast("int").alias("cluster"), true(wrong).alias("_wrong"), true(missing).alias("_missing"), true(severe).alias("_severe"))
+    off = rows.filter("_wrong")
+    sure, near = [F.desc("_p"), F.col(id_)], [F.abs(F.col("_p") - middle), F.col(id_)]
+    heads = off.groupBy("cluster").agg(F.min_by(F.struct(id_, image), F.struct(-F.col("_p"), id_)).alias("_h"), F.count("*").alias("cluster_size"))
+    none = F.lit(None)
+
+    def out(rows: DataFrame, name: str, priority: Column, cluster: Column, size: Column) -> DataFrame:
+        return rows.select(id_, image, F.lit(name).alias("review_bucket"), priority.cast("long").alias("review_priority"), cluster.cast("int").alias("cluster"), size.cast("long").alias("cluster_size"))
+
+    def ranked(order: list[Column], k: int, name: str, start: int) -> DataFrame:
+        return out(off.orderBy(*order).limit(k), name, F.row_number().over(W.orderBy(*order)) - 1 + start, F.col("cluster"), none)  # a few rows
+
+    def counted(flag: str, name: str, start: int) -> DataFrame:
+        return out(numbered(rows.filter(flag), id_, "_n"), name, F.col("_n") - 1 + start, none, none)
+
+    queue = out(heads.select("_h.*", "cluster", "cluster_size"), "cluster_representative_false_positive", F.col("cluster") + 10, F.col("cluster"), F.col("cluster_size"))
+    for part in (ranked(sure, most_sure, "highest_confidence_false_positive", 100), ranked(near, most_near, "threshold_boundary_false_positive", 200), counted("_missing", "segmentation_miss", 300), counted("_severe", "human_severe_reference", 400)):
+        queue = queue.unionByName(part)
+    first = F.min_by(F.struct(id_, "review_priority", "cluster", "cluster_size"), F.struct("review_priority", id_)).alias("_f")
+    return queue.groupBy(image, "review_bucket").agg(first).select("_f." + id_, image, "review_bucket", "_f.review_priority", "_f.cluster", "_f.cluster_size")

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import reasons
-from tessera.operators import audits
+from tessera.operators import audits, cohorts
 from tessera.operators import reviews as rev
-from tessera.operators.running import running_totals
+from tessera.operators.rank import review_queue
 from tessera.operators.states import route
 from tessera.sources.tables import table
 
@@ -237,4 +237,54 @@ SELECT session, 'insufficient_data' AS verdict, 'missing_' || k AS blocker, 'sco
 def hard_blockers(spark: SparkSession, d: str) -> DataFrame:
     """What a user's day lacks, each as a blocker with its scope and the verdict."""
     events = table(spark, d, "events").withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts"))
-    return audits.hard_blockers(events, "session", F.col("event_type"), ("click", "error", "purchase", "refund"))
\ No newline at end of file
+    return audits.hard_blockers(events, "session", F.col("event_type"), ("click", "error", "purchase", "refund"))
+
+_CASES = "(SELECT doc_id, doc_id // 2 AS image, n_chars % 5 AS cluster, least(1::DOUBLE, n_chars / 4000.0::DOUBLE) AS p, quality = 0 AND toxic = 0 AS wrong, toxic = 1 AS missing, quality = 1 AND n_chars > 3000 AS severe FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"""WITH d AS {_CASES}, w AS (SELECT * FROM d WHERE wrong),
+q AS (SELECT arg_min(doc_id, struct_pack(a := -p, b := doc_id)) AS doc_id, arg_min(image, struct_pack(a := -p, b := doc_id)) AS image, 'cluster_representative_false_positive' AS review_bucket, 10 + cluster AS review_priority, cluster, count(*) AS cluster_size FROM w GROUP BY cluster
+  UNION ALL SELECT doc_id, image, 'highest_confidence_false_positive', 99 + r, cluster, NULL FROM (SELECT *, row_number() OVER (ORDER BY p DESC, doc_id) AS r FROM w) WHERE r <= 18
+  UNION ALL SELECT doc_id, image, 'threshold_boundary_false_positive', 199 + r, cluster, NULL FROM (SELECT *, row_number() OVER (ORDER BY abs(p - 0.5), doc_id) AS r FROM w) WHERE r <= 10
+  UNION ALL SELECT doc_id, image, 'segmentation_miss', 299 + row_number() OVER (ORDER BY doc_id), NULL, NULL FROM d WHERE missing
+  UNION ALL SELECT doc_id, image, 'human_severe_reference', 399 + row_number() OVER (ORDER BY doc_id), NULL, NULL FROM d WHERE severe)
+SELECT f.doc_id, image, review_bucket, f.review_priority, f.cluster, f.cluster_size FROM (SELECT image, review_bucket, arg_min(q, struct_pack(a := review_priority, b := doc_id)) AS f FROM q GROUP BY 1, 2)""")
+def overcall_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Cases for review from five buckets, an image once a bucket."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+        "doc_id", F.floor(F.col("doc_id") / 2).alias("image"), (F.col("n_chars") % 5).alias("cluster"), F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)).alias("p"), "quality", "toxic", "n_chars"
+    )
+    wrong, severe = (F.col("quality") == 0) & (F.col("toxic") == 0), (F.col("quality") == 1) & (F.col("n_chars") > 3000)
+    return review_queue(rows, "doc_id", "image", "p", wrong, F.col("toxic") == 1, severe, "cluster")
+
+
+_TASKS = """o AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'T' || o_orderkey WHEN 1 THEN ' t-' || o_orderkey ELSE 'M' || o_orderkey END AS sample, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS score FROM orders),
+dec AS (SELECT k::VARCHAR AS t, 'img/' || k AS image_path FROM o WHERE k % 3 > 0), sc AS (SELECT k::VARCHAR AS t, 'n' || k AS image_name, sample, score FROM o WHERE k % 7 > 1)"""
+
+
+@query(f"""WITH {_TASKS}
+SELECT 'dox' AS cohort_id, d.t AS source_score_row, image_path, score, CASE WHEN score IS NULL THEN 'pending_discovery' ELSE 'joined' END AS join_status, CASE WHEN score IS NULL THEN 'pending_discovery' ELSE 'pending' END AS verification_status,
+  CASE WHEN score IS NULL THEN 'unresolved' ELSE 'pending' END AS admission_status, CASE WHEN score IS NULL THEN 'missing_score' ELSE '' END AS exclusion_reason, 'manual_mask_external' AS lane_assignment, NULL AS source_sample_id FROM dec d LEFT JOIN sc USING (t)
+UNION ALL SELECT 'dox', t, '', score, CASE WHEN f THEN 'foreign_row' ELSE 'pending_discovery' END, CASE WHEN f THEN 'excluded' ELSE 'pending_discovery' END, CASE WHEN f THEN 'foreign' ELSE 'unresolved' END,
+  CASE WHEN f THEN 'foreign_mixed_export_row' ELSE 'not_materialized_in_decoded_brushlabel_surface' END, 'scored_only', trim(sample) FROM (SELECT *, upper(regexp_extract(trim(sample), '^[A-Za-z]*')) = 'T' AS f FROM sc WHERE t NOT IN (SELECT t FROM dec))""")
+def decoded_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded masks beside the scores of their tasks, and scores without a mask."""
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    sample = F.when(k % 4 == 0, F.concat(F.lit("T"), k)).when(k % 4 == 1, F.concat(F.lit(" t-"), k)).otherwise(F.concat(F.lit("M"), k))
+    decoded = orders.filter(k % 3 > 0).select(F.lit("dox").alias("cohort_id"), k.alias("source_score_row"), F.concat(F.lit("img/"), k).alias("image_path"))
+    scores = orders.filter(k % 7 > 1).select(k.alias("task_id"), F.concat(F.lit("n"), k).alias("image_name"), sample.alias("source_sample_id"), F.when(k % 5 > 0, F.col("o_totalprice")).alias("score"), F.lit("ok").alias("score_status"))
+    out = cohorts.decoded_cohort(decoded, scores, "dox", "export.json", "scores.csv", ["latest_export", "decoded_masks"])
+    return out.select("cohort_id", "source_score_row", "image_path", "score", "join_status", "verification_status", "admission_status", "exclusion_reason", "lane_assignment", "source_sample_id")
+
+
+@query("""SELECT 'img/' || o_orderkey AS source_image_path, 'n' || o_orderkey AS source_image_name, o_orderkey::VARCHAR AS source_score_row, o_totalprice AS score, 'manual_mask_core' AS lane_assignment, 'runtime;annotations' AS discovery_surfaces FROM orders WHERE o_orderkey % 3 > 0 AND o_orderstatus <> 'P'""")
+def scored_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """Scored images that joined, as manifest rows."""
+    k = F.col("o_orderkey")
+    scores = table(spark, d, "orders").select(
+        F.concat(F.lit("img/"), k).alias("raw_image_path"), F.lit(None).cast("string").alias("raw_mask_path"), F.concat(F.lit("n"), k).alias("image_name"), k.cast("string").alias("image_stem"), k.cast("string").alias("source_task_id"), F.col("o_totalprice").alias("score"),
+        F.when(k % 3 > 0, "ok").otherwise("missing_mask").alias("join_status"), F.when(F.col("o_orderstatus") != "P", "ok").alias("score_status"),
+    )
+    out = cohorts.scored_cohort(scores, "annotations.json", "scores.csv", ["runtime", "annotations"])
+    return out.select("source_image_path", "source_image_name", "source_score_row", "score", "lane_assignment", "discovery_surfaces")

@@ -171,3 +171,13 @@ def saved_model(spark: SparkSession, d: str) -> DataFrame:
     again = models.load_fitted(path, names, fold="all")
     p = lambda m, name: m.transform(rows).select("vec_id", "odd", vector_to_array("probability")[1].alias(name))
     return p(model, "before").join(p(again, "after").drop("odd"), "vec_id")
+
+
+@query("""SELECT n_nationkey, n_regionkey, length(n_name) AS feature, 'joined' AS whole_status, 'row_count_mismatch' AS part_status FROM nation""")
+def gated_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Learned features merged with nations: all of them, and some of them, which are refused."""
+    nations = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    learned = table(spark, d, "nation").select("n_nationkey", F.length("n_name").cast("long").alias("feature"))
+    merged, whole = joins.merge_if_counts_agree(nations, learned, ["n_nationkey"])
+    _, part = joins.merge_if_counts_agree(nations, learned.filter("n_nationkey > 3"), ["n_nationkey"])
+    return merged.withColumns({"whole_status": F.lit(whole), "part_status": F.lit(part)})
