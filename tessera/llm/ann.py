@@ -104,7 +104,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, seed: int = 0) ->
 
     Unusable vectors take no part, nor do those of another dimension than most of `base` has (of equals the
     smaller). Rows with the query's own vec_id are not its candidates; a query id that repeats is asked once, with
-    its smallest vector. Other repeated rows are candidates of their own. The base is coded where it is read; blocks of the
+    its smallest vector. Other repeated rows are candidates of their own. Rows without vec_id take no part, as query or candidate; an empty side gives no rows. The base is coded where it is read; blocks of the
     stated queries meet its chunks, and each task returns its k best a query. Query blocks are broadcast if they fit the bound.
     """
     spark = base.sparkSession

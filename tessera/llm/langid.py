@@ -195,7 +195,8 @@ def predict_column(model: Broadcast, text: Column) -> Column:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` plus lang_pred, score, accepted (existing columns of these names, and `_found`, are replaced). No shuffle.
 
-    Equally likely languages: the first by name. Rows that repeat get the same answer, each by itself.
+    Equally likely languages: the first by name. Rows that repeat get the same answer, each by itself. Texts are read whole, however long; a null
+    text has no letters and is `und`; an empty table gives no rows.
     """
     lean_batches(docs.sparkSession)
     column = predict_column(docs.sparkSession.sparkContext.broadcast(model), F.col("text"))

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, slices: int | None = None, max_epochs: int = MAX_EPOCHS
     Weights must lie in [BAD, GOOD] for the slices to be even; any others stay right. Equal keys are ordered
     by doc_id, nulls last, then size; repeated rows share a fate only by their place in that order. Documents of size 0 take 0.
     Documents without doc_id draw their key from column `draw`, if there is one: as names() makes it, before texts are joined or shuffled. Slices are as many as keep SLICE_ROWS rows each.
-    Existing columns with the names of results, or that begin with an underscore, are dropped.
+    Existing columns with the names of results, or that begin with an underscore, are dropped. Only sizes count here, so texts may be of any length; an empty table gives no rows.
     """
     docs = docs.drop("source_size", "target", "copies", "taken", *private(docs))
     slices = slices or max(1024, -(-docs.count() // SLICE_ROWS))

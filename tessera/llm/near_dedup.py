@@ -391,7 +391,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts are linked if they are equal or their weighted Jaccard similarity reaches `similarity`; a class is what links
     connect, class_id its smallest doc_id (null only if all are), class_size its rows.
-    Null counts as the empty text; texts without words are only linked to equal ones. Rows that repeat count as rows.
+    Null counts as the empty text; texts without words are only linked to equal ones. Rows that repeat count as rows. Whole texts of any
+    length are compared, the longest as one weighted set in a task; an empty table gives no rows.
     """
     signed, by_node = _classes(docs, similarity)
     return signed.df.select("doc_id", "node").join(by_node.df, "node").select("doc_id", "node", "class_id", "class_size")

@@ -453,6 +453,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     The model learns from all trusted documents; they also set a threshold for each language, scored by models that
     haven't seen them (null is a language of its own). Empty and null texts have no perplexity and aren't kept; neither a row's label nor its doc_id
     is used for its own score. Characters are whole code points; NUL counts as U+FFFD. Without trusted text everything else is kept. Repeated rows are judged alike.
+    Texts are scored whole, however long; an empty table gives no rows.
     Existing columns with the names of results, or that begin with an underscore, are dropped.
     """
     docs = docs.drop("perplexity", "threshold", "keep", *private(docs))

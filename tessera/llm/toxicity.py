@@ -197,7 +197,10 @@ def score_column(model: Broadcast, text: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` plus score and predicted (1 if score >= CUT); existing columns of these names are replaced. No shuffle. Rows that repeat get the same score."""
+    """`docs` plus score and predicted (1 if score >= CUT); existing columns of these names are replaced. No shuffle. Rows that repeat get the same score.
+
+    Texts are scored whole, however long, a null text as an empty one; an empty table gives no rows.
+    """
     lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("score", score_column(shared, F.col("text"))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
