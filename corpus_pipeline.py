@@ -36,12 +36,15 @@ def _unpacked(kept: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go, null and empty texts among them."""
+    """Documents that the classifier rejects go, null and empty texts among them. Repeated rows are judged alike; a null doc_id or lang is a value of its own; no documents give none."""
     return _unpacked(judge(_packed(docs), _labels(spark, sf_dir)).filter("keep"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that loses all it has goes with them. n_chars is counted anew, null for a null text."""
+    """Repeated lines go; a document that loses all it has goes with them. n_chars is counted anew, null for a null text.
+
+    The first document by doc_id keeps a line, null ids come last, and rows equal in doc_id and text lose the same lines.
+    """
     cut = deduplicate_lines(_packed(docs))
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     kept = cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long"))
@@ -49,19 +52,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays; rows equal in doc_id and text count as one."""
+    """One document of each class of near duplicates stays, one with the smallest doc_id, null last; rows equal in doc_id and text count as one. Null and wordless texts are only like equal ones."""
     return _unpacked(deduplicated(_packed(docs)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those without words, and those beyond the budget, not at all."""
+    """Each document as often as the mix takes it; those without words, null texts among them, and those beyond the budget, not at all.
+
+    Equal keys go by doc_id, null last, then size; a missing doc_id draws by its text; null is a source of its own.
+    """
     sized = names(_packed(docs).withColumn("size", size_of(F.col("text"))))
     mixed = mix(weighed(sized, _labels(spark, sf_dir)))
     return _unpacked(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digest and that of what they decode to."""
+    """Token ids of each document, with their digest and that of what they decode to. A null text is empty and has no ids; repeated rows are encoded alike."""
     return digests(tokenized(docs.select("doc_id", "source", "text")), "source", "token_ids")
 
 
@@ -80,9 +86,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
     ship_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Saved(docs, f"stage{k}").df
+            now = Saved(docs, f"stage{k}")
+            if before:
+                before.drop()  # the last result reads only its own input
+            before, docs = now, now.df
     return docs
