@@ -81,11 +81,12 @@ def set_coverage(df: DataFrame, keys: Sequence[str], truth: str, members: str) -
 
 
 def exact_mean(value: Column) -> Column:
-    """The mean, from a decimal sum where that holds each value exactly (9 places): the same however rows are dealt out. Else the plain mean."""
+    """The mean, from a sum of whole millionths where those hold each value exactly: the same however rows are dealt out. Else the plain mean."""
     x = value.cast("double")
-    exact = x.try_cast("decimal(28,9)")
-    kept = F.count_if(exact.cast("double") == x) == F.count(x)
-    return F.when(kept, F.try_divide(F.try_sum(exact).cast("double"), F.count(x))).otherwise(F.avg(x))
+    whole = F.rint(x * 1e6).try_cast("long")
+    total = F.try_sum(whole)
+    kept = F.count_if(whole / F.lit(1e6) == x) == F.count(x)
+    return F.when(kept & total.isNotNull(), total / F.lit(1e6) / F.count(x)).otherwise(F.avg(x))
 
 
 def cohort_stability(first: DataFrame, second: DataFrame, key: str, value: str, limit: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rubric import three_band
-from tessera.operators import folds, gates, metrics, models, neighbors, rank, resample, screens
+from tessera.operators import folds, gates, metrics, models, neighbors, rank, resample, screens, strata
 from tessera.plans.groups import rounded
 from tessera.plans.rows import _SCORE, scored
 from tessera.sources.tables import table
@@ -129,7 +129,7 @@ def adjudication_flip(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_suppkey, avg(l_discount) FILTER (l_returnflag = 'A') AS a, avg(l_discount) FILTER (l_returnflag = 'R') AS b, count(*) FILTER (l_returnflag = 'A') >= 60 AS ao, count(*) FILTER (l_returnflag = 'R') >= 60 AS bo FROM lineitem GROUP BY 1)
 SELECT l_suppkey, CASE WHEN NOT ao AND NOT bo THEN 'neither' WHEN ao AND NOT bo THEN 'first' WHEN bo AND NOT ao THEN 'second' WHEN abs(a - b) <= 0.002 THEN 'tie' WHEN a > b THEN 'first' ELSE 'second' END AS decision FROM m""")
 def promotion_decision(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_discount")))
+    mean = lambda f: strata.exact_mean(F.when(F.col("l_returnflag") == f, F.col("l_discount")))
     enough = lambda f: F.count_if(F.col("l_returnflag") == f) >= 60
     m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(mean("A").alias("a"), mean("R").alias("b"), enough("A").alias("ao"), enough("R").alias("bo"))
     return m.select("l_suppkey", gates.promotion(F.col("ao"), F.col("bo"), F.col("a"), F.col("b"), 0.002).alias("decision"))
