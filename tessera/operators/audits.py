@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import reasons
 from tessera.operators.contracts import ContractError
 from tessera.operators.running import running_totals
+from tessera.operators.strata import exact_mean
 
 
 def crop_audit(crops: DataFrame, key: str, image: str, category: Column, share: Column, categories: Sequence[str], least: Mapping[str, int], least_images: int) -> DataFrame:
@@ -36,9 +37,9 @@ def transform_audit(rows: DataFrame, key: str, value: Column, side: Column, befo
     return per.withColumn("reasons", F.array_join(reasons(rules), "|"))
 
 
-def feature_gates(rows: DataFrame, key: str, means: Mapping[str, tuple[Column, float, str]]) -> DataFrame:
-    """(key, a mean a name, blockers, status): means of columns that must not pass their bound; `means` gives each its column, bound and blocker."""
-    per = rows.groupBy(key).agg(*(F.avg(c).alias(name) for name, (c, _, _) in means.items()))
+def feature_gates(rows: DataFrame, key: str, means: Mapping[str, tuple[Column, float, str]], scaled: Mapping[str, Callable[[Column], Column]] = {}) -> DataFrame:
+    """(key, a mean a name, blockers, status): means of columns that must not pass their bound; `means` gives each its column, bound and blocker, `scaled` what is made of a mean."""
+    per = rows.groupBy(key).agg(*(scaled.get(name, lambda m: m)(exact_mean(c)).alias(name) for name, (c, _, _) in means.items()))
     blockers = F.array_join(reasons([(F.col(name) > bound, word) for name, (_, bound, word) in means.items()]), "|")
     return per.withColumn("blockers", blockers).withColumn("status", F.when(F.col("blockers") == "", "passed").otherwise("failed_visual_feature_readiness"))
 

@@ -275,9 +275,10 @@ def feature_readiness(spark: SparkSession, d: str) -> DataFrame:
     hit = (F.col("l_discount") > 0).cast("int")
     means = {
         "zero": (F.when(F.col("l_returnflag") == "N", hit), 0.96, "signal_is_common_in_score_0"), "everywhere": (hit, 0.957, "signal_is_nearly_ubiquitous"),
-        "boundary": (F.col("l_tax") * 5, 0.2035, "high_boundary_overlap"), "nuclear": (F.col("l_quantity") / 250, 0.1035, "confounder_burden_is_high"),
+        "boundary": (F.col("l_tax"), 0.2035, "high_boundary_overlap"), "nuclear": (F.col("l_quantity"), 0.1035, "confounder_burden_is_high"),
     }
-    return audits.feature_gates(table(spark, d, "lineitem"), "l_suppkey", means).select("l_suppkey", "blockers", "status")
+    scaled = {"boundary": lambda m: m * 5, "nuclear": lambda m: m / 250}
+    return audits.feature_gates(table(spark, d, "lineitem"), "l_suppkey", means, scaled).select("l_suppkey", "blockers", "status")
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_returnflag AS cohort, count(*) AS n, avg((l_discount < 0.07)::INTEGER) AS cov, avg(l_tax * 10) AS mae FROM lineitem GROUP BY 1, 2),
