@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,12 +50,12 @@ def remediation(causes: Column) -> Column:
     return route([(F.arrays_overlap(causes, _strings(_CODE)), "fix_code_or_evaluation_then_regenerate_evidence"), *((F.array_contains(causes, c), path) for c, path in _REMEDIES)], "no_remediation_required")
 
 
-def run_decision(rows: DataFrame, key: str, run: str, completed: Column, reference: str, primary: str, fallback: str, limit: float, margin: float = 0.02) -> DataFrame:
+def run_decision(rows: DataFrame, key: str, run: str, completed: Column, reference: str, primary: str, fallback: str, limit: float, margin: float = 0.02, scaled: Mapping[str, Callable[[Column], Column]] = {}) -> DataFrame:
     """(key, status, reason, selected): whether the primary run (else the fallback) beats the reference in mean dice, recall or ratio_error by `margin`, within the background limit and with all gates passed.
 
-    `rows` has dice, recall, ratio_error, background and gate_ok.
+    `rows` has dice, recall, ratio_error, background and gate_ok; `scaled` says what is made of a mean.
     """
-    per = rows.filter(completed).groupBy(key, run).agg(*(F.avg(c).alias(c) for c in ("dice", "recall", "ratio_error", "background")), F.min("gate_ok").alias("gate_ok"))
+    per = rows.filter(completed).groupBy(key, run).agg(*(scaled.get(c, lambda m: m)(F.avg(c)).alias(c) for c in ("dice", "recall", "ratio_error", "background")), F.min("gate_ok").alias("gate_ok"))
     of = lambda name: F.max(F.when(F.col(run) == name, F.struct("dice", "recall", "ratio_error", "background", "gate_ok")))
     wide = per.groupBy(key).agg(of(reference).alias("r"), of(primary).alias("p"), of(fallback).alias("f"))
     every = rows.select(key).distinct().join(wide, key, "left").withColumn("c", F.coalesce("p", "f"))

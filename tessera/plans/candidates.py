@@ -57,10 +57,10 @@ WHEN NOT cok THEN 'less_downsampled_policy_failed_category_gates' ELSE 'less_dow
 def run_decision(spark: SparkSession, d: str) -> DataFrame:
     """Return flags as runs over an order's finished lines: the primary one, or the fallback, against the reference."""
     rows = table(spark, d, "lineitem").select(
-        "l_orderkey", F.col("l_returnflag").alias("run"), "l_linestatus", (F.col("l_quantity") / 50).alias("dice"), (F.col("l_tax") * 10).alias("recall"), (F.col("l_discount") * 5).alias("ratio_error"),
+        "l_orderkey", F.col("l_returnflag").alias("run"), "l_linestatus", F.col("l_quantity").alias("dice"), F.col("l_tax").alias("recall"), F.col("l_discount").alias("ratio_error"),
         F.col("l_discount").alias("background"), (F.col("l_quantity") < 49).alias("gate_ok"),
     )
-    return rev.run_decision(rows, "l_orderkey", "run", F.col("l_linestatus") == "F", "N", "R", "A", 0.05)
+    return rev.run_decision(rows, "l_orderkey", "run", F.col("l_linestatus") == "F", "N", "R", "A", 0.05, scaled={"dice": lambda m: m / 50, "recall": lambda m: m * 10, "ratio_error": lambda m: m * 5})
 
 
 _GATES = """g AS (SELECT l_orderkey % 3000 AS family, l_returnflag AS category, l_linenumber AS idx, l_discount <= 0.09 AS passed, CASE WHEN l_tax > 0.06 THEN ' high_tax' WHEN l_tax > 0.03 THEN 'tax' ELSE '' END AS reason, 'gate' || l_linenumber AS gate FROM lineitem)"""

@@ -27,3 +27,15 @@ def test_promotion_at_its_margin(spark, tmp_path):
     rows = [(1, "A", 0.003)] * 60 + [(1, "R", 0.001)] * 60
     spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert evaluation.promotion_decision(spark, str(tmp_path)).first()["decision"] == ("tie" if 0.003 - 0.001 <= 0.002 else "first")
+
+
+def test_scales_apply_to_the_mean(spark):
+    """The SQL scales the mean, not each row: scaled rows round once more each."""
+    from tessera.operators import audits, reviews
+
+    rows = spark.createDataFrame([(1, 0.07)] * 7, "k int, v double").coalesce(1)
+    got = audits.feature_gates(rows, "k", {"m": (F.col("v"), 0.7, "high")}, {"m": lambda m: m * 10}).first()
+    assert got["m"] == 0.49 / 7 * 10
+    lines = spark.createDataFrame([(1, r, v, 0.0, 0.0, 0.0, True) for r, v in (("N", 3.0), ("N", 8.0), ("R", 9.0))], "k int, run string, dice double, recall double, ratio_error double, background double, gate_ok boolean")
+    got = reviews.run_decision(lines, "k", "run", F.lit(True), "N", "R", "A", 0.05, scaled={"dice": lambda m: m / 1000}).first()
+    assert (got["status"], got["reason"][:20]) == ("current_cleared", "less_downsampled_pol")
