@@ -33,9 +33,9 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
     files = F.array_compact(F.array(kept(k % 9 != 5, "images", "", ".png"), kept(k % 10 == 3, "images", "", ".TIF"), kept(k % 4 != 0, "masks", "_mask", ".png"), kept(k % 13 == 6, "masks", "_outline", ".png")))
     root = scratch_path(spark, "files")
     rows = pages.select(subject.alias("subject"), F.coalesce("html", F.lit("")).alias("value"), F.explode(files).alias("f")).select("f.kind", "subject", "f.item", "value")
-    rows.repartition("kind", "subject", "item").write.partitionBy("kind", "subject", "item").text(root)
-    found = inventory.file_inventory(spark, root, "part-*")
-    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
+    inventory.write_texts(rows, root, ["kind", "subject", "item"])
+    found = inventory.file_inventory(spark, root, "*.txt")
+    part = lambda name: inventory.key_in_path(F.col("path"), name)
     return found.withColumns({"kind": part("kind"), "subject": part("subject"), "item": part("item")})
 
 

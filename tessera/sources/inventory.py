@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,57 @@ from tessera.sources.scratch import exists, qualified
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
 
 
+def local_folder(spark: SparkSession, root: str) -> str | None:
+    """The folder that `root` names if it is one of the shared file system; None in other stores."""
+    found = urlsplit(qualified(spark, root))
+    return found.path if found.scheme == "file" else None
+
+
+def write_texts(rows: DataFrame, root: str, keys: Sequence[str], value: str = "value") -> None:
+    """A text file a distinct combination of `keys`, with its rows' values as lines, in folders key=value below `root`; keys are not null and plain words. The last key names the file, `key=value.txt`, or in other stores than
+    file systems its folder, `key=value`: see `key_in_path`.
+
+    Spark's writer makes, commits and renames every file with several calls of its store, on local file systems with a process each. Where `root` is a folder, tasks write
+    the files themselves: under a name of their own first, so that a repeated task leaves the same files, and few folders are left to list. Other stores get Spark's writer.
+    """
+    dealt, folder = rows.select(*keys, value).repartition(*keys), local_folder(rows.sparkSession, root)
+    if folder is None:
+        dealt.write.partitionBy(*keys).text(root)
+        return
+
+    def put(at: tuple[str, ...], lines: list[str]) -> None:
+        *folders, name = (f"{k}={v}" for k, v in zip(keys, at))
+        below = os.path.join(folder, *folders)
+        os.makedirs(below, exist_ok=True)
+        own = os.path.join(below, f"_{uuid.uuid4().hex}")
+        with open(own, "w", encoding="utf-8", newline="") as out:
+            out.writelines(line + "\n" for line in lines)
+        os.replace(own, os.path.join(below, f"{name}.txt"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lines, files = None, [], 0
+        for batch in batches:
+            for *at, line in zip(*(batch.column(c).to_pylist() for c in (*keys, value))):
+                if at != last:
+                    if last is not None:
+                        put(tuple(last), lines)
+                        files += 1
+                    last, lines = at, []
+                lines.append(line)
+        if last is not None:
+            put(tuple(last), lines)
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    os.makedirs(folder, exist_ok=True)
+    dealt.sortWithinPartitions(*keys).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def key_in_path(path: Column, key: str) -> Column:
+    """A key's value in the path of a file of `write_texts`."""
+    return F.regexp_extract(path, rf"(?:^|/){key}=([^/]*?)(?:\.txt)?(?:/|$)", 1)
+
+
 def file_inventory(spark: SparkSession, root: str, glob: str | None = None, suffixes: Sequence[str] = (), digests: bool = True) -> DataFrame:
     """(path, folder, name, stem, suffix, bytes, modified, sha256) of the files below `root`, at any depth; path and folder are relative to it.
 
