@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Anchors of a block; blocks that are broadcast (of 1,000 doubles an anchor they hold 32 MB).
 ANCHORS, ANCHOR_BLOCKS = 512, 8
+#: Queries of a block that are compared at once.
+SLICE = 64
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -41,18 +43,20 @@ def nearest_other_group(df: DataFrame, id_: str, group: str, vector: str, k: int
             for r in batch.itertuples(index=False):
                 q_id, c_id = np.asarray(r.q_id), np.asarray(r.c_id)
                 q, c = np.asarray(r.q_vec).reshape(len(q_id), -1), np.asarray(r.c_vec).reshape(len(c_id), -1)
-                q_grp, c_grp = np.asarray(r.q_grp, dtype=object), np.asarray(r.c_grp, dtype=object)
-                near = (q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * q @ c.T
-                near[q_grp[:, None] == c_grp[None, :]] = np.inf
-                out = []
-                for i in range(len(q_id)):
-                    few = np.flatnonzero(np.isfinite(near[i]))
-                    if len(few) > 2 * k:
-                        few = few[near[i][few] <= np.partition(near[i][few], k - 1)[k - 1] * (1 + 1e-9) + 1e-9]
-                    exact = ((c[few] - q[i]) ** 2).sum(1)
-                    best = np.lexsort((c_id[few], exact))[:k]
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), q_id[i]), "id": c_id[few][best], "distance": np.sqrt(exact[best])}))
-                yield pd.concat(out)
+                codes = pd.factorize(np.concatenate([np.asarray(r.q_grp, dtype=object), np.asarray(r.c_grp, dtype=object)]))[0]
+                q_grp, c_grp, squares = codes[: len(q_id)], codes[len(q_id) :], (c**2).sum(1)
+                # a few queries at once: even if all distances tie, their candidates stay small
+                for at in range(0, len(q_id), SLICE):
+                    some = slice(at, at + SLICE)
+                    near = (q[some] ** 2).sum(1)[:, None] + squares[None, :] - 2 * q[some] @ c.T
+                    near[(q_grp[some, None] == c_grp[None, :]) | ~np.isfinite(near)] = np.inf
+                    far = np.partition(near, k - 1, axis=1)[:, k - 1] if len(c_id) > k else np.full(len(near), np.inf)
+                    row, col = np.nonzero((near <= (far * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(near))
+                    exact = ((c[col] - q[some][row]) ** 2).sum(1)
+                    order = np.lexsort((c_id[col], exact, row))
+                    row, col, exact = row[order], col[order], exact[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    yield pd.DataFrame({"query_id": q_id[some][row[best]], "id": c_id[col[best]], "distance": np.sqrt(exact[best])})
 
     pairs = _blocks(rows, block, "q").crossJoin(_blocks(rows, block, "c"))
     found = pairs.mapInPandas(compare, "query_id long, id long, distance double")
