@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import resample, screens, selection
 from tessera.plans.groups import rounded
+from tessera.sources.scratch import written
 from tessera.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -29,12 +30,13 @@ FEATURES = ("quantity", "discount", "tax", "position", "lines")
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
     """A row a customer with orders: means over its lines, the target price, its source (segment, nation) and fold."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-    means = lines.groupBy("c_custkey").agg(
+    lines, orders, customers = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    means = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").groupBy("c_custkey").agg(
         F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.avg("l_linenumber").alias("position"), F.count("*").cast("double").alias("lines"),
         (F.avg("l_extendedprice") / 1000).alias("price"),
     )
-    return means.join(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey").withColumn("fold", (F.col("c_custkey") % 5).cast("int"))
+    rows = means.join(customers.select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey").withColumn("fold", (F.col("c_custkey") % 5).cast("int"))
+    return written(rows, "subjects")  # a screen reads its rows for centres, sums and predictions; the lines are joined and added up once
 
 
 _SUBJECTS = """s AS (SELECT c_custkey, c_mktsegment, c_nationkey, (c_custkey % 5)::INTEGER AS fold, f, y FROM (

@@ -113,3 +113,11 @@ def test_held_out_sources(spark, data):
     one = screens.held_out_sources(df.filter("source = 'u'"), names, "y", "source").collect()
     assert [(r["source"], r["status"]) for r in one] == [("u", "not_estimable_single_source")]
     assert screens.held_out_sources(df.limit(0), names, "y", "source").count() == 0
+
+
+def test_subjects_are_added_up_once(spark, sf_dir):
+    """What screens read again and again is a table of subjects, not the join of their lines."""
+    from tessera.plans import screening
+
+    rows = screening.subjects(spark, sf_dir)
+    assert not any(f.endswith(("lineitem.parquet", "orders.parquet")) for f in rows.inputFiles()) and rows.count() > 0
