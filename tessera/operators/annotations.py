@@ -37,10 +37,14 @@ def supported_grade(choice: Column) -> Column:
     return F.try_element_at(F.filter(F.array(*(F.lit(v) for v in RUBRIC)), lambda v: F.abs(v - value) < 1e-9), F.lit(1))
 
 
+def _supported(item: Column) -> Column:
+    """The supported grades of one item."""
+    return F.array_compact(F.transform(_list(item["value"]["choices"]), supported_grade))
+
+
 def supported_grades(items: Column) -> Column:
     """All supported grades of the items that are choices."""
-    chosen = F.filter(items, lambda r: r["type"] == "choices")
-    return F.array_compact(F.flatten(F.transform(chosen, lambda r: F.transform(_list(r["value"]["choices"]), supported_grade))))
+    return F.flatten(F.transform(F.filter(items, lambda r: r["type"] == "choices"), _supported))
 
 
 def _list(c: Column) -> Column:
@@ -54,7 +58,7 @@ def _labels(item: Column) -> Column:
 
 def _geometry(item: Column) -> Column:
     v = item["value"]
-    return F.to_json(F.struct(*(v[k].alias(k) for k in ("format", "rle", "points", "brushlabels", "polygonlabels", "rectanglelabels"))))
+    return F.struct(*(v[k].alias(k) for k in ("format", "rle", "points", "brushlabels", "polygonlabels", "rectanglelabels")))
 
 
 def grader(completed_by: Column) -> Column:
@@ -79,41 +83,52 @@ def regions(tasks: DataFrame) -> DataFrame:
     the region. Annotations without regions and errors give no rows.
     """
     name = image_name(F.col("file_upload"), F.col("data.image"))
-    one = tasks.select(
-        F.col("id").cast("string").alias("task_id"), name.alias("image_name"), stem(name).alias("image_id"), F.trim(F.coalesce(F.col("data.mask_release_id"), F.lit(""))).alias("task_release"),
-        F.coalesce("predictions", F.array().cast(tasks.schema["predictions"].dataType)).alias("predictions"), F.explode("annotations").alias("a"),
-    )
     item = tasks.schema["annotations"].dataType.elementType["result"].dataType
-    given = F.filter(F.coalesce("a.result", F.array().cast(item)), lambda r: F.coalesce(r["id"], F.lit("")) != "")
-    # kind 1: region, 2: grade
-    is_region = lambda r: r["type"].isin(*REGION_KINDS) & F.arrays_overlap(_labels(r), F.array(F.lit(COMPLETE), F.lit(CUTOFF)))
+    c, blank, text = F.col, F.lit(""), F.lit(None).cast("string")
+    listed = lambda x: F.coalesce(x, F.array().cast(item))
+    one = tasks.select(
+        c("id").cast("string").alias("task_id"), name.alias("image_name"), stem(name).alias("image_id"), F.trim(F.coalesce(c("data.mask_release_id"), blank)).alias("task_release"),
+        F.filter(F.coalesce("predictions", F.array().cast(tasks.schema["predictions"].dataType)), lambda p: p["result"].isNotNull()).alias("predictions"), F.posexplode_outer("annotations").alias("at", "a"),
+    ).filter("at is not null")  # a plain explode tests its array in a filter of its own first, which Spark then computes twice from the text up
+    # a row an annotation: its items, and beside each the id that it has as a region or a grade
+    is_region = lambda r, labels: r["type"].isin(*REGION_KINDS) & F.arrays_overlap(labels, F.array(F.lit(COMPLETE), F.lit(CUTOFF)))
     is_grade = lambda r: (r["type"] == "choices") & (r["from_name"] == GRADE_FIELD)
-    kinds = F.transform(given, lambda r, i: F.struct(i.alias("i"), F.when(F.coalesce(is_region(r), F.lit(False)), 1).when(F.coalesce(is_grade(r), F.lit(False)), 2).otherwise(0).alias("kind"), r.alias("r")))
-    predicted = F.flatten(F.transform("predictions", lambda p: F.transform(F.coalesce(p["result"], F.array().cast(item)), lambda r: F.struct(F.trim(F.coalesce(r["id"], F.lit(""))).alias("id"), r.alias("r"), p["model_version"].alias("version")))))
-    one = one.withColumns({"who": grader(F.col("a.completed_by")), "items": kinds, "predicted": F.filter(predicted, lambda p: p["id"] != "")})
-    of = lambda kind: F.filter("items", lambda x: x["kind"] == kind)
-    one = one.withColumns({"region_items": of(1), "grade_items": of(2)})
-    loose = F.exists("grade_items", lambda g: ~F.exists("region_items", lambda x: (x["r"]["id"] == g["r"]["id"]) & (x["i"] < g["i"])))
-    broken = F.when(F.col("who.user").isNull(), "missing-provenance").when(loose, "missing-region-link")
-    ids = F.array_sort(F.array_distinct(F.transform("region_items", lambda x: x["r"]["id"])))
-    rows = one.withColumn("broken", broken).withColumn("region_id", F.explode(F.when(F.col("broken").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(ids)))
-    region = F.try_element_at(F.filter("region_items", lambda x: x["r"]["id"] == F.col("region_id")), F.lit(-1))["r"]
-    grades = F.transform(F.filter("grade_items", lambda x: x["r"]["id"] == F.col("region_id")), lambda x: x["r"])
-    seen = F.filter("predicted", lambda p: p["id"] == F.col("region_id"))
-    rows = rows.withColumns({"region": F.when(F.size("region_items") > 0, region), "grades": grades, "seen": F.when(F.size(seen) > 0, F.try_element_at(seen, F.lit(-1)))}).withColumns({"labels": _labels(F.col("region")), "values": supported_grades(F.col("grades"))})
-    complete, cutoff = F.array_contains("labels", COMPLETE), F.array_contains("labels", CUTOFF)
-    auto, parent = F.col("seen").isNotNull(), F.trim(F.coalesce("a.parent_prediction", F.lit(""))) != ""
-    release = F.when(F.col("task_release") != "", F.col("task_release")).otherwise(F.when(auto, release_of(F.col("seen.version"))).otherwise(""))
-    grade = F.when(F.size("values") == 1, F.col("values")[0])
-    error = F.when(F.col("broken").isNotNull(), F.col("broken")).otherwise(route([
-        (F.col("region.type") != "brushlabels", "non-brush-region"), (complete == cutoff, "ambiguous-region-label"), (F.size("grades") > 1, "duplicate-grade"), (F.size("values") > 1, "ambiguous-grade"),
+    mark = lambda r: F.when(r["id"] != "", F.struct(F.when(is_region(r, _labels(r)), r["id"]).alias("region"), F.array_contains(_labels(r), COMPLETE).alias("complete"), F.array_contains(_labels(r), CUTOFF).alias("cutoff"), F.when(is_grade(r), r["id"]).alias("grade"), F.when(is_grade(r), _supported(r)).alias("values")))
+    one = one.select(
+        "task_id", "image_name", "image_id", "task_release", c("a.id").alias("annotation_id"), c("a.updated_at").alias("annotation_updated_at"), grader(c("a.completed_by")).alias("who"),
+        (F.trim(F.coalesce("a.parent_prediction", blank)) != "").alias("parent"), listed(c("a.result")).alias("items"), F.transform(listed(c("a.result")), mark).alias("marks"),
+        F.flatten("predictions.result").alias("predicted"), F.transform(F.flatten("predictions.result")["id"], lambda i: F.trim(F.coalesce(i, blank))).alias("predicted_ids"),
+        F.flatten(F.transform("predictions", lambda p: F.array_repeat(p["model_version"], F.size(p["result"])))).alias("versions"),
+    )
+    ids = lambda kind: F.array_except(c(f"marks.{kind}"), F.array(text))
+    loose = F.exists(ids("grade"), lambda g: ~F.array_position(c("marks.region"), g).between(1, F.array_position(c("marks.grade"), g)))
+    broken = F.when(c("who.user").isNull(), "missing-provenance").when(loose, "missing-region-link")
+    of_grades = lambda id_: F.flatten(F.filter("marks", lambda m: m["grade"] == id_)["values"])
+    last = lambda at, id_: F.size(at) - F.array_position(F.reverse(at), id_).cast("int")
+    places = F.transform(F.sort_array(ids("region")), lambda id_: F.struct(
+        id_.alias("id"), last(c("marks.region"), id_).alias("at"), last(c("predicted_ids"), id_).alias("seen"), (F.size("marks.grade") - F.size(F.array_remove(c("marks.grade"), id_))).alias("grades"), of_grades(id_).alias("values")
+    ))
+    found = F.transform(places, lambda x: F.struct(*(x[k].alias(k) for k in ("id", "at", "seen", "grades", "values")), F.get("marks", x["at"])["complete"].alias("complete"), F.get("marks", x["at"])["cutoff"].alias("cutoff")))
+    no = F.lit(False)
+    none = F.array(F.struct(text.alias("id"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("seen"), F.lit(0).alias("grades"), F.array().cast("array<double>").alias("values"), no.alias("complete"), no.alias("cutoff")))
+    kept = [n for n in one.columns if n != "marks"]
+    one = one.select(*kept, broken.alias("broken"), found.alias("found")).withColumn("found", F.when(c("broken").isNull(), c("found")).otherwise(none))
+    # a row a region, without higher-order functions, so that Spark compiles all of it
+    rows = one.select("*", F.posexplode_outer("found").alias("_", "x")).filter("x is not null").withColumns({
+        "region_id": c("x.id"), "values": c("x.values"), "grades": c("x.grades"), "complete": c("x.complete"), "cutoff": c("x.cutoff"), "grade": F.when(F.size("x.values") == 1, F.get("x.values", F.lit(0))),
+        "region": F.get("items", c("x.at")), "auto": F.coalesce(c("x.seen") < F.size("predicted_ids"), F.lit(False)), "seen": F.get("predicted", c("x.seen")), "version": F.get("versions", c("x.seen")),
+    })
+    complete, cutoff, auto, parent, grade = (c(n) for n in ("complete", "cutoff", "auto", "parent", "grade"))
+    release = F.when(c("task_release") != "", c("task_release")).otherwise(F.when(auto, release_of(c("version"))).otherwise(""))
+    error = F.when(c("broken").isNotNull(), c("broken")).otherwise(route([
+        (c("region.type") != "brushlabels", "non-brush-region"), (complete == cutoff, "ambiguous-region-label"), (c("grades") > 1, "duplicate-grade"), (F.size("values") > 1, "ambiguous-grade"),
         (cutoff & grade.isNotNull(), "excluded-region-grade"), (complete & grade.isNull(), "missing-grade"), (auto & (release == ""), "contradictory-lineage"),
     ], ""))
-    same = _geometry(F.col("region")).eqNullSafe(_geometry(F.col("seen.r")))
+    same = _geometry(c("region")).eqNullSafe(_geometry(c("seen")))
     return rows.select(
-        F.concat_ws("::", "image_id", "region_id", F.col("a.id").cast("string"), "who.user").alias("record_id"), "task_id", F.col("a.id").alias("annotation_id"), "image_id", "image_name", "region_id",
+        F.concat_ws("::", "image_id", "region_id", c("annotation_id").cast("string"), "who.user").alias("record_id"), "task_id", "annotation_id", "image_id", "image_name", "region_id",
         F.when(complete, "complete").otherwise("excluded").alias("completeness_status"), F.when(cutoff, CUTOFF).otherwise("").alias("exclusion_reason"), grade.alias("human_grade"),
-        F.col("who.user").alias("grader_user_id"), F.col("who.email").alias("grader_email"), F.col("a.updated_at").alias("annotation_updated_at"), F.col("region.value.rle").alias("region_rle"),
+        c("who.user").alias("grader_user_id"), c("who.email").alias("grader_email"), "annotation_updated_at", c("region.value.rle").alias("region_rle"),
         F.when(auto, "auto_preload").when(parent, "box_assisted_manual").otherwise("human_manual").alias("proposal_kind"),
         F.when(auto, F.when(same, "unedited_auto").otherwise("human_refined_boundary")).when(parent, "human_refined_boundary").otherwise("manual_drawn").alias("region_edit_state"),
         release.alias("mask_release_id"), F.when(auto, "medsam_finetuned_glomeruli").when(parent, "box_assisted_medsam").otherwise("manual").alias("mask_source"), F.nullif(error, F.lit("")).alias("error"),

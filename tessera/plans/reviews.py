@@ -24,24 +24,31 @@ def query(sql: str | None = None):
 def export(spark: SparkSession, d: str) -> DataFrame:
     """An annotation export as JSON, read back: orders are tasks, lines are graded regions; some break each rule."""
     c, text = F.col, lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(x).alias(x) for x in ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
-    n, cut = c("l_linenumber"), c("l_returnflag") == "R"
+    fields = ("quantity", "discount", "tax", "returnflag", "linestatus")
     whole, part = F.lit(ann.COMPLETE), F.lit(ann.CUTOFF)
-    labels = F.when(c("l_quantity") == 49, F.array(whole, part)).when(cut, F.array(part)).otherwise(F.array(whole))
-    item = lambda kind, field, **value: F.struct(
+    item = lambda n, kind, field, **value: F.struct(
         text("g", n).alias("id"), F.lit(field).alias("from_name"), (kind if not isinstance(kind, str) else F.lit(kind)).alias("type"), F.struct(*(v.alias(k) for k, v in value.items())).alias("value")
     )
-    rle = lambda k: F.array(F.lit(0), F.lit(k), F.lit(1), n.cast("int"))
-    region = item(F.when(c("l_quantity") == 50, "polygonlabels").otherwise("brushlabels"), "roi", rle=rle(10), brushlabels=labels, choices=F.lit(None).cast("array<string>"))
-    choice = F.array(*map(F.lit, ("0", "0.5", "1", "1.5", "2", " 3.0 ", "2.5")))[n - 1]
-    grade = item("choices", ann.GRADE_FIELD, rle=F.lit(None).cast("array<int>"), brushlabels=F.lit(None).cast("array<string>"), choices=F.array(choice))
-    lost = F.struct(F.lit("lost").alias("id"), *(grade[k].alias(k) for k in ("from_name", "type", "value")))
-    graded = F.when(~cut | (c("l_discount") == 0.1), F.when((c("l_tax") == 0.08) & (c("l_returnflag") == "N"), F.array(grade, grade)).otherwise(F.array(grade))).otherwise(F.array_except(F.array(grade), F.array(grade)))
-    graded = F.when((n == 1) & (c("l_discount") == 0.07), F.concat(graded, F.array(lost))).otherwise(graded)
-    draft = F.when(c("l_linestatus") == "F", item("brushlabels", "roi", rle=F.when(c("l_quantity") < 25, rle(10)).otherwise(rle(8)), brushlabels=labels))
-    of = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", x.alias("x")))), lambda r: r["x"])
-    orders = lines.groupBy("l_orderkey").agg(
-        of(region).alias("regions"), F.flatten(of(graded)).alias("grades"), F.array_compact(of(draft)).alias("drafts"), F.count("*").alias("n"), F.max("l_tax").alias("tax"), F.min("l_discount").alias("discount"), F.max("l_linenumber").alias("last")
+    rle = lambda n, k: F.array(F.lit(0), F.lit(k), F.lit(1), n.cast("int"))
+    cut = lambda x: x["returnflag"] == "R"
+    labels = lambda x: F.when(x["quantity"] == 49, F.array(whole, part)).when(cut(x), F.array(part)).otherwise(F.array(whole))
+    region = lambda x: item(x["n"], F.when(x["quantity"] == 50, "polygonlabels").otherwise("brushlabels"), "roi", rle=rle(x["n"], 10), brushlabels=labels(x), choices=F.lit(None).cast("array<string>"))
+    draft = lambda x: item(x["n"], "brushlabels", "roi", rle=F.when(x["quantity"] < 25, rle(x["n"], 10)).otherwise(rle(x["n"], 8)), brushlabels=labels(x))
+
+    def grades(x):
+        choice = F.array(*map(F.lit, ("0", "0.5", "1", "1.5", "2", " 3.0 ", "2.5")))[x["n"] - 1]
+        grade = item(x["n"], "choices", ann.GRADE_FIELD, rle=F.lit(None).cast("array<int>"), brushlabels=F.lit(None).cast("array<string>"), choices=F.array(choice))
+        lost = F.struct(F.lit("lost").alias("id"), *(grade[k].alias(k) for k in ("from_name", "type", "value")))
+        given = ~cut(x) | (x["discount"] == 0.1)
+        twice, loose = given & (x["tax"] == 0.08) & (x["returnflag"] == "N"), (x["n"] == 1) & (x["discount"] == 0.07)
+        return F.array_compact(F.array(F.when(given, grade), F.when(twice, grade), F.when(loose, lost)))
+
+    # an order's lines meet once, as plain values: lines of one number are one, with the greatest of each
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.struct(c("l_linenumber").alias("n"), *(c(f"l_{x}").alias(x) for x in fields)).alias("line")).groupBy("l_orderkey").agg(F.collect_list("line").alias("lines"))
+    alike = F.transform(F.sort_array(F.array_distinct(c("lines.n"))), lambda n: F.struct(n.alias("n"), F.filter("lines", lambda x: x["n"] == n).alias("x")))
+    orders = lines.select("l_orderkey", F.transform(alike, lambda g: F.struct(g["n"].alias("n"), *(F.array_max(g["x"][x]).alias(x) for x in fields))).alias("lines")).select(
+        "l_orderkey", "lines", F.size("lines").alias("n"), F.array_max("lines.tax").alias("tax"), F.array_min("lines.discount").alias("discount"), F.array_max("lines.n").alias("last"),
+        F.transform(F.filter("lines", lambda x: x["linestatus"] == "F"), draft).alias("drafts"), F.concat(F.transform("lines", region), F.flatten(F.transform("lines", grades))).alias("results"),
     )
     by = F.when(c("n") == 1, F.lit(None).cast("string")).when(c("n") == 2, '{"id": 9, "email": "a@b.org"}').otherwise("5")
     key = c("l_orderkey")
@@ -49,7 +56,7 @@ def export(spark: SparkSession, d: str) -> DataFrame:
         key.alias("id"), F.when(c("n") > 3, text("u", key, "-S", key, "_Image0.jpg")).otherwise("").alias("file_upload"),
         F.struct(text("/data/x/T", key, "_Image1.jpg").alias("image"), F.when(c("tax") > 0.05, "rel7").otherwise("").alias("mask_release_id")).alias("data"),
         F.array(F.struct(F.when(c("discount") == 0, text(ann.RELEASE_PREFIX, " rel1")).otherwise("other").alias("model_version"), c("drafts").alias("result"))).alias("predictions"),
-        F.array(F.struct((key * 10).alias("id"), by.alias("completed_by"), F.when(c("last") % 2 == 0, "77").otherwise("").alias("parent_prediction"), F.lit("2024-01-01").alias("updated_at"), F.concat("regions", "grades").alias("result"))).alias("annotations"),
+        F.array(F.struct((key * 10).alias("id"), by.alias("completed_by"), F.when(c("last") % 2 == 0, "77").otherwise("").alias("parent_prediction"), F.lit("2024-01-01").alias("updated_at"), c("results").alias("result"))).alias("annotations"),
     )
     read = F.from_json(F.to_json(task), f"struct<{', '.join(_fields())}>")
     return orders.select(read.alias("t")).select("t.*")

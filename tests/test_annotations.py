@@ -86,3 +86,10 @@ def test_latest_choice_wins(read):
     none = task([]) | {"annotations": []}
     assert ann.choice_scores(read(none)).first()["score_status"] == "missing_annotation"
     assert ann.choice_scores(read(task([grade(), grade(choice="2")]))).first()["score_status"] == "ambiguous_score"
+
+
+def test_export_is_shuffled_and_parsed_once(spark, sf_dir):
+    from tessera.plans import reviews
+
+    plan = reviews.graded_regions(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("from_json") == 1
