@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.sources.scratch import written
+
 #: Rows of an image that are joined up in one task.
 STRIP = 256
 
@@ -139,6 +141,7 @@ def components(runs: DataFrame, image: str, strip: int = STRIP) -> DataFrame:
     dealt = runs.select(F.col(image).alias("image"), *longs).filter("image is not null and y >= 0 and x1 > x0").withColumn("strip", F.floor(F.col("y") / strip))
     named = f"image {kind.simpleString()}, strip long, part long"
     parts = dealt.repartition("image", "strip").sortWithinPartitions("image", "strip", "y", "x0").mapInArrow(_parts(arrow, strip), f"{named}, {_STATS}, edges {_EDGES}")
+    parts = written(parts, "parts")  # read for edges and for sums, scanned once
     edges = parts.filter(F.size("edges") > 0).select("image", "strip", "part", F.explode("edges").alias("_e")).select("image", "strip", "part", "_e.*")
     links = edges.repartition("image").sortWithinPartitions("image", "y", "x0").mapInArrow(_links(arrow), f"{named}, to_strip long, to_part long")
     joined = parts.drop("edges").join(links, ["image", "strip", "part"], "left")
@@ -220,7 +223,7 @@ def proposals(found: DataFrame, image: str, width: Column, height: Column, least
     with. The merging order needs an image's boxes together: they meet as one row, of a few numbers each.
     """
     place = F.row_number().over(W.partitionBy("image").orderBy("first_y", "first_x"))
-    rows = found.withColumnRenamed(image, "image").withColumn("index", place.cast("long"))
+    rows = written(found.withColumnRenamed(image, "image").withColumn("index", place.cast("long")), "components")  # read for skipped and for merged ones, found once
     small, large = F.col("area") < least_area, F.col("area") > most_area
     none = lambda kind: F.lit(None).cast(kind)
     skipped = rows.filter(small | large).select(

@@ -113,3 +113,17 @@ def test_proposals_skip_pad_merge_and_overflow(spark):
     apart = boxes.proposals(found.filter("image = 'many'"), "image", F.lit(20), F.lit(20), 4, 40, 0, 0.2, 2).collect()
     assert sorted((r["decision"], r["proposal_index"]) for r in apart) == [("generated", 1), ("generated", 2), ("overflow", 3)]
     assert boxes.proposals(found.limit(0), "image", F.lit(20), F.lit(20), 4, 40, 0, 0.2, 2).count() == 0
+
+
+def test_runs_are_scanned_once(spark):
+    """Components and proposals read their parts more than once, from tables, not from the runs again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    runs = table(spark, {"one": np.eye(9, dtype=int)}).mapInArrow(count, "image string, y int, x0 int, x1 int")
+    rows = boxes.proposals(boxes.components(runs, "image", 2), "image", F.lit(9), F.lit(9), 1, 40, 0, 0.2, 2).collect()
+    assert [r["decision"] for r in rows] == ["generated"] and seen.value == 9
