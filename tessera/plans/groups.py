@@ -26,6 +26,12 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
 
+def rounded_as_sql(df: DataFrame, *columns: str) -> DataFrame:
+    """Millionths as DuckDB rounds doubles: the product with a million is rounded, not the decimal digits. The two differ on ties and on large values."""
+    millionths = lambda c: F.round(F.col(c).cast("double") * 1e6) / 1e6
+    return df.withColumns({c: F.when(F.abs(millionths(c)) < float("inf"), millionths(c)).otherwise(F.col(c).cast("double")) for c in columns})
+
+
 @query("""SELECT source, lang, count(*) AS "rows", count(DISTINCT sha256(text)) AS texts FROM documents GROUP BY GROUPING SETS ((source), (lang), (source, lang), ())""")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "lang", F.sha2("text", 256).alias("digest"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rubric, text
 from tessera.operators import folds, gates, joins, metrics, models, neighbors, rank, screens, strata
 from tessera.plans.evaluation import _LAB, _modelled, labelled
-from tessera.plans.groups import rounded
+from tessera.plans.groups import rounded, rounded_as_sql
 from tessera.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -118,7 +118,7 @@ u AS (SELECT l_orderkey, max(m) AS m FROM (SELECT l_orderkey, min(d) AS m FROM j
 SELECT l_orderkey, round(coalesce(m, 'Infinity'::DOUBLE), 6) AS distance FROM (SELECT DISTINCT l_orderkey FROM p) LEFT JOIN u USING (l_orderkey)""")
 def hausdorff_distance(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linestatus") == "F").alias("s"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
-    return rounded(neighbors.hausdorff(points, "l_orderkey", "s", "x", "y"), "distance")
+    return rounded_as_sql(neighbors.hausdorff(points, "l_orderkey", "s", "x", "y"), "distance")
 
 
 @query("""WITH m AS (SELECT l_suppkey, avg((l_discount >= 0.01)::INTEGER) AS lo, avg((l_discount >= 0.06)::INTEGER) AS hi, abs(avg(l_tax) - 0.04) AS sep, avg(l_quantity) / 50 AS auto, avg(l_tax) * 12 AS oracle FROM lineitem GROUP BY 1)
