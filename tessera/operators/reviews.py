@@ -50,12 +50,18 @@ def remediation(causes: Column) -> Column:
     return route([(F.arrays_overlap(causes, _strings(_CODE)), "fix_code_or_evaluation_then_regenerate_evidence"), *((F.array_contains(causes, c), path) for c, path in _REMEDIES)], "no_remediation_required")
 
 
-def run_decision(rows: DataFrame, key: str, run: str, completed: Column, reference: str, primary: str, fallback: str, limit: float, margin: float = 0.02, scaled: Mapping[str, Callable[[Column], Column]] = {}) -> DataFrame:
+def run_decision(rows: DataFrame, key: str, run: str, completed: Column, reference: str, primary: str, fallback: str, limit: float, margin: float = 0.02, scaled: Mapping[str, Callable[[Column], Column]] = {}, order: Sequence[str] = ()) -> DataFrame:
     """(key, status, reason, selected): whether the primary run (else the fallback) beats the reference in mean dice, recall or ratio_error by `margin`, within the background limit and with all gates passed.
 
-    `rows` has dice, recall, ratio_error, background and gate_ok; `scaled` says what is made of a mean.
+    `rows` has dice, recall, ratio_error, background and gate_ok; `scaled` says what is made of a mean. Means near the margin depend on the order of adding:
+    a run's values are added in that of the columns `order`, which must tell its rows apart, however rows are dealt out; without them, as they come.
     """
-    per = rows.filter(completed).groupBy(key, run).agg(*(scaled.get(c, lambda m: m)(F.avg(c)).alias(c) for c in ("dice", "recall", "ratio_error", "background")), F.min("gate_ok").alias("gate_ok"))
+    metrics, done = ("dice", "recall", "ratio_error", "background"), rows.filter(completed)
+    if order:
+        upto = W.partitionBy(key, run).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        done = done.withColumns({c: F.avg(c).over(upto) for c in metrics})
+    mean = lambda c: F.max_by(c, F.struct(*order)) if order else F.avg(c)
+    per = done.groupBy(key, run).agg(*(scaled.get(c, lambda m: m)(mean(c)).alias(c) for c in metrics), F.min("gate_ok").alias("gate_ok"))
     of = lambda name: F.max(F.when(F.col(run) == name, F.struct("dice", "recall", "ratio_error", "background", "gate_ok")))
     wide = per.groupBy(key).agg(of(reference).alias("r"), of(primary).alias("p"), of(fallback).alias("f"))
     every = rows.select(key).distinct().join(wide, key, "left").withColumn("c", F.coalesce("p", "f"))
@@ -67,9 +73,8 @@ def run_decision(rows: DataFrame, key: str, run: str, completed: Column, referen
     status = route([(cond, s) for cond, s, _ in cases], "current_cleared")
     reason = route([(cond, r) for cond, _, r in cases], "less_downsampled_policy_not_materially_better_than_current_policy")
     chosen = F.when(F.col("p").isNotNull(), primary).otherwise(fallback)
-    return every.select(key, status.alias("status"), reason.alias("reason")).join(every.select(key, chosen.alias("_chosen")), key).withColumn(
-        "selected", F.when(F.col("status") == "selected_less_downsampled", F.col("_chosen")).when(F.col("status") == "current_cleared", reference).otherwise("")
-    ).drop("_chosen")
+    selected = F.when(F.col("status") == "selected_less_downsampled", F.col("_chosen")).when(F.col("status") == "current_cleared", reference).otherwise("")
+    return every.select(key, status.alias("status"), reason.alias("reason"), chosen.alias("_chosen")).withColumn("selected", selected).drop("_chosen")
 
 
 def gate_status(gates: DataFrame, family: str = "family") -> DataFrame:

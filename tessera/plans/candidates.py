@@ -55,12 +55,12 @@ SELECT l_orderkey, CASE WHEN NOT has_r THEN 'unresolved' WHEN NOT has_c THEN 'in
 CASE WHEN NOT has_r THEN 'reference_resize_screen_missing_or_failed' WHEN NOT has_c THEN 'no_less_downsampled_or_no_downsample_screen_completed' WHEN win THEN 'less_downsampled_policy_materially_improved_positive_or_boundary_metrics'
 WHEN NOT cok THEN 'less_downsampled_policy_failed_category_gates' ELSE 'less_downsampled_policy_not_materially_better_than_current_policy' END AS reason, CASE WHEN NOT has_r OR NOT has_c THEN '' WHEN win THEN crun ELSE 'N' END AS selected FROM s""")
 def run_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Return flags as runs over an order's finished lines: the primary one, or the fallback, against the reference."""
+    """Return flags as runs over an order's finished lines: the primary one, or the fallback, against the reference. Lines are added up in stored order, as DuckDB with one thread does."""
     rows = table(spark, d, "lineitem").select(
         "l_orderkey", F.col("l_returnflag").alias("run"), "l_linestatus", F.col("l_quantity").alias("dice"), F.col("l_tax").alias("recall"), F.col("l_discount").alias("ratio_error"),
-        F.col("l_discount").alias("background"), (F.col("l_quantity") < 49).alias("gate_ok"),
+        F.col("l_discount").alias("background"), (F.col("l_quantity") < 49).alias("gate_ok"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
     )
-    return rev.run_decision(rows, "l_orderkey", "run", F.col("l_linestatus") == "F", "N", "R", "A", 0.05, scaled={"dice": lambda m: m / 50, "recall": lambda m: m * 10, "ratio_error": lambda m: m * 5})
+    return rev.run_decision(rows, "l_orderkey", "run", F.col("l_linestatus") == "F", "N", "R", "A", 0.05, scaled={"dice": lambda m: m / 50, "recall": lambda m: m * 10, "ratio_error": lambda m: m * 5}, order=("file", "place"))
 
 
 _GATES = """g AS (SELECT l_orderkey % 3000 AS family, l_returnflag AS category, l_linenumber AS idx, l_discount <= 0.09 AS passed, CASE WHEN l_tax > 0.06 THEN ' high_tax' WHEN l_tax > 0.03 THEN 'tax' ELSE '' END AS reason, 'gate' || l_linenumber AS gate FROM lineitem)"""
