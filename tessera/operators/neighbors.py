@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Anchors of a block; blocks that are broadcast (of 1,000 doubles an anchor they hold 32 MB).
 ANCHORS, ANCHOR_BLOCKS = 512, 8
-#: Queries of a block that are compared at once.
-SLICE = 64
+#: Queries of a block that are compared at once; candidates that set their first bound; pairs measured exactly at once.
+SLICE, SAMPLE, EXACT = 256, 1024, 1 << 16
+#: Blocks that small tables are cut into, if so many have LEAST rows; parts of the queries; blocks of a part of the candidates.
+BLOCKS, LEAST, QUERY_PARTS, PART = 32, 256, 64, 32
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -21,44 +23,131 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def _blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
-    """Rows packed into arrays of about `rows`: a block is one row."""
-    count = max(1, -(-df.count() // rows))
-    one = F.struct("id", "grp", "vector")
-    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("_b")).agg(F.collect_list(one).alias("_r")).select(
-        F.col("_r.id").alias(f"{prefix}_id"), F.col("_r.grp").alias(f"{prefix}_grp"), F.flatten(F.transform("_r", lambda r: r["vector"])).alias(f"{prefix}_vec")
-    )
+def _blocks(df: DataFrame, blocks: int, parts: int, prefix: str) -> DataFrame:
+    """Rows with finite vectors packed into `blocks` blocks in `parts` partitions: ids, group names, where groups start and vectors, as bytes; a block is one row."""
+    single = dict(df.dtypes)["vector"] == "array<float>"
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, groups = np.asarray(r.id, dtype=np.int64), np.asarray(r.grp, dtype=object)
+                vectors = np.asarray(r.vec, dtype=np.float64).reshape(len(ids), -1)
+                with np.errstate(over="ignore"):
+                    kept = np.isfinite(64 * np.einsum("ij,ij->i", vectors, vectors))
+                if kept.any():
+                    codes, names = pd.factorize(groups[kept], use_na_sentinel=False)
+                    order = np.argsort(codes, kind="stable")
+                    starts = np.searchsorted(codes[order], np.arange(len(names) + 1)).astype(np.int64)
+                    packed = vectors[kept][order].astype(np.float32 if single else np.float64)
+                    yield pd.DataFrame({"block": [r.block], "id": [ids[kept][order].tobytes()], "grp": [[None if pd.isnull(n) else n for n in names]], "start": [starts.tobytes()], "vec": [packed.tobytes()]})
 
-def nearest_other_group(df: DataFrame, id_: str, group: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    one = F.struct("id", "grp", "vector")
+    lists = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(min(blocks, QUERY_PARTS), "block").groupBy("block").agg(F.collect_list(one).alias("_r"))
+    lists = lists.select("block", F.col("_r.id").alias("id"), F.col("_r.grp").alias("grp"), F.flatten(F.transform("_r", lambda r: r["vector"])).alias("vec"))
+    packed = lists.mapInPandas(pack, "block long, id binary, grp array<string>, start binary, vec binary")
+    # shuffled once more: a product computes its partitions anew for each pair of them, and so only reads blocks
+    return packed.repartition(parts, "block").select(*(F.col(c).alias(f"{prefix}_{c}") for c in packed.columns))
+
+
+class _Nearest:
+    """The k nearest rows of other groups found so far for a block of queries."""
+
+    def __init__(self, block: tuple, single: bool, k: int):
+        self.ids, names, self.starts, self.vectors = self._read(*block, single)
+        self.centre = self.vectors.mean(0)
+        moved, self.squares = self._moved(self.vectors)
+        self.own = {name: at for at, name in enumerate(names)}
+        self.codes = np.repeat(np.arange(len(names)), np.diff(self.starts))
+        with np.errstate(over="ignore"):
+            self.left = np.hstack([-2 * moved, np.ones((len(self.ids), 1))]).astype(np.float32)
+        self.single, self.k, self.far, self.found = single, k, np.full((len(self.ids), k), np.inf), np.zeros((len(self.ids), k), np.int64)
+
+    @staticmethod
+    def _read(ids, names, starts, vectors, single):
+        ids = np.frombuffer(ids, np.int64)
+        vectors = np.frombuffer(vectors, np.float32 if single else np.float64).astype(np.float64).reshape(len(ids), -1)
+        return ids, names, np.frombuffer(starts, np.int64), vectors
+
+    def _moved(self, vectors):
+        moved = vectors - self.centre  # shorter vectors, tighter bounds
+        return moved, np.einsum("ij,ij->i", moved, moved)
+
+    def meet(self, block: tuple) -> None:
+        """Compare with a block of candidates: in single precision, then exactly whatever its error bound leaves."""
+        ids, names, starts, vectors = self._read(*block, self.single)
+        moved, squares = self._moved(vectors)
+        same = {self.own[name]: slice(starts[at], starts[at + 1]) for at, name in enumerate(names) if name in self.own}
+        kind = np.float32 if max(squares.max(), self.squares.max()) < 1e30 else np.float64
+        # a product of rows with one more element: squared distance less the query's square
+        left = self.left if kind is np.float32 else np.hstack([-2 * self._moved(self.vectors)[0], np.ones((len(self.ids), 1))])
+        right = np.ascontiguousarray(np.hstack([moved, squares[:, None]]).T, dtype=kind)
+        error = np.finfo(kind).eps * (vectors.shape[1] + 8) * (self.squares + 2 * squares.max()) + 1e-30
+        out, held, hits = np.empty((SLICE, len(ids)), kind), 0, []
+        for at in range(0, len(self.ids), SLICE):
+            end = min(at + SLICE, len(self.ids))
+            near = np.matmul(left[at:end], right, out=out[: end - at])
+            for own in range(self.codes[at], self.codes[end - 1] + 1):
+                if own in same:
+                    near[max(self.starts[own] - at, 0) : self.starts[own + 1] - at, same[own]] = np.inf
+            bound = self.far[at:end, -1] ** 2 * (1 + 1e-12) - self.squares[at:end] + error[at:end]
+            open_ = np.isinf(bound)
+            some = near[open_, :: max(1, len(ids) // SAMPLE)]
+            if some.shape[1] > self.k:
+                bound[open_] = np.partition(some, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64) + 2 * error[at:end][open_]
+            bound = np.minimum(np.nextafter(bound.astype(kind), kind(np.inf)), np.finfo(kind).max)
+            rows = np.flatnonzero(near.min(axis=1) <= bound)
+            row, col = np.divmod(np.flatnonzero(near[rows] <= bound[rows, None]), len(ids))
+            hits.append((at + rows[row], col))
+            held += len(row)
+            if held > EXACT or end == len(self.ids):
+                row, col = (np.concatenate(x) for x in zip(*hits))
+                for part in range(0, held, EXACT):
+                    r, c = row[part : part + EXACT], col[part : part + EXACT]
+                    self._merge(r, ids[c], np.sqrt(((vectors[c] - self.vectors[r]) ** 2).sum(1)))
+                held, hits = 0, []
+
+    def _merge(self, row, ids, far) -> None:
+        some = np.unique(row)
+        row = np.concatenate([row, np.repeat(some, self.k)])
+        ids, far = np.concatenate([ids, self.found[some].ravel()]), np.concatenate([far, self.far[some].ravel()])
+        order = np.lexsort((ids, far, row))
+        row, ids, far = row[order], ids[order], far[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        self.far[row[best], place[best]], self.found[row[best], place[best]] = far[best], ids[best]
+
+    def rows(self) -> pd.DataFrame:
+        row, place = np.nonzero(np.isfinite(self.far))
+        return pd.DataFrame({"query_id": self.ids[row], "id": self.found[row, place], "distance": self.far[row, place]})
+
+
+def nearest_other_group(df: DataFrame, id_: str, group: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query_id, rank, id, distance): for every row the k nearest rows of other groups, ties to smaller ids.
 
-    All rows are asked against all rows, in blocks: a task compares two packed blocks in numpy and keeps k a
-    query, so single pairs are never rows. The work is quadratic, as exact answers for all rows are.
+    All rows are asked against all rows, in blocks: a task takes blocks of queries past a part of the candidates, in numpy, and
+    keeps k a query and part, so single pairs are never rows. The work is quadratic, as exact answers for all rows are.
     """
-    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(group).cast("string").alias("grp"), F.col(vector).cast("array<double>").alias("vector"))
+    vectors = F.col(vector) if dict(df.dtypes).get(vector) == "array<float>" else F.col(vector).cast("array<double>")
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(group).cast("string").alias("grp"), vectors.alias("vector"))
+
+    single = dict(rows.dtypes)["vector"] == "array<float>"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q_id, c_id = np.asarray(r.q_id), np.asarray(r.c_id)
-                q, c = np.asarray(r.q_vec).reshape(len(q_id), -1), np.asarray(r.c_vec).reshape(len(c_id), -1)
-                codes = pd.factorize(np.concatenate([np.asarray(r.q_grp, dtype=object), np.asarray(r.c_grp, dtype=object)]))[0]
-                q_grp, c_grp, squares = codes[: len(q_id)], codes[len(q_id) :], (c**2).sum(1)
-                # a few queries at once: even if all distances tie, their candidates stay small
-                for at in range(0, len(q_id), SLICE):
-                    some = slice(at, at + SLICE)
-                    near = (q[some] ** 2).sum(1)[:, None] + squares[None, :] - 2 * q[some] @ c.T
-                    near[(q_grp[some, None] == c_grp[None, :]) | ~np.isfinite(near)] = np.inf
-                    far = np.partition(near, k - 1, axis=1)[:, k - 1] if len(c_id) > k else np.full(len(near), np.inf)
-                    row, col = np.nonzero((near <= (far * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(near))
-                    exact = ((c[col] - q[some][row]) ** 2).sum(1)
-                    order = np.lexsort((c_id[col], exact, row))
-                    row, col, exact = row[order], col[order], exact[order]
-                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    yield pd.DataFrame({"query_id": q_id[some][row[best]], "id": c_id[col[best]], "distance": np.sqrt(exact[best])})
-
-    pairs = _blocks(rows, block, "q").crossJoin(_blocks(rows, block, "c"))
+                if r.q_block != at:
+                    if best is not None:
+                        yield best.rows()
+                    at, best = r.q_block, _Nearest((r.q_id, r.q_grp, r.q_start, r.q_vec), single, k)
+                best.meet((r.c_id, r.c_grp, r.c_start, r.c_vec))
+        if best is not None:
+            yield best.rows()
+
+    count = df.count()
+    blocks = max(1, -(-count // block), min(BLOCKS, count // LEAST))
+    # a product at all sizes: a broadcast of the queries would leave a task a part of the candidates
+    pairs = _blocks(rows, blocks, min(blocks, QUERY_PARTS), "q").crossJoin(_blocks(rows, blocks, -(-blocks // PART), "c").drop("c_block").hint("shuffle_replicate_nl"))
     found = pairs.mapInPandas(compare, "query_id long, id long, distance double")
     order = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
