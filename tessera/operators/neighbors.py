@@ -46,7 +46,7 @@ def _blocks(df: DataFrame, blocks: int, parts: int, prefix: str) -> DataFrame:
     lists = lists.select("block", F.col("_r.id").alias("id"), F.col("_r.grp").alias("grp"), F.flatten(F.transform("_r", lambda r: r["vector"])).alias("vec"))
     packed = lists.mapInPandas(pack, "block long, id binary, grp array<string>, start binary, vec binary")
     # shuffled once more: a product computes its partitions anew for each pair of them, and so only reads blocks
-    return packed.repartition(parts, "block").select(*(F.col(c).alias(f"{prefix}_{c}") for c in packed.columns))
+    return packed.repartition(parts).select(*(F.col(c).alias(f"{prefix}_{c}") for c in packed.columns))
 
 
 class _Nearest:
